@@ -28,3 +28,8 @@ def title_case(text: Column) -> Column:
 
 def starts_with_any_case(text: Column, prefix: str) -> Column:
     return text.ilike(prefix + "%")
+
+
+def text_sql(value: str) -> str:
+    """A Python text as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitewatch.functions.text import text_sql
 from sitewatch.sources.tables import Domains
 
 LISTING_COLUMNS = (
@@ -180,6 +181,16 @@ def catalogue(spark: SparkSession, checks: Sequence[EditCheck]) -> DataFrame:
     return spark.createDataFrame(table)
 
 
+def _about(checks: Sequence[EditCheck]) -> Column:
+    """Severity, domain and description of ``check_id``, looked up in a literal map."""
+    entries = ", ".join(
+        f"{text_sql(c.check_id)}, named_struct('severity', {text_sql(c.severity)}, "
+        f"'domain', {text_sql(c.domain)}, 'description', {text_sql(c.description)})"
+        for c in checks
+    )
+    return F.expr(f"map({entries})[check_id]")
+
+
 def _record_hits(records: DataFrame, checks: list[EditCheck], *ids: str) -> DataFrame:
     """All checks on the records of one table, in one pass over it."""
     fails = [F.expr(c.rule.when) for c in checks]
@@ -303,8 +314,13 @@ def run_checks(domains: Domains, checks: Sequence[EditCheck] = CHECKS) -> DataFr
         sites = domains["dm"].select("USUBJID", "SITEID")
         placed.append(reduce(DataFrame.unionByName, unplaced).join(sites, "USUBJID"))
     hits = reduce(DataFrame.unionByName, placed)
-    # One row per check: bounded by the catalogue, not by the data.
-    return hits.join(F.broadcast(catalogue(spark, checks)), "check_id").select(*LISTING_COLUMNS)
+    return hits.withColumn("about", _about(checks)).select(
+        "check_id",
+        *(F.col("about")[c].alias(c) for c in ("severity", "domain", "description")),
+        "USUBJID",
+        "SITEID",
+        "detail",
+    )
 
 
 def summarise(listing: DataFrame, checks: Sequence[EditCheck] = CHECKS) -> DataFrame:

@@ -14,8 +14,8 @@ def kpis(sites: DataFrame, outcomes: DataFrame, listing: DataFrame) -> DataFrame
     """One row: subjects, failure and completion rates, open data queries."""
     completed = F.when(F.col("disposition") == COMPLETED, F.col("subjects"))
     totals = sites.agg(
-        F.sum("screened").alias("screened"),
-        F.sum("randomised").alias("randomised"),
+        F.coalesce(F.sum("screened"), F.lit(0)).alias("screened"),
+        F.coalesce(F.sum("randomised"), F.lit(0)).alias("randomised"),
         F.lit(outcomes.agg(F.coalesce(F.sum(completed), F.lit(0))).scalar()).alias("completed"),
         F.lit(listing.agg(F.count("*")).scalar()).alias("open_queries"),
     )

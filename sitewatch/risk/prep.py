@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitewatch.functions.text import text_sql
 from sitewatch.risk.features import CATEGORICAL, LABEL, NUMERIC, check_no_leaks
 
 ACCURACY = 10_000
@@ -25,10 +26,6 @@ def number_sql(value: float) -> str:
     return f"({float(value)!r}D)"
 
 
-def text_sql(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 @dataclass(frozen=True)
 class NumberStats:
     name: str

@@ -184,6 +184,6 @@ def cv_summary(scores: DataFrame) -> DataFrame:
     )
 
 
-def best_guess(results: DataFrame, model: str = LOGISTIC, metric: str = "ROC-AUC") -> DataFrame:
+def quoted_score(results: DataFrame, model: str = LOGISTIC, metric: str = "ROC-AUC") -> DataFrame:
     """The one row a report quotes."""
     return results.filter((F.col("model") == model) & (F.col("metric") == metric)).limit(1)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitewatch.sources.schema import DOMAIN_NAMES
@@ -25,16 +26,22 @@ class BoundDomains(Mapping):
     def _table(self, name: str) -> DataFrame:
         return self._spark.read.parquet(f"{self._sf_dir}/{name}.parquet")
 
+    @cached_property
+    def _orders(self) -> DataFrame:
+        return self._table("orders")
+
+    @cached_property
+    def _subjects(self) -> DataFrame:
+        return _subjects(self._table("customer"), self._orders)
+
     def _plan(self, name: str) -> DataFrame:
-        orders = self._table("orders")
-        subjects = _subjects(self._table("customer"), orders)
         if name == "sv":
-            return _sv(orders, subjects, self._long_history)
+            return _sv(self._orders, self._subjects, self._long_history)
         if name == "ae":
-            return _ae(self._table("events"), subjects)
+            return _ae(self._table("events"), self._subjects)
         if name == "ex":
-            return _ex(self._table("lineitem"), orders, subjects)
-        return {"dm": _dm, "ds": _ds, "adsl": _adsl}[name](subjects)
+            return _ex(self._table("lineitem"), self._orders, self._subjects)
+        return {"dm": _dm, "ds": _ds, "adsl": _adsl}[name](self._subjects)
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._planned:
@@ -52,14 +59,6 @@ def bind(spark: SparkSession, sf_dir: str, long_history: int = LONG_HISTORY) ->
     return BoundDomains(spark, sf_dir, long_history)
 
 
-def _iso(day: Column) -> Column:
-    return day.cast("string")
-
-
-def _days(number: Column) -> Column:
-    return number.cast("int")
-
-
 def _subjects(customer: DataFrame, orders: DataFrame) -> DataFrame:
     """One row per customer with orders; the order history is folded first."""
     history = orders.groupBy(F.col("o_custkey").alias("k")).agg(
@@ -67,79 +66,56 @@ def _subjects(customer: DataFrame, orders: DataFrame) -> DataFrame:
         F.max_by("o_orderstatus", "o_orderkey").alias("last_status"),
         F.count("*").alias("n_orders"),
     )
-    people = customer.select(
-        F.col("c_custkey").alias("k"),
-        F.col("c_name").alias("USUBJID"),
-        F.concat(F.lit("S"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0")).alias("SITEID"),
-        F.col("c_mktsegment").alias("seg"),
+    people = customer.selectExpr(
+        "c_custkey AS k",
+        "c_name AS USUBJID",
+        "concat('S', lpad(cast(c_nationkey AS string), 2, '0')) AS SITEID",
+        "c_mktsegment AS seg",
     )
     return people.join(history, "k")
 
 
 def _dm(subjects: DataFrame) -> DataFrame:
-    k, seg, d0 = F.col("k"), F.col("seg"), F.col("d0")
-    arm = (
-        F.when(seg == "HOUSEHOLD", "Scrnfail")
-        .when(seg == "BUILDING", "Pbo")
-        .when(seg == "MACHINERY", "Xan_Hi")
-        .otherwise("Xan_Lo")
-    )
-    return subjects.select(
+    return subjects.selectExpr(
         "USUBJID",
         "SITEID",
-        arm.alias("ARMCD"),
-        F.when(seg != "HOUSEHOLD", _iso(d0)).alias("RFSTDTC"),
-        F.when(k % 10 != 0, _iso(F.date_add(d0, -14))).alias("RFICDTC"),
-        _iso(F.date_add(d0, _days(60 + k % 90))).alias("RFPENDTC"),
+        """CASE seg WHEN 'HOUSEHOLD' THEN 'Scrnfail' WHEN 'BUILDING' THEN 'Pbo'
+                    WHEN 'MACHINERY' THEN 'Xan_Hi' ELSE 'Xan_Lo' END AS ARMCD""",
+        "if(seg <> 'HOUSEHOLD', cast(d0 AS string), NULL) AS RFSTDTC",
+        "if(k % 10 <> 0, cast(date_add(d0, -14) AS string), NULL) AS RFICDTC",
+        "cast(date_add(d0, int(60 + k % 90)) AS string) AS RFPENDTC",
     )
 
 
 def _ds(subjects: DataFrame) -> DataFrame:
-    status = F.col("last_status")
-    reason = (
-        F.when(status == "F", "COMPLETED")
-        .when(status == "O", "ADVERSE EVENT")
-        .otherwise("WITHDRAWAL BY SUBJECT")
-    )
-    ended = F.when(F.col("k") % 29 != 0, F.struct(
-        F.lit("DISPOSITION EVENT").alias("DSCAT"), reason.alias("DSDECOD")
-    ))
-    joined = F.struct(
-        F.lit("PROTOCOL MILESTONE").alias("DSCAT"), F.lit("RANDOMIZED").alias("DSDECOD")
-    )
-    return subjects.select("USUBJID", F.inline(F.array_compact(F.array(ended, joined))))
+    ended = """if(k % 29 <> 0, named_struct('DSCAT', 'DISPOSITION EVENT', 'DSDECOD',
+                  CASE last_status WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'ADVERSE EVENT'
+                                   ELSE 'WITHDRAWAL BY SUBJECT' END), NULL)"""
+    entered = "named_struct('DSCAT', 'PROTOCOL MILESTONE', 'DSDECOD', 'RANDOMIZED')"
+    return subjects.selectExpr("USUBJID", f"inline(array_compact(array({ended}, {entered})))")
 
 
 def _adsl(subjects: DataFrame) -> DataFrame:
-    k, seg, d0 = F.col("k"), F.col("seg"), F.col("d0")
-
-    def number(c: Column) -> Column:
-        return c.cast("double")
-
-    arm = (
-        F.when(seg == "BUILDING", "Placebo")
-        .when(seg == "MACHINERY", "Xanomeline High Dose")
-        .otherwise("Xanomeline Low Dose")
-    )
-    return subjects.filter(seg != "HOUSEHOLD").select(
+    return subjects.filter("seg <> 'HOUSEHOLD'").selectExpr(
         "USUBJID",
         "SITEID",
-        arm.alias("TRT01P"),
-        number(50 + k % 46).alias("AGE"),
-        F.when(k % 2 == 0, "F").otherwise("M").alias("SEX"),
-        F.when(k % 37 != 0, number(18 + k % 19)).alias("BMIBL"),
-        number(6 + k % 15).alias("EDUCLVL"),
-        number(k % 120).alias("DURDIS"),
-        number(10 + k % 14).alias("MMSETOT"),
-        _iso(d0).alias("RFSTDTC"),
-        _iso(F.date_add(d0, _days((k * 5) % 190))).alias("RFENDTC"),
-        F.when(F.col("last_status") != "F", "Y").alias("DISCONFL"),
+        """CASE seg WHEN 'BUILDING' THEN 'Placebo' WHEN 'MACHINERY' THEN 'Xanomeline High Dose'
+                    ELSE 'Xanomeline Low Dose' END AS TRT01P""",
+        "double(50 + k % 46) AS AGE",
+        "if(k % 2 = 0, 'F', 'M') AS SEX",
+        "if(k % 37 <> 0, double(18 + k % 19), NULL) AS BMIBL",
+        "double(6 + k % 15) AS EDUCLVL",
+        "double(k % 120) AS DURDIS",
+        "double(10 + k % 14) AS MMSETOT",
+        "cast(d0 AS string) AS RFSTDTC",
+        "cast(date_add(d0, int((k * 5) % 190)) AS string) AS RFENDTC",
+        "if(last_status <> 'F', 'Y', NULL) AS DISCONFL",
     )
 
 
 def _numbered_orders(orders: DataFrame, subjects: DataFrame, long_history: int) -> DataFrame:
     """Orders with ``n``, their place in the customer's history by order key."""
-    rows = orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("ok")).join(
+    rows = orders.selectExpr("o_custkey AS k", "o_orderkey AS ok").join(
         subjects.select("k", "USUBJID", "d0", "n_orders"), "k"
     )
     # Parquet footers answer this count. While the whole table is that short,
@@ -172,60 +148,50 @@ def _numbered_orders(orders: DataFrame, subjects: DataFrame, long_history: int)
 
 
 def _sv(orders: DataFrame, subjects: DataFrame, long_history: int) -> DataFrame:
-    n, ok, d0 = F.col("n"), F.col("ok"), F.col("d0")
-    planned = 14 * (n - 1)
-    week = (2 * (n - 1)).cast("string")
-    visit = (
-        F.when(n == 1, "BASELINE")
-        .when(ok % 11 == 0, F.concat(F.lit("UNSCHEDULED "), n.cast("string")))
-        .when(ok % 13 == 0, F.concat(F.lit("Week "), week))
-        .otherwise(F.concat(F.lit("WEEK "), week))
-    )
-    held = _iso(F.date_add(d0, _days(planned + (ok * 7) % 31 - 15)))
-    month_only = F.substring(_iso(F.date_add(d0, _days(planned))), 1, 7)
-    return _numbered_orders(orders, subjects, long_history).select(
+    return _numbered_orders(orders, subjects, long_history).selectExpr(
         "USUBJID",
-        (n + 2).cast("double").alias("VISITNUM"),
-        (planned + 1).cast("double").alias("VISITDY"),
-        visit.alias("VISIT"),
-        F.when(ok % 97 == 0, None).when(ok % 89 == 0, month_only).otherwise(held).alias("SVSTDTC"),
+        "double(n + 2) AS VISITNUM",
+        "double(14 * (n - 1) + 1) AS VISITDY",
+        """CASE WHEN n = 1 THEN 'BASELINE' WHEN ok % 11 = 0 THEN concat('UNSCHEDULED ', string(n))
+                WHEN ok % 13 = 0 THEN concat('Week ', string(2 * (n - 1)))
+                ELSE concat('WEEK ', string(2 * (n - 1))) END AS VISIT""",
+        """CASE WHEN ok % 97 = 0 THEN NULL
+                WHEN ok % 89 = 0 THEN left(string(date_add(d0, int(14 * (n - 1)))), 7)
+                ELSE string(date_add(d0, int(14 * (n - 1) + (ok * 7) % 31 - 15))) END AS SVSTDTC""",
     )
 
 
 def _ae(events: DataFrame, subjects: DataFrame) -> DataFrame:
-    number, value, d0 = F.col("event_id"), F.col("value"), F.col("d0")
-    offset = _days((number * 13) % 200 - 6)
-    term = F.upper("event_type")
-    start = _iso(F.date_add(d0, offset))
-    outcome = (
-        F.when(number % 7 == 0, "NOT RECOVERED/NOT RESOLVED")
-        .when(number % 7 < 5, "RECOVERED/RESOLVED")
-        .when(number % 7 == 5, "Recovered")
-        .otherwise("FATAL")
-    )
-    return events.join(subjects, F.col("user_id") == F.col("k")).select(
+    happened = events.selectExpr(
+        "user_id AS k",
+        "event_id AS id",
+        "upper(event_type) AS term",
+        "value AS v",
+        "int((event_id * 13) % 200 - 6) AS off",
+    )
+    return happened.join(subjects, "k").selectExpr(
         "USUBJID",
-        term.alias("AETERM"),
-        F.concat(term, F.lit("-TYPE DISORDERS "), (number % 3).cast("string")).alias("AEBODSYS"),
-        F.when(value < 20, "MILD").when(value < 80, "MODERATE").otherwise("SEVERE").alias("AESEV"),
-        F.when(value > 150, "Y").otherwise("N").alias("AESER"),
+        "term AS AETERM",
+        "concat(term, '-TYPE DISORDERS ', string(id % 3)) AS AEBODSYS",
+        "CASE WHEN v < 20 THEN 'MILD' WHEN v < 80 THEN 'MODERATE' ELSE 'SEVERE' END AS AESEV",
+        "CASE WHEN v > 150 THEN 'Y' ELSE 'N' END AS AESER",
         # The standard has no day 0.
-        F.when(offset >= 0, offset + 1).otherwise(offset).cast("double").alias("AESTDY"),
-        F.when(number % 43 == 0, F.substring(start, 1, 7)).otherwise(start).alias("AESTDTC"),
-        F.when(
-            number % 5 != 0, _iso(F.date_add(d0, offset + _days(number % 23 - 1)))
-        ).alias("AEENDTC"),
-        outcome.alias("AEOUT"),
+        "double(if(off >= 0, off + 1, off)) AS AESTDY",
+        """if(id % 43 = 0, left(string(date_add(d0, off)), 7), string(date_add(d0, off)))
+             AS AESTDTC""",
+        "if(id % 5 <> 0, string(date_add(d0, off + int(id % 23 - 1))), NULL) AS AEENDTC",
+        """CASE WHEN id % 7 = 0 THEN 'NOT RECOVERED/NOT RESOLVED'
+                WHEN id % 7 < 5 THEN 'RECOVERED/RESOLVED'
+                WHEN id % 7 = 5 THEN 'Recovered' ELSE 'FATAL' END AS AEOUT""",
     )
 
 
 def _ex(lineitem: DataFrame, orders: DataFrame, subjects: DataFrame) -> DataFrame:
+    doses = lineitem.selectExpr(
+        "l_orderkey AS ok", "l_quantity AS EXDOSE", "string(date(l_shipdate)) AS EXSTDTC"
+    )
     return (
-        lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(subjects.filter(F.col("k") % 41 != 0), F.col("o_custkey") == F.col("k"))
-        .select(
-            "USUBJID",
-            F.col("l_quantity").alias("EXDOSE"),
-            _iso(F.col("l_shipdate").cast("date")).alias("EXSTDTC"),
-        )
+        doses.join(orders.selectExpr("o_orderkey AS ok", "o_custkey AS k"), "ok")
+        .join(subjects.filter("k % 41 <> 0"), "k")
+        .select("USUBJID", "EXDOSE", "EXSTDTC")
     )
