@@ -18,7 +18,7 @@ from sitewatch.sources.tables import Domains
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _over(build: Callable[[Domains], DataFrame]) -> Query:
+def _bound(build: Callable[[Domains], DataFrame]) -> Query:
     return lambda spark, sf_dir: build(bind(spark, sf_dir))
 
 
@@ -133,8 +133,14 @@ def _cv(d: Domains) -> DataFrame:
     return train.evaluate(_features(d), n_repeats=1, settings=train.Settings(n_trees=20))
 
 
-def queries() -> dict[str, Query]:
-    over_domains: dict[str, Callable[[Domains], DataFrame]] = {
+def over_tables() -> dict[str, Query]:
+    """Queries on the driver's own tables."""
+    return {"tidy_blanks": _tidy, "sas_dates": _sas_dates}
+
+
+def over_domains() -> dict[str, Callable[[Domains], DataFrame]]:
+    """Queries on the six domains, wherever these come from."""
+    return {
         "load_report": load.load_report,
         "site_enrolment": _sites,
         "enrolment_over_time": lambda d: views.enrolment_over_time(d["dm"]),
@@ -174,8 +180,7 @@ def queries() -> dict[str, Query]:
         "score_subjects": _scores,
         "cv_results": _cv,
     }
-    return {
-        "tidy_blanks": _tidy,
-        "sas_dates": _sas_dates,
-        **{name: _over(build) for name, build in over_domains.items()},
-    }
+
+
+def queries() -> dict[str, Query]:
+    return over_tables() | {name: _bound(build) for name, build in over_domains().items()}

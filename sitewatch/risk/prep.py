@@ -26,6 +26,11 @@ def number_sql(value: float) -> str:
     return f"({float(value)!r}D)"
 
 
+def present_sql(column: str) -> str:
+    """The column as a number; not-a-number counts as missing."""
+    return f"nullif(cast(`{column}` AS double), double('NaN'))"
+
+
 @dataclass(frozen=True)
 class NumberStats:
     name: str
@@ -35,7 +40,7 @@ class NumberStats:
 
     @property
     def imputed_sql(self) -> str:
-        return f"coalesce(cast(`{self.name}` AS double), {number_sql(self.median)})"
+        return f"coalesce({present_sql(self.name)}, {number_sql(self.median)})"
 
     @property
     def scaled_sql(self) -> str:
@@ -148,7 +153,7 @@ def _fit_levels(df: DataFrame, set_column: str) -> dict[int, dict[str, dict[str
 def _fit_numbers(df: DataFrame, set_column: str) -> dict[tuple[int, str], NumberStats]:
     values = (
         df.select(
-            F.col(set_column).alias("s"), *(F.col(c).cast("double").alias(c) for c in NUMERIC)
+            F.col(set_column).alias("s"), *(F.expr(present_sql(c)).alias(c) for c in NUMERIC)
         )
         .unpivot(["s"], list(NUMERIC), "name", "value")
     )
