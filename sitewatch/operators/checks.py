@@ -28,8 +28,10 @@ LISTING_COLUMNS = (
     "detail",
 )
 
-# Visit numbers this far apart are compared in separate pieces.
-VISITS_PER_PIECE = 1024
+# A subject with more records than this is compared in pieces, each as wide
+# in record numbers as the second value.
+LONG_SEQUENCE = 1_000_000
+STEPS_PER_PIECE = 100_000
 
 
 @dataclass(frozen=True)
@@ -212,25 +214,61 @@ def _record_hits(records: DataFrame, checks: list[EditCheck], *ids: str) -> Data
 
 
 def _sequence_hits(domains: Domains, check: EditCheck) -> DataFrame:
-    """Records dated before their predecessor in (subject, order).
+    """Records dated before their predecessor in (subject, order)."""
+    rule = check.rule
+    records = (
+        domains[rule.table]
+        .select(
+            "USUBJID",
+            F.col(rule.order).alias("step"),
+            F.col(rule.date).alias("date"),
+            F.col(rule.label).alias("label"),
+        )
+        .filter(F.col("USUBJID").isNotNull())
+    )
+    counts = records.groupBy("USUBJID").agg(F.count("*").alias("n"))
+    # At most one row per LONG_SEQUENCE records of the whole table.
+    long = F.broadcast(counts.filter(F.col("n") > LONG_SEQUENCE).select("USUBJID"))
+    short_pairs = _pairs(records.join(long, "USUBJID", "left_anti"))
+    long_pairs = _pairs_in_pieces(records.join(long, "USUBJID", "left_semi"))
+    detail = F.concat(
+        F.col("label"), F.lit(" ("), F.col("date"), F.lit(") is before "),
+        F.col("before.label"), F.lit(" ("), F.col("before.date"), F.lit(")"),
+    )
+    return (
+        short_pairs.unionByName(long_pairs)
+        .filter(F.col("date") < F.col("before.date"))
+        .select("USUBJID", F.lit(check.check_id).alias("check_id"), detail.alias("detail"))
+    )
+
 
-    Records of one order number are sorted by date, so only the first of them
-    can be early, and only the last can be a predecessor. That leaves one row
-    per (subject, number), folded before any shuffle. Long sequences are cut
-    into pieces by number; what crosses a cut is compared piece by piece.
+def _pairs(records: DataFrame) -> DataFrame:
+    """Each record with the one before it; date and label settle equal numbers."""
+    in_order = Window.partitionBy("USUBJID").orderBy("step", "date", "label")
+    return records.select(
+        "USUBJID",
+        "date",
+        "label",
+        F.lag(F.struct("date", "label")).over(in_order).alias("before"),
+    )
+
+
+def _pairs_in_pieces(records: DataFrame) -> DataFrame:
+    """The pairs that can be out of sequence, without a subject's records in one task.
+
+    Records of one number are sorted by date, so only the first of them can be
+    early, and only the last can be a predecessor. That leaves one row per
+    (subject, number), folded before any shuffle. The numbers are then cut
+    into pieces, and what crosses a cut is compared piece by piece.
     """
-    rule = check.rule
-    record = F.struct(F.col(rule.date).alias("date"), F.col(rule.label).alias("label"))
+    record = F.struct("date", "label")
     steps = (
-        domains[rule.table]
-        .groupBy("USUBJID", F.col(rule.order).alias("step"))
+        records.groupBy("USUBJID", "step")
         .agg(F.min(record).alias("first"), F.max(record).alias("last"))
-        .withColumn("piece", F.floor(F.col("step") / VISITS_PER_PIECE))
+        .withColumn("piece", F.floor(F.col("step") / STEPS_PER_PIECE))
     )
     within = Window.partitionBy("USUBJID", "piece").orderBy("step")
-    inner = steps.select(
-        "USUBJID", F.col("first").alias("here"), F.lag("last").over(within).alias("before")
-    )
+    inner = steps.select("USUBJID", "first", F.lag("last").over(within).alias("before"))
     pieces = steps.groupBy("USUBJID", "piece").agg(
         F.min(F.struct("step", "first")).alias("head"),
         F.max(F.struct("step", "last")).alias("tail"),
@@ -238,18 +276,10 @@ def _sequence_hits(domains: Domains, check: EditCheck) -> DataFrame:
     across = Window.partitionBy("USUBJID").orderBy("piece")
     outer = pieces.select(
         "USUBJID",
-        F.col("head.first").alias("here"),
+        F.col("head.first").alias("first"),
         F.lag("tail.last").over(across).alias("before"),
     )
-    detail = F.concat(
-        F.col("here.label"), F.lit(" ("), F.col("here.date"), F.lit(") is before "),
-        F.col("before.label"), F.lit(" ("), F.col("before.date"), F.lit(")"),
-    )
-    return (
-        inner.unionByName(outer)
-        .filter(F.col("here.date") < F.col("before.date"))
-        .select("USUBJID", F.lit(check.check_id).alias("check_id"), detail.alias("detail"))
-    )
+    return inner.unionByName(outer).select("USUBJID", "first.date", "first.label", "before")
 
 
 def _absence_hits(domains: Domains, check: EditCheck) -> DataFrame:

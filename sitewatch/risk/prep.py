@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from sitewatch.functions.text import text_sql
@@ -96,18 +96,51 @@ def add_columns(df: DataFrame, expressions: dict[str, str]) -> DataFrame:
 def fit_preparations(df: DataFrame, set_column: str) -> dict[int, Preparation]:
     """One preparation per training set; ``set_column`` says where a row belongs."""
     check_no_leaks((*NUMERIC, *CATEGORICAL))
-    numbers = _fit_numbers(df, set_column)
-    counts = _fit_levels(df, set_column)
+    learning = df.select(
+        F.col(set_column).alias("s"),
+        *(F.expr(present_sql(c)).alias(c) for c in NUMERIC),
+        *CATEGORICAL,
+        LABEL,
+    ).persist()
+    try:
+        return _learn(learning)
+    finally:
+        learning.unpersist()
+
+
+def _learn(learning: DataFrame) -> dict[int, Preparation]:
+    stats = learning.groupBy("s").agg(*_set_statistics()).collect()
+    widest = max((r[f"{c} levels"] for r in stats for c in CATEGORICAL), default=0)
+    if widest > MAX_LEVELS:
+        raise ValueError(f"a categorical column has about {widest} levels")
+    medians = _medians(learning, stats)
+    counts = _level_counts(learning)
     return {
-        s: Preparation(
-            numbers=tuple(numbers[s, c] for c in NUMERIC if (s, c) in numbers),
-            levels={c: _sorted_levels(by_name.get(c, {})) for c in CATEGORICAL},
-            class_counts={int(v): n for v, n in by_name[LABEL].items()},
+        r["s"]: Preparation(
+            numbers=tuple(
+                _with_imputed(r, c, medians[r["s"], c]) for c in NUMERIC if r[f"{c} n"]
+            ),
+            levels={c: _sorted_levels(counts[r["s"]][c]) for c in CATEGORICAL},
+            class_counts={int(v): n for v, n in counts[r["s"]][LABEL].items()},
         )
-        for s, by_name in counts.items()
+        for r in stats
     }
 
 
+def _set_statistics() -> list[Column]:
+    """Everything but the medians and levels, in one pass without a sort."""
+    marks = [0.5 + side * width for width in STRETCHES for side in (-1, 1)]
+    columns = [F.count("*").alias("rows")]
+    for c in NUMERIC:
+        columns += [
+            F.count(c).alias(f"{c} n"),
+            F.avg(c).alias(f"{c} mean"),
+            F.var_pop(c).alias(f"{c} variance"),
+            F.percentile_approx(c, marks, ACCURACY).alias(f"{c} marks"),
+        ]
+    return columns + [F.approx_count_distinct(c).alias(f"{c} levels") for c in CATEGORICAL]
+
+
 def fit_preparation(df: DataFrame) -> Preparation:
     fitted = fit_preparations(df.withColumn("_set", F.lit(0)), "_set")
     if not fitted:
@@ -116,10 +149,11 @@ def fit_preparation(df: DataFrame) -> Preparation:
 
 
 def _sorted_levels(counts: dict[str | None, int]) -> tuple[str | None, ...]:
+    """In text order, which fixes the first level; a missing one comes last."""
     return tuple(sorted(counts, key=lambda level: (level is None, level or "")))
 
 
-def _fit_levels(df: DataFrame, set_column: str) -> dict[int, dict[str, dict[str | None, int]]]:
+def _level_counts(learning: DataFrame) -> dict[int, dict[str, dict[str | None, int]]]:
     """Rows per set and level of each categorical column, and per class."""
     pairs = F.array(
         *(
@@ -128,75 +162,43 @@ def _fit_levels(df: DataFrame, set_column: str) -> dict[int, dict[str, dict[str
         )
     )
     counted = (
-        df.select(F.col(set_column).alias("s"), F.inline(pairs))
+        learning.select("s", F.inline(pairs))
         .groupBy("s", "name", "level")
         .agg(F.count("*").alias("n"))
     )
-    widest = (
-        counted.groupBy("s", "name")
-        .agg(F.count("*").alias("levels"))
-        .agg(F.max("levels"))
-        .scalar()
-    )
     out: dict[int, dict[str, dict[str | None, int]]] = {}
-    # A set with too many levels sends one row instead of all of them.
-    guarded = counted.withColumn("widest", widest).filter(
-        (F.col("widest") <= MAX_LEVELS) | F.col("name").eqNullSafe(LABEL)
-    )
-    for row in guarded.collect():
-        if row["widest"] > MAX_LEVELS:
-            raise ValueError(f"a categorical column has {row['widest']} levels")
+    for row in counted.collect():
         out.setdefault(row["s"], {}).setdefault(row["name"], {})[row["level"]] = row["n"]
     return out
 
 
-def _fit_numbers(df: DataFrame, set_column: str) -> dict[tuple[int, str], NumberStats]:
-    values = (
-        df.select(
-            F.col(set_column).alias("s"), *(F.expr(present_sql(c)).alias(c) for c in NUMERIC)
-        )
-        .unpivot(["s"], list(NUMERIC), "name", "value")
-    )
-    middle = [0.5 + side * width for width in STRETCHES for side in (-1, 1)]
-    stats = (
-        values.groupBy("s", "name")
-        .agg(
-            F.count("*").alias("n_rows"),
-            F.count("value").alias("n"),
-            F.avg("value").alias("mean"),
-            F.var_pop("value").alias("variance"),
-            F.percentile_approx("value", middle, ACCURACY).alias("marks"),
-        )
-        .filter(F.col("n") > 0)
-        .collect()
-    )
-    medians = _medians(values, stats)
-    return {
-        (r["s"], r["name"]): _with_imputed(r, medians[r["s"], r["name"]]) for r in stats
-    }
-
-
-def _with_imputed(row, median: float) -> NumberStats:
+def _with_imputed(row: Row, column: str, median: float) -> NumberStats:
     """Mean and population deviation once the missing values hold the median."""
-    n_rows, n = row["n_rows"], row["n"]
+    n_rows, n, old_mean = row["rows"], row[f"{column} n"], row[f"{column} mean"]
     missing = n_rows - n
-    mean = (n * row["mean"] + missing * median) / n_rows
-    spread = n * row["variance"] + n * missing / n_rows * (row["mean"] - median) ** 2
-    return NumberStats(row["name"], median, mean, (spread / n_rows) ** 0.5)
+    mean = (n * old_mean + missing * median) / n_rows
+    spread = n * row[f"{column} variance"] + n * missing / n_rows * (old_mean - median) ** 2
+    return NumberStats(column, median, mean, (spread / n_rows) ** 0.5)
 
 
-def _medians(values: DataFrame, stats: Sequence) -> dict[tuple[int, str], float]:
+def _medians(learning: DataFrame, stats: Sequence[Row]) -> dict[tuple[int, str], float]:
     """Exact medians: count what lies below a narrow stretch, sort only inside it."""
-    found: dict[tuple[int, str], float] = {}
+    values = learning.unpivot(["s"], list(NUMERIC), "name", "value")
+    wanted = {(r["s"], c): (r[f"{c} n"], r[f"{c} marks"]) for r in stats for c in NUMERIC}
+    wanted = {key: found for key, found in wanted.items() if found[0]}
+    medians: dict[tuple[int, str], float] = {}
     for i in range(len(STRETCHES)):
-        open_rows = [r for r in stats if (r["s"], r["name"]) not in found]
-        if not open_rows:
+        stretches = [
+            (s, c, n, marks[2 * i], marks[2 * i + 1])
+            for (s, c), (n, marks) in wanted.items()
+            if (s, c) not in medians
+        ]
+        if not stretches:
             break
-        stretches = [(r["s"], r["name"], r["n"], *r["marks"][2 * i : 2 * i + 2]) for r in open_rows]
         for row in _middle_values(values, stretches).collect():
             if row["upper"] is not None and (row["below"] or 0) < (row["n"] + 1) // 2:
-                found[row["s"], row["name"]] = (row["lower"] + row["upper"]) / 2
-    return found
+                medians[row["s"], row["name"]] = (row["lower"] + row["upper"]) / 2
+    return medians
 
 
 def _middle_values(values: DataFrame, stretches: list[tuple]) -> DataFrame:
