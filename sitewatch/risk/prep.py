@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 from sitewatch.functions.text import text_sql
 from sitewatch.risk.features import CATEGORICAL, LABEL, NUMERIC, check_no_leaks
 
-ACCURACY = 10_000
-# Half widths, as shares of the rows, of the stretch that must hold the median.
-# The first is wide enough by the sketch's own error bound; the last is everything.
-STRETCHES = (2 / ACCURACY, 0.01, 0.5)
+# The search for a median cuts its stretch of values into this many strips.
+STRIPS = 10_000
 MAX_LEVELS = 1_000
 
 
@@ -129,14 +127,14 @@ def _learn(learning: DataFrame) -> dict[int, Preparation]:
 
 def _set_statistics() -> list[Column]:
     """Everything but the medians and levels, in one pass without a sort."""
-    marks = [0.5 + side * width for width in STRETCHES for side in (-1, 1)]
     columns = [F.count("*").alias("rows")]
     for c in NUMERIC:
         columns += [
             F.count(c).alias(f"{c} n"),
+            F.min(c).alias(f"{c} min"),
+            F.max(c).alias(f"{c} max"),
             F.avg(c).alias(f"{c} mean"),
             F.var_pop(c).alias(f"{c} variance"),
-            F.percentile_approx(c, marks, ACCURACY).alias(f"{c} marks"),
         ]
     return columns + [F.approx_count_distinct(c).alias(f"{c} levels") for c in CATEGORICAL]
 
@@ -182,51 +180,89 @@ def _with_imputed(row: Row, column: str, median: float) -> NumberStats:
 
 
 def _medians(learning: DataFrame, stats: Sequence[Row]) -> dict[tuple[int, str], float]:
-    """Exact medians: count what lies below a narrow stretch, sort only inside it."""
+    """Exact medians, by narrowing the stretch of values that holds the middle.
+
+    Each round counts the values of a stretch by strip, which folds to few rows
+    before any shuffle, and goes on with the strip of the middle value, from
+    the least to the greatest value found in it. The ends of a stretch fall in
+    different strips, so it shrinks until one value is left.
+    """
     values = learning.unpivot(["s"], list(NUMERIC), "name", "value")
-    wanted = {(r["s"], c): (r[f"{c} n"], r[f"{c} marks"]) for r in stats for c in NUMERIC}
-    wanted = {key: found for key, found in wanted.items() if found[0]}
+    stretches = {
+        (r["s"], c): (r[f"{c} n"], r[f"{c} min"], r[f"{c} max"])
+        for r in stats
+        for c in NUMERIC
+        if r[f"{c} n"]
+    }
     medians: dict[tuple[int, str], float] = {}
-    for i in range(len(STRETCHES)):
-        stretches = [
-            (s, c, n, marks[2 * i], marks[2 * i + 1])
-            for (s, c), (n, marks) in wanted.items()
-            if (s, c) not in medians
-        ]
+    while stretches:
+        for key, (_, low, high) in list(stretches.items()):
+            if low == high:
+                medians[key] = low
+                del stretches[key]
         if not stretches:
             break
-        for row in _middle_values(values, stretches).collect():
-            if row["upper"] is not None and (row["below"] or 0) < (row["n"] + 1) // 2:
-                medians[row["s"], row["name"]] = (row["lower"] + row["upper"]) / 2
+        for row in _middle_strips(values, stretches).collect():
+            key = (row["s"], row["name"])
+            n, _, _ = stretches[key]
+            if row["lower_strip"] == row["upper_strip"]:
+                stretches[key] = (n, row["low"], row["high"])
+            else:
+                # The two middle values end one strip and begin the next.
+                medians[key] = (row["lower_end"] + row["upper_start"]) / 2
+                del stretches[key]
     return medians
 
 
-def _middle_values(values: DataFrame, stretches: list[tuple]) -> DataFrame:
-    """The two middle values of each set and column, looked for in its stretch."""
-    set_type = dict(values.dtypes)["s"]
-    s, name, n, low, high = (list(c) for c in zip(*stretches))
-    table = pa.table({"s": s, "name": name, "n": n, "low": low, "high": high})
+def _middle_strips(
+    values: DataFrame, stretches: dict[tuple[int, str], tuple[int, float, float]]
+) -> DataFrame:
+    """Per set and column, the strips that hold the two middle values."""
+    columns = zip(*((s, name, *stretch) for (s, name), stretch in stretches.items()))
+    table = pa.table(dict(zip(("s", "name", "n", "first", "last"), map(list, columns))))
     # One row per set and column: bounded by folds and features, not by rows.
     bounds = F.broadcast(
-        values.sparkSession.createDataFrame(table).withColumn("s", F.col("s").cast(set_type))
+        values.sparkSession.createDataFrame(table).withColumn(
+            "s", F.col("s").cast(dict(values.dtypes)["s"])
+        )
     )
+    value, first, last = F.col("value"), F.col("first"), F.col("last")
+    place = F.floor((value - first) / (last - first) * STRIPS)
+    # Strip -1 takes everything below the stretch.
+    strip = F.when(value < first, -1).otherwise(F.least(place, F.lit(STRIPS - 1)))
     counted = (
         values.join(bounds, ["s", "name"])
-        .filter(F.col("value") <= F.col("high"))
-        # Everything below the stretch becomes one row, keyed NULL.
-        .groupBy("s", "name", "n", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("at"))
-        .agg(F.count("*").alias("size"))
+        .filter(value <= last)
+        .groupBy("s", "name", "n", strip.alias("strip"))
+        .agg(F.count("*").alias("size"), F.min("value").alias("low"), F.max("value").alias("high"))
     )
-    rising = Window.partitionBy("s", "name", "n").orderBy("at").rowsBetween(
+    rising = Window.partitionBy("s", "name", "n").orderBy("strip").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    ranked = counted.withColumn("upto", F.sum("size").over(rising))
-    half = F.floor((F.col("n") + 1) / 2)
-    other_half = F.floor(F.col("n") / 2) + 1
-    return ranked.groupBy("s", "name", "n").agg(
-        F.max(F.when(F.col("at").isNull(), F.col("size"))).alias("below"),
-        F.min(F.when(F.col("upto") >= half, F.col("at"))).alias("lower"),
-        F.min(F.when(F.col("upto") >= other_half, F.col("at"))).alias("upper"),
+    upto = F.sum("size").over(rising)
+    lower_rank, upper_rank = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+
+    def holds(rank: Column) -> Column:
+        return (F.col("upto") >= rank) & (F.col("upto") - F.col("size") < rank)
+
+    strips = F.struct("strip", "low", "high")
+    return (
+        counted.withColumn("upto", upto)
+        .groupBy("s", "name")
+        .agg(
+            F.min(F.when(holds(lower_rank), strips)).alias("lower"),
+            F.min(F.when(holds(upper_rank), strips)).alias("upper"),
+        )
+        .select(
+            "s",
+            "name",
+            F.col("lower.strip").alias("lower_strip"),
+            F.col("upper.strip").alias("upper_strip"),
+            F.col("lower.low").alias("low"),
+            F.col("lower.high").alias("high"),
+            F.col("lower.high").alias("lower_end"),
+            F.col("upper.low").alias("upper_start"),
+        )
     )
 
 
