@@ -179,7 +179,9 @@ def _with_imputed(row: Row, column: str, median: float) -> NumberStats:
     return NumberStats(column, median, mean, (spread / n_rows) ** 0.5)
 
 
-def _medians(learning: DataFrame, stats: Sequence[Row]) -> dict[tuple[int, str], float]:
+def _medians(
+    learning: DataFrame, stats: Sequence[Row], columns: Sequence[str] = NUMERIC
+) -> dict[tuple[int, str], float]:
     """Exact medians, by narrowing the stretch of values that holds the middle.
 
     Each round counts the values of a stretch by strip, which folds to few rows
@@ -187,11 +189,10 @@ def _medians(learning: DataFrame, stats: Sequence[Row]) -> dict[tuple[int, str],
     the least to the greatest value found in it. The ends of a stretch fall in
     different strips, so it shrinks until one value is left.
     """
-    values = learning.unpivot(["s"], list(NUMERIC), "name", "value")
     stretches = {
         (r["s"], c): (r[f"{c} n"], r[f"{c} min"], r[f"{c} max"])
         for r in stats
-        for c in NUMERIC
+        for c in columns
         if r[f"{c} n"]
     }
     medians: dict[tuple[int, str], float] = {}
@@ -202,6 +203,8 @@ def _medians(learning: DataFrame, stats: Sequence[Row]) -> dict[tuple[int, str],
                 del stretches[key]
         if not stretches:
             break
+        still_open = sorted({name for _, name in stretches})
+        values = learning.unpivot(["s"], still_open, "name", "value")
         for row in _middle_strips(values, stretches).collect():
             key = (row["s"], row["name"])
             n, _, _ = stretches[key]
@@ -233,10 +236,15 @@ def _middle_strips(
     counted = (
         values.join(bounds, ["s", "name"])
         .filter(value <= last)
-        .groupBy("s", "name", "n", strip.alias("strip"))
-        .agg(F.count("*").alias("size"), F.min("value").alias("low"), F.max("value").alias("high"))
+        .groupBy("s", "name", strip.alias("strip"))
+        .agg(
+            F.count("*").alias("size"),
+            F.min("value").alias("low"),
+            F.max("value").alias("high"),
+            F.max("n").alias("n"),
+        )
     )
-    rising = Window.partitionBy("s", "name", "n").orderBy("strip").rowsBetween(
+    rising = Window.partitionBy("s", "name").orderBy("strip").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     upto = F.sum("size").over(rising)

@@ -79,18 +79,30 @@ def test_preparation_equals_numpy(spark, people):
     assert fitted.class_counts == pdf[LABEL].value_counts().to_dict()
 
 
-@pytest.mark.parametrize("values", [
+MEDIAN_CASES = [
     [5.0], [1.0, 2.0], [1.0, 2.0, 9.0], [1.0] * 900 + [2.0] * 900, [3.0] * 999 + [4.0] * 1000,
     [float(i) for i in range(20_001)], [float(i % 7) for i in range(20_000)],
     [math.exp(i % 1013 / 9) for i in range(700)], [0.0, -0.0, None],
     [1.0, 2.0, 3.0, None, float("nan"), float("nan"), float("nan")],
-])
-def test_median_is_exact(spark, values):
-    clean = [v for v in values if v is not None and not math.isnan(v)]
-    rows = [(f"S{i}", "701", v, "F", 1.0, 1.0, 1.0, 1.0, "A", 0, 0, i % 2)
-            for i, v in enumerate(values)]
-    fitted = prep.fit_preparation(spark.createDataFrame(rows, SCHEMA))
-    assert fitted.numbers[0].median == statistics.median(clean)
+    [-1e300, 1e-300, 2e-300, 3e-300, 1e300], [0.1 + 1e-17 * i for i in range(99)],
+    [math.nextafter(1.0, 2.0), 1.0, 1.0, math.nextafter(1.0, 2.0)],
+]
+
+
+def test_medians_are_exact(spark):
+    rows = [(f"S{i}", "701", v, "F", 1.0, 1.0, 1.0, 1.0, "A", case, 0, i % 2)
+            for case, values in enumerate(MEDIAN_CASES) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, SCHEMA).select(
+        F.col("early_ae_count").alias("s"), F.col("AGE").alias("value")
+    )
+    learning = df.select("s", F.expr(prep.present_sql("value")).alias("AGE"))
+    stats = learning.groupBy("s").agg(
+        F.count("AGE").alias("AGE n"), F.min("AGE").alias("AGE min"), F.max("AGE").alias("AGE max")
+    )
+    got = prep._medians(learning, stats.collect(), ("AGE",))
+    for case, values in enumerate(MEDIAN_CASES):
+        clean = [v for v in values if v is not None and not math.isnan(v)]
+        assert got[case, "AGE"] == statistics.median(clean)
 
 
 def test_many_training_sets_at_once(spark, people):
