@@ -103,6 +103,8 @@ def _estimator(kind: str, prep: Preparation, settings: Settings):
         maxDepth=settings.max_depth,
         maxBins=settings.max_bins,
         featureSubsetStrategy="sqrt",
+        # Deep trees: rows remember their nodes, checkpointed as the session says.
+        cacheNodeIds=True,
         seed=settings.seed,
     )
 
