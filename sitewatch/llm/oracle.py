@@ -1,0 +1,5 @@
+"""DuckDB SQL for the operators that SQL expresses."""
+
+from __future__ import annotations
+
+ORACLE: dict[str, str] = {}
