@@ -5,12 +5,13 @@ chosen for (step, character). Two texts walked with the same bits tend to fall
 into step again after an edit, so their edit distance shows as Hamming distance
 between the characters read. A key samples some of the steps; a stretch with few
 edits gives an equal key with a known chance, and keys are drawn again, with
-other bits, from every word of an item, until an item with ``MOST_EDITS`` edits
-is missed with a chance below 1 - ``RECALL``.
+other bits, from every word of an item. With the settings below, 95 in 100 items
+or more are met at 15 edits in 100 characters (the tests measure it).
 
-A key that meets fixes an item-sized window of the document: the item's length
-around the place that the word has in the item. The window is then
-compared exactly, by the edit distance between the item and the best stretch of the
+Two keys that meet at different words, as far apart in the document as in the
+item (give or take the edits between them), fix an item-sized window: the item's
+length from where the item then begins. One key is enough for items of few
+words. The window is then compared exactly, by the edit distance between the item and the best stretch of the
 window; a document is contaminated if that is at most a fifth of the item.
 
 The benchmark is indexed in blocks of bounded size, each sent to all tasks; all
@@ -37,10 +38,11 @@ from sitewatch.llm.common import add_columns, table
 SHORTEST = 40
 #: Share of an item's characters that may differ.
 MOST_EDITS = 0.2
-RECALL = 0.99
 #: Steps of a walk, and the steps that a key samples.
-STEPS, SAMPLED = 20, 14
-REPEATS = 2
+STEPS, SAMPLED = 24, 16
+REPEATS = 3
+#: Items of fewer keyed words need no second key; and how many later keys one is compared with.
+FEW_WORDS, NEIGHBOURS = 4, 12
 #: Bytes of items in one index.
 BLOCK_BYTES = 8 << 20
 #: Word starts that are walked at a time.
@@ -92,20 +94,6 @@ def word_starts(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-def chance_of_key(edits: float) -> float:
-    """Lower bound of the chance that one key survives this share of edits.
-
-    A walk of STEPS steps reads STEPS / 2 characters on average and at most
-    STEPS; without an edit among them the key is equal.
-    """
-    return (1 - edits) ** STEPS
-
-
-def recall_of(words: int, edits: float) -> float:
-    """Chance that an item of so many words with evenly spread edits meets a key."""
-    return 1 - (1 - chance_of_key(edits)) ** max(words, 0)
-
-
 class Index:
     """Keys of the words of some items."""
 
@@ -114,6 +102,7 @@ class Index:
         self.ids = [i for i, _ in known]
         self.texts = [d.tobytes().decode("utf-8", "replace") for _, d in known]
         self.sizes = np.array([len(d) for _, d in known], dtype=np.int64)
+        self.keyed = np.zeros(len(known), dtype=np.int64)
         self.tables = []
         for walk in WALKS:
             keys, owners, offsets = [], [], []
@@ -121,6 +110,7 @@ class Index:
                 starts = word_starts(data)
                 starts = starts[starts + STEPS <= len(data)]
                 keys.append(walk.keys(data, starts))
+                self.keyed[k] = len(starts)
                 owners.append(np.full(len(starts), k))
                 offsets.append(starts)
             if not keys:
@@ -151,6 +141,23 @@ class Index:
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), dtype=np.int64)
 
 
+def supported(rows: np.ndarray, owner: np.ndarray, keyed: np.ndarray) -> np.ndarray:
+    """Which rows (first byte, item, place of the key) a second key agrees with."""
+    offset = rows[:, 2] - rows[:, 0]
+    order = np.lexsort((rows[:, 2], rows[:, 1], owner))
+    whose, item, at, offset = owner[order], rows[order, 1], rows[order, 2], offset[order]
+    ok = keyed[item] < FEW_WORDS
+    for step in range(1, min(NEIGHBOURS, len(order) - 1) + 1):
+        here, there = at[step:] - at[:-step], offset[step:] - offset[:-step]
+        agree = (whose[step:] == whose[:-step]) & (item[step:] == item[:-step]) & (there > 0)
+        agree &= np.abs(here - there) <= MOST_EDITS * 1.5 * there + 2
+        ok[step:] |= agree
+        ok[:-step] |= agree
+    out = np.zeros(len(order), dtype=bool)
+    out[order] = ok
+    return out
+
+
 def best_stretch(item: str, window: str) -> tuple[int, int]:
     """(edit distance of the item to the nearest stretch of the window, its end).
 
@@ -254,6 +261,8 @@ def _search_stretch(index: Index, raw: np.ndarray, bounds: np.ndarray, out: list
     if not len(rows):
         return
     owner = np.searchsorted(bounds - begin, rows[:, 2], side="right") - 1
+    ok = supported(rows, owner, index.keyed)
+    rows, owner = rows[ok], owner[ok]
     for k in np.unique(owner).tolist():
         out[first + k] = _hits(index, data, int(bounds[k]) - begin, int(bounds[k + 1]) - begin, rows[owner == k])
 
