@@ -37,7 +37,7 @@ from sitewatch.llm.components import components
 from sitewatch.session import saved
 
 #: Block keys that a task holds before it hands them on, and per bucket.
-HELD, BUCKET_KEYS = 2_000_000, 1_000_000
+HELD, BUCKET_KEYS = 700_000, 1_000_000
 #: About how many key bytes a text of one byte gives; sets the number of buckets.
 KEYS_PER_BYTE = 1 / 18
 LEAST_BUCKETS = 24
