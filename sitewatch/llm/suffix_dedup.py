@@ -46,7 +46,7 @@ LEAST_BUCKETS = 24
 #: Bytes of whole documents that the splitters are sampled from, and keys kept.
 SAMPLE_BYTES, SAMPLE_KEYS = 8 << 20, 200_000
 #: Suffixes that a task holds before it hands them on.
-HELD = 1_500_000
+HELD = 700_000
 #: Bytes kept of each token and half.
 ONE, TWO, SIDE = 5, 7, 3
 NO_ID = np.iinfo(np.int64).max
