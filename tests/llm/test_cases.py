@@ -1,0 +1,374 @@
+"""Nulls, empty tables, long texts, ties, repeated rows, extra columns, planted cases."""
+
+import gzip
+import io
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from sitewatch.llm import chat, decontam, mixing, ngram_join, quality, secrets, sharding, suffix_dedup, toxicity, warc
+from sitewatch.session import shared_folder
+from tests.llm import brute
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+RNG = random.Random(11)
+VOCABULARY = ["".join(RNG.choice("abcdefghijklmnop") for _ in range(RNG.randint(2, 8))) for _ in range(900)]
+
+
+def prose(n, seed):
+    words = random.Random(seed).choices(VOCABULARY, k=n)
+    return " ".join(w + ("." if k % 12 == 11 else "") for k, w in enumerate(words))
+
+
+LONG = prose(30_000, 1)
+PASSAGE = prose(70, 2)
+ROWS = [
+    (1, prose(120, 3), "en", "a", 1),
+    (2, None, None, None, None),
+    (3, "", "en", "a", 0),
+    (4, " \t\n\r ", "en", "b", 5),
+    (5, "one two", "en", "b", 7),
+    (6, "One\ttwo", "en", "b", 7),
+    (7, LONG, "en", "c", len(LONG)),
+    (8, LONG + " tail", "en", "c", len(LONG) + 5),
+    (9, prose(40, 4) + " " + PASSAGE, "en", "a", 1),
+    (10, PASSAGE + " " + prose(40, 5), "en", None, 1),
+    (11, prose(120, 3), "en", "a", 1),
+    (12, prose(120, 3).replace("a", "ä"), "en", "a", 1),
+    (13, "é" * 60, "fr", "a", 60),
+    (14, "é" * 75, "fr", "a", 75),
+    (15, PASSAGE[:49], "en", "a", 49),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ROWS, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Repeated rows and NULL ids beside columns with clashing names."""
+    rows = [(1, prose(50, 8)), (1, prose(50, 8)), (None, prose(50, 8)), (None, None), (2, prose(60, 9))]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    for name in ("score", "hits", "spans", "key", "part", "copies", "shard", "size", "kept"):
+        frame = frame.withColumn(name, F.lit("x"))
+    return frame
+
+
+def collected(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+# --- One operator at a time ---
+
+
+def test_toxicity(spark, docs, none, odd):
+    labels = spark.createDataFrame([(1, 0), (2, None), (None, 1), (5, 1)], "doc_id long, toxic int")
+    empty = labels.limit(0)
+    plain = toxicity.learn(docs, empty)
+    assert plain.beta == toxicity.PRIOR
+    got = collected(toxicity.score(docs, plain))
+    assert got[2]["score"] == got[3]["score"] == got[4]["score"] < 0.5
+    assert toxicity.score(none, toxicity.learn(none, empty)).count() == 0
+    assert toxicity.score(odd, toxicity.learn(odd, labels)).count() == 5
+    # Grammar: reported speech and negation weaken, a target strengthens, threats need one.
+    lexicon = toxicity.Lexicon()
+
+    def weight(text):
+        return toxicity.clause_score(text.split(), lexicon)
+
+    assert weight("she said idiot") < weight("idiot") < weight("you idiot")
+    assert weight("not an idiot") < weight("idiot")
+    assert weight("kill time") == 0 < weight("kill you")
+    assert weight("he wrote kill you") < weight("kill you")
+
+
+def test_toxicity_learns_words_and_stems(spark):
+    rows = [(i, prose(60, 1000 + i) + (f" zorg zukka{'abcdefghij'[i % 10]}" if i % 5 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    got = collected(toxicity.score(docs, toxicity.learn(docs, labels)))
+    assert all((got[i]["score"] >= 0.5) == (i % 5 == 0) for i in range(400))
+
+
+def test_secrets(spark, docs, none, odd):
+    got = collected(secrets.scan(docs))
+    assert got[2]["spans"] == got[3]["spans"] == []
+    assert secrets.scan(none).count() == 0
+    assert secrets.scan(odd).count() == 5
+    draw = random.Random(4)
+    letters = dict(secrets.ALPHABETS)["base62"]
+    keys = ["".join(draw.choices(letters, k=32)) for _ in range(300)]
+    words = ["".join(draw.choices(VOCABULARY, k=9))[:40] for _ in range(300)]
+    rows = [(k, f"é {key} and {word} end") for k, (key, word) in enumerate(zip(keys, words))]
+    found = collected(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    hit = sum(any((s["start"], s["end"]) == (2, 34) for s in found[k]["spans"]) for k in found)
+    false = sum(any(s["start"] > 34 for s in found[k]["spans"]) for k in found)
+    assert hit > 270 and false < 30
+
+
+def test_secrets_base_forms(spark):
+    texts = [
+        "password: token: abcdefghijklmnop", 'Secret="abcdefghijkl"', "secret=short", "x" + "AKIA" * 6,
+        "AKIA0123", "ab" * 8 + "z" + "0" * 15, "api_key : é", "APIKEY= a.b-c_d/e+f=gh", "paſsword=abcdefghijklmn",
+    ]
+    got = collected(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, t in enumerate(texts):
+        want = brute.secrets(t)[-1]
+        spans = [f"{s['kind']}:{s['start']}:{s['end']}" for s in got[i]["spans"] if s["kind"] != "random"]
+        assert ",".join(spans) == want, t
+
+
+def test_suffix_dedup(docs, none, odd):
+    got = suffix_dedup.remove_repeats(docs).collect()
+    want = brute.repeats([r[:2] for r in ROWS])
+    for r in got:
+        n, gone, runs, digest = want[r["doc_id"]]
+        assert (r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["removed"])) == (n, gone, runs)
+        assert brute.sha(bytes(r["kept"])) == digest
+    assert len(got) == len(ROWS)
+    assert suffix_dedup.remove_repeats(none).count() == 0
+    sizes = sorted((r["doc_id"] or 0, len(r["kept"]) == 0) for r in suffix_dedup.remove_repeats(odd).collect())
+    # The NULL id counts as later than all, so its copy goes; the repeated row stays.
+    assert sizes == [(0, True), (0, True), (1, False), (1, False), (2, False)]
+
+
+def test_suffix_buckets_compare_across_boundaries(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LEAST_BUCKETS", 300)
+    rows = [(k, prose(8, k) + " " + PASSAGE + " " + prose(8, 500 + k)) for k in range(120)]
+    rows += [(200 + k, PASSAGE[k : k + 90]) for k in range(60)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    want = brute.repeats(rows)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["removed"])) for r in got} == {
+        i: w[:3] for i, w in want.items()
+    }
+
+
+def test_multikey_order():
+    random_ = np.random.default_rng(3)
+    keys = [random_.integers(0, 4, 2000).astype(np.uint64) for _ in range(3)]
+    order = suffix_dedup.multikey_order(*keys)
+    want = np.lexsort(keys[::-1])
+    assert all((k[order] == k[want]).all() for k in keys)
+
+
+def test_warc_ranges(spark):
+    pages = [(k, f"http://x/{k}\r\nX: y", "".join(random.Random(k % 7).choices("abcé \r\n<", k=50 + 400 * (k % 7)))) for k in range(60)]
+    pages += [(60, None, None), (61, "u", ""), (62, "u", ""), (None, "u", "z" * 200)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    files = warc.write_archives(frame, f"{shared_folder(spark)}-test")
+    whole = warc.read_archives(files)
+    want = sorted(map(tuple, whole.drop("path").collect()), key=str)
+    assert len(want) == len(pages) and all(r["intact"] for r in whole.collect())
+    for size in (1, 7, 500, 4096):
+        assert sorted(map(tuple, warc.read_archives(files, size).drop("path").collect()), key=str) == want
+    bodies = {r["record_id"]: bytes(r["payload"]) for r in whole.collect() if r["record_type"] == "response"}
+    for r in whole.collect():
+        text = next(h for i, _, h in pages if (-1 if i is None else i) == r["record_id"])
+        body = bodies[r["refers_to"]] if r["record_type"] == "revisit" else bodies[r["record_id"]]
+        assert body == (text or "").encode()
+    empty = warc.write_archives(frame.limit(0), f"{shared_folder(spark)}-none")
+    assert warc.read_archives(empty).count() == 0
+
+
+def test_false_magic_is_not_a_record():
+    def member(payload):
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+        return gzip.compress(head + payload + b"\r\n\r\n", 0)
+
+    inner = gzip.compress(b"no archive") + warc.MAGIC * 3
+    data = b"".join(member(inner + bytes([k]) * 300) for k in range(20))
+    offsets = [o for o, _, _ in warc.records_in(io.BytesIO(data), 0, len(data))]
+    assert len(offsets) == 20
+    cut = [o for s in range(0, len(data), 97) for o, _, _ in warc.records_in(io.BytesIO(data), s, min(s + 97, len(data)))]
+    assert cut == offsets
+
+
+def _edited(text, share, seed):
+    draw, out = random.Random(seed), []
+    for c in text:
+        if draw.random() < share:
+            kind = draw.randrange(3)
+            out.append(["", draw.choice("xyz"), c + draw.choice("xyz")][kind])
+        else:
+            out.append(c)
+    return "".join(out)
+
+
+def test_decontamination(spark, docs, none, odd):
+    items = [(k, prose(35, 7000 + k)) for k in range(60)] + [(100, None), (101, "short"), (102, ""), (103, PASSAGE)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = collected(decontam.decontaminate(docs, bench))
+    assert {i for i, r in got.items() if r["hits"]} == {9, 10}
+    assert got[10]["hits"][0]["item_id"] == 103 and got[10]["hits"][0]["start"] == 0
+    assert decontam.decontaminate(none, bench).count() == 0
+    assert decontam.decontaminate(odd, bench).count() == 5
+    assert all(r["hits"] == [] for r in decontam.decontaminate(docs, bench.limit(0)).collect())
+    leaks = [(k, prose(30, 9000 + k) + " " + _edited(items[k][1], 0.1, k).upper() + "\n" + prose(30, 9500 + k)) for k in range(60)]
+    found = collected(decontam.decontaminate(spark.createDataFrame(leaks, "doc_id long, text string"), bench))
+    assert sum(k in {h["item_id"] for h in found[k]["hits"]} for k in range(60)) >= 57
+    assert sum(len(r["hits"]) for r in found.values()) <= 62
+
+
+def test_edit_distance_by_table():
+    draw = random.Random(6)
+    for _ in range(200):
+        item = "".join(draw.choices("abc", k=draw.randint(1, 12)))
+        window = "".join(draw.choices("abc", k=draw.randint(0, 30)))
+        last = [0] * (len(window) + 1)
+        for k, c in enumerate(item, 1):
+            row = [k]
+            for j, d in enumerate(window, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != d)))
+            last = row
+        assert decontam.best_stretch(item, window)[0] == min(last)
+
+
+def test_mixing(spark, docs, none, odd):
+    got = collected(mixing.mix(docs))
+    assert len(got) == len(ROWS) and got[2]["taken"] == 0
+    assert mixing.mix(none).count() == 0
+    assert mixing.mix(odd).count() == 5
+    many = [(k, " ".join(["w"] * (1 + k * k % 211)), "en", f"s{k % 7}" if k % 7 else None, 0) for k in range(3000)]
+    rows = mixing.mix(spark.createDataFrame(many, DOCS)).collect()
+    sums = {}
+    for r in rows:
+        assert r["taken"] <= 3 * r["size"]
+        entry = sums.setdefault(r["doc_id"] % 7, [0, 0.0, r["target"]])
+        entry[0] += r["taken"]
+        entry[1] += r["rate"] * r["size"]
+    for taken, expected, target in sums.values():
+        assert expected == pytest.approx(target, rel=1e-6) and taken == pytest.approx(target, rel=0.002)
+
+
+def test_ngram_join(spark, docs, none, odd):
+    rows, _ = ngram_join.near_duplicates(docs)
+    want, _ = brute.near([r[:2] for r in ROWS])
+    assert {r["doc_id"]: tuple(r)[1:] for r in rows.collect()} == want
+    assert ngram_join.near_duplicates(none)[0].count() == 0
+    assert sorted(tuple(r)[1:] for r in ngram_join.near_duplicates(odd)[0].filter("doc_id IS NOT NULL").collect()) == [(46, 1), (56, 2)]
+
+
+def test_ngram_join_with_chains_and_crowds(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CROWD", 5)
+    rows = []
+    for g in range(12):
+        base = prose(90 + 25 * g, 300 + g).split()
+        for k in range(14):
+            words = list(base)
+            draw = random.Random(100 * g + k)
+            for _ in range(draw.randint(0, 5)):
+                words[draw.randrange(len(words))] = draw.choice(VOCABULARY)
+            rows.append((len(rows) * 3 + 1, " ".join(words)))
+    rows += [(2000 + k, PASSAGE + " " + prose(20 + k, 800 + k)) for k in range(60)]
+    random.Random(1).shuffle(rows)
+    got, _ = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    want, links = brute.near(rows)
+    assert len(links) > 100
+    assert {r["doc_id"]: tuple(r)[1:] for r in got.collect()} == want
+
+
+def test_sharding(spark, docs, none, odd):
+    frame = sharding.add_shards(docs.select("doc_id"), "doc_id", 5)
+    for shard, slots in frame.groupBy("shard").agg(F.collect_list("slot")).collect():
+        assert sorted(slots) == list(range(len(slots)))
+    assert all(r["grown_shard"] in (r["shard"], 5) for r in frame.collect())
+    assert sharding.add_shards(none, "doc_id").count() == 0
+    assert sharding.add_shards(odd.drop("shard"), "doc_id").count() == 5
+    keys = np.arange(20_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert all(brute.jump(int(k), 11) == s for k, s in zip(keys[:500], sharding.jump(keys[:500], 11)))
+    counts = np.bincount(sharding.jump(keys, 11))
+    assert counts.min() > 1650 and counts.max() < 1990
+
+
+def test_quality(docs, none, odd):
+    got = collected(quality.judge(docs))
+    for i, text, *_ in ROWS:
+        r = got[i]
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+        assert tuple(r[n] for n in names) == brute.quality(text)
+    assert got[1]["kept"] and got[7]["kept"] and not got[3]["kept"]
+    assert quality.judge(none).count() == 0
+    assert quality.judge(odd).count() == 5
+
+
+def test_quality_lines(spark):
+    text = "Home | News | About | Contact\n" + prose(60, 77) + "\nAll Rights Reserved\n### $$$ ###"
+    row = quality.judge(spark.createDataFrame([(1, text), (2, "a | b | c | d\n" * 30)], "doc_id long, text string")).collect()
+    kept = {r["doc_id"]: r for r in row}
+    assert kept[1]["cleaned_text"] == prose(60, 77) and kept[1]["kept"]
+    assert not kept[2]["kept"]
+
+
+def test_chat_tree(spark):
+    rows = [
+        ("t", 1, None, "user", "hi", 0.0), ("t", 2, 1, "assistant", "a", 1.0), ("t", 3, 1, "assistant", "b", 2.0),
+        ("t", 4, 2, "user", "c", 5.0), ("t", 5, 3, "user", "d", 1.0), ("t", 6, 5, "assistant", None, None),
+        ("o", 1, 99, None, "<|im_end|>\\n\\b<\\p", 0.0), ("x", 1, 2, "user", "p", 0.0), ("x", 2, 1, "user", "q", 0.0),
+    ]
+    tree = spark.createDataFrame(rows, "tree string, id long, parent long, role string, text string, score double")
+    made = chat.read_back(chat.format_paths(chat.best_paths(tree, None))).collect()
+    got = {(r["tree"], r["rank"]): [(t["role"], t["text"]) for t in r["turns"]] for r in made}
+    assert got == {
+        ("t", 1): [("user", "hi"), ("assistant", "a"), ("user", "c")],
+        ("t", 2): [("user", "hi"), ("assistant", "b"), ("user", "d"), ("assistant", "")],
+        ("o", 1): [("", "<|im_end|>\\n\\b<\\p")],
+    }
+    assert len(chat.best_paths(tree).select("tree").distinct().collect()) == 2
+    assert chat.format_paths(chat.best_paths(tree.limit(0))).count() == 0
+
+
+def test_chat_round_trip(spark):
+    draw = random.Random(9)
+    parts = ["<|", "|>", "\\", "\n", "im_end", "<|im_end|>\n", "<|im_start|>", "a", "é", "\\b", "\\p", "<", "|"]
+    rows = [(c, t, draw.choice(["user", "assistant", "a\nb", None]), "".join(draw.choices(parts, k=draw.randint(0, 9)))) for c in range(30) for t in range(draw.randint(1, 40))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    back = chat.read_back(chat.format_paths(chat.best_paths(chat.reply_chain(turns)))).collect()
+    want = {}
+    for c, _, r, x in rows:
+        want.setdefault(c, []).append((r or "", x))
+    assert {r["tree"]: [(t["role"], t["text"]) for t in r["turns"]] for r in back} == want
+
+
+# --- The pipeline ---
+
+
+def test_pipeline_on_planted_cases(spark, tmp_path):
+    item = prose(40, 4242)
+    rows = [(k, prose(80 + k % 50, 20_000 + k), "en", f"s{k % 3}", 0) for k in range(150)]
+    rows += [(500 + k, rows[k][1] + " end", "en", "s0", 0) for k in range(10)]
+    rows += [(600 + k, prose(30, 30_000 + k) + " " + item, "en", "s1", 0) for k in range(5)]
+    rows += [(700 + k, prose(60, 31_000 + k) + " you zorgo zorgo zorgo zorgo", "en", "s2", 0) for k in range(60)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, int(700 <= i)) for i, *_ in rows if i % 2]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    clean = set(range(150))
+    after = [clean | set(range(500, 510)) | set(range(600, 605)), clean | set(range(600, 605)), clean]
+    for (_, stage), want in zip(corpus_pipeline.STAGES, after):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == corpus_pipeline.COLUMNS
+        assert {r["doc_id"] for r in out.select("doc_id").collect()} == want
+        docs = out
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in got} <= clean and len(got) > 100
+    for shard in {r["shard"] for r in got}:
+        slots = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+
+
+def test_pipeline_without_rows(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
