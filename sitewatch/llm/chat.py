@@ -105,16 +105,16 @@ def best_paths(messages: DataFrame, branches: int | None = 1) -> DataFrame:
             F.col("steps").alias("_steps2"),
             F.col("score").alias("_score2"),
         )
-        before = up
-        up = saved(
-            up.join(above, ["_t", "up"], "left").select(
-                "_t",
-                "id",
-                F.col("_up2").alias("up"),
-                (F.col("steps") + F.coalesce("_steps2", F.lit(0))).alias("steps"),
-                (F.col("score") + F.coalesce("_score2", F.lit(0.0))).alias("score"),
-            )
+        # Only messages with more ancestors take part; the others are done.
+        further = up.filter(F.col("up").isNotNull())
+        joined = further.join(above, ["_t", "up"], "left").select(
+            "_t",
+            "id",
+            F.col("_up2").alias("up"),
+            (F.col("steps") + F.coalesce("_steps2", F.lit(0))).alias("steps"),
+            (F.col("score") + F.coalesce("_score2", F.lit(0.0))).alias("score"),
         )
+        before, up = up, saved(up.filter(F.col("up").isNull()).unionByName(joined))
         jumps.append(up.select("_t", "id", "up"))
         still = up.filter(F.col("up").isNotNull())
         if len(jumps) > 2 and still.count() == before.filter(F.col("up").isNotNull()).count():
