@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewatch.llm import shingles as G
-from sitewatch.llm.common import salted_left_join, table
+from sitewatch.llm.common import salted_left_join, slices, table
 from sitewatch.llm.components import components
 from sitewatch.session import saved
 
@@ -139,7 +139,7 @@ def _one_pass(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(0).to_numpy().astype(np.int64)
             texts = [t.encode() if t else b"" for t in batch.column(1).to_pylist()]
             for begin, step in G.steps(texts):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewatch.llm.common import add_columns, rows_to_batches, table
+from sitewatch.llm.common import add_columns, rows_to_batches, slices, table
 
 #: The three forms, their kinds in order, and the shortest length each.
 ASSIGN = re.compile(
@@ -169,7 +169,7 @@ def count_classes(docs: DataFrame, text: str = "text") -> dict[tuple[str, int],
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for value in batch.column(0).to_pylist():
                 value = value or ""
                 for _, _, token in candidates(value, base_spans(value)):

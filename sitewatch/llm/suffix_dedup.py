@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewatch.llm import suffixes as S
-from sitewatch.llm.common import table
+from sitewatch.llm.common import slices, table
 from sitewatch.session import saved
 
 #: Bytes of text per bucket of suffixes and per part of documents.
@@ -124,7 +124,7 @@ def _documents(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     """Columns (one, two, before, after, id, place) of all suffixes, step by step."""
-    for batch in batches:
+    for batch in slices(batches):
         ids, texts = _documents(batch)
         for held in S.pieces(texts):
             found = S.anchors(S.Stream(held))

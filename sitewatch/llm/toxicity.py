@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewatch.llm.common import add_columns, rows_to_batches, table
+from sitewatch.llm.common import add_columns, rows_to_batches, slices, table
 
 SAMPLE = 20_000
 #: Learned entries: at least this G-squared, at most so many, stems of these lengths.
@@ -139,7 +139,7 @@ class Lexicon:
     def symbol(self, token: str) -> tuple[str, float]:
         found = self.known.get(token)
         if found is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             found = self.known[token] = self._symbol(token)
         return found
@@ -226,7 +226,7 @@ def _count_entries(rows: DataFrame) -> DataFrame:
             for entry in seen[0].keys() | seen[1].keys():
                 yield (*entry, seen[1][entry], seen[0][entry])
 
-        for batch in batches:
+        for batch in slices(batches):
             yield from rows_to_batches(rows_of(batch), schema, 50_000)
 
     return (
@@ -292,7 +292,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     schema = pa.schema([("a", pa.float64()), ("b", pa.float64()), ("toxic", pa.int32())])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, toxic = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             yield from rows_to_batches(
                 ((*features(t, lexicon), y) for t, y in zip(texts, toxic)), schema
