@@ -105,7 +105,7 @@ CHECKS: tuple[EditCheck, ...] = (
         "AE02", "AE", "High", "Adverse event end date is before its start date",
         RecordRule(
             "ae",
-            "AEENDTC < AESTDTC AND length(AESTDTC) = 10 AND length(AEENDTC) = 10",
+            "length(AEENDTC) = 10 AND length(AESTDTC) = 10 AND AEENDTC < AESTDTC",
             "concat(AETERM, ': ', AESTDTC, ' -> ', AEENDTC)",
         ),
     ),
@@ -130,7 +130,7 @@ CHECKS: tuple[EditCheck, ...] = (
         "Adverse event has an end date but outcome says not recovered/not resolved",
         RecordRule(
             "ae",
-            "AEOUT = 'NOT RECOVERED/NOT RESOLVED' AND AEENDTC IS NOT NULL",
+            "AEENDTC IS NOT NULL AND AEOUT = 'NOT RECOVERED/NOT RESOLVED'",
             "concat(AETERM, ' ended ', AEENDTC, ' but outcome: ', AEOUT)",
         ),
     ),

@@ -168,7 +168,8 @@ def main(arguments: Sequence[str] | None = None) -> None:
     if args.job == "views":
         run_views(domains, args.out, args.window_days)
     elif args.job == "checks":
-        run_edit_checks(domains, args.out, args.only).show(truncate=False)
+        summary = run_edit_checks(domains, args.out, args.only)
+        summary.show(summary.count(), truncate=False)
     else:
         settings = train.Settings(n_trees=args.trees)
         kpis, scores, ratios = run_model(domains, args.out, args.repeats, settings)
@@ -177,7 +178,7 @@ def main(arguments: Sequence[str] | None = None) -> None:
         rounded = [F.round(c, 3).alias(c) for c in ("mean", "sd")]
         scores.select("model", "metric", *rounded).show(truncate=False)
         ratios.withColumns({c: F.round(c, 2) for c in ("coef", "odds_ratio")}).show(
-            50, truncate=False
+            ratios.count(), truncate=False
         )
 
 

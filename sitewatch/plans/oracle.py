@@ -159,21 +159,21 @@ HITS = {
     "AE02": """
         SELECT USUBJID, SITEID, AETERM || ': ' || AESTDTC || ' -> ' || AEENDTC AS detail
         FROM ae JOIN dm USING (USUBJID)
-        WHERE strlen(AESTDTC) = 10 AND strlen(AEENDTC) = 10 AND AESTDTC > AEENDTC""",
+        WHERE length(AEENDTC) = 10 AND length(AESTDTC) = 10 AND AEENDTC < AESTDTC""",
     "AE03": """
         SELECT USUBJID, SITEID, AETERM || ': study day ' || trunc(AESTDY)::INT AS detail
         FROM ae JOIN dm USING (USUBJID) WHERE AESTDY < 1""",
     "AE04": """
         SELECT USUBJID, SITEID, AETERM || ' (outcome: ' || AEOUT || ')' AS detail
         FROM ae JOIN dm USING (USUBJID)
-        WHERE AEOUT ILIKE 'recovered%' AND AEENDTC IS NULL""",
+        WHERE AEENDTC IS NULL AND AEOUT ILIKE 'RECOVERED%'""",
     "AE05": """
         SELECT USUBJID, SITEID, AETERM || ' ended ' || AEENDTC || ' but outcome: ' || AEOUT AS detail
         FROM ae JOIN dm USING (USUBJID)
         WHERE AEENDTC IS NOT NULL AND AEOUT = 'NOT RECOVERED/NOT RESOLVED'""",
     "SV01": """
         SELECT USUBJID, SITEID, VISIT || ' on ' || SVSTDTC || ', study end ' || RFPENDTC AS detail
-        FROM sv JOIN dm USING (USUBJID) WHERE RFPENDTC < SVSTDTC""",
+        FROM sv JOIN dm USING (USUBJID) WHERE SVSTDTC > RFPENDTC""",
     "SV02": """
         SELECT USUBJID, SITEID,
                VISIT || ' (' || SVSTDTC || ') is before ' || v0 || ' (' || d0 || ')' AS detail
@@ -185,7 +185,8 @@ HITS = {
         WHERE d0 > SVSTDTC""",
     "DS01": """
         SELECT USUBJID, SITEID, 'no DSCAT = DISPOSITION EVENT row' AS detail FROM adsl
-        WHERE USUBJID NOT IN (SELECT USUBJID FROM ds WHERE DSCAT = 'DISPOSITION EVENT')""",
+        WHERE NOT EXISTS (SELECT 1 FROM ds WHERE ds.USUBJID = adsl.USUBJID
+                          AND ds.DSCAT = 'DISPOSITION EVENT')""",
     "EX01": """
         SELECT USUBJID, SITEID, 'no rows in EX' AS detail FROM adsl ANTI JOIN ex USING (USUBJID)""",
 }
@@ -261,7 +262,7 @@ q_features AS (
          (DISCONFL IS NOT DISTINCT FROM 'Y')::BIGINT AS discontinued
   FROM adsl
   LEFT JOIN (SELECT USUBJID, count(*) AS n,
-                    count(*) FILTER (WHERE AESEV <> 'MILD') AS n_worse
+                    count(*) FILTER (WHERE AESEV IN ('MODERATE', 'SEVERE')) AS n_worse
              FROM ae WHERE AESTDY >= 1 AND AESTDY <= 14 GROUP BY ALL) USING (USUBJID)
   WHERE date_diff('day', RFSTDTC::DATE, RFENDTC::DATE) >= 14
 )

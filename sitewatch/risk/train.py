@@ -20,6 +20,7 @@ from sitewatch.risk.metrics import fold_scores
 from sitewatch.risk.prep import Preparation, add_columns, fit_preparation, fit_preparations
 from sitewatch.session import shared_folder
 
+# Model and metric names.
 LOGISTIC = "Logistic regression"
 FOREST = "Random forest"
 METRICS = ("ROC-AUC", "Balanced accuracy")
