@@ -46,6 +46,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.
             yield batch.slice(begin, rows)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``; its session hands Python at most 1,000 rows or 8 MB at a time.
+
+    Spark's own bounds are 10,000 rows and 64 MB, held in the JVM and in Python at
+    once by every running task, which texts of many pages fill.
+    """
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows))
     return pa.RecordBatch.from_arrays(
@@ -76,7 +88,7 @@ def add_columns(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept]
         + [f"`{name}` {kind}" for name, (kind, _) in added.items()]
     )
-    return df.select(*[F.col(f"`{name}`") for name in kept]).mapInArrow(run, ddl)
+    return bounded_batches(df).select(*[F.col(f"`{name}`") for name in kept]).mapInArrow(run, ddl)
 
 
 def salted_left_join(

@@ -32,20 +32,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewatch.llm import shingles as G
-from sitewatch.llm.common import salted_left_join, slices, table
+from sitewatch.llm.common import bounded_batches, salted_left_join, slices, table
 from sitewatch.llm.components import components
 from sitewatch.session import saved
 
 #: Block keys that a task holds before it hands them on, and per bucket.
-HELD, BUCKET_KEYS = 700_000, 1_000_000
+HELD, BUCKET_KEYS = 300_000, 1_000_000
 #: About how many key bytes a text of one byte gives; sets the number of buckets.
 KEYS_PER_BYTE = 1 / 18
 LEAST_BUCKETS = 24
 #: Members of one key in one task beyond which they are paired there.
-CROWD = 2_000
+CROWD = 850
 KEYS, FACTS, MEMBERS = 0, 1, 2
 #: Rows of a pair table that are compared at a time inside a block.
 TILE = 512
+#: Pairs of texts that are Python objects at a time.
+PAIRS_AT_A_TIME = 256
 
 
 def linked(overlap, size_a, size_b):
@@ -243,13 +245,14 @@ def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose overlap, counted from the texts, makes a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, PAIRS_AT_A_TIME):
+            texts = [t.encode() if t else b"" for k in (2, 3) for t in batch.column(k).to_pylist()]
             n = batch.num_rows
-            sides = [[t.encode() if t else b"" for t in batch.column(k).to_pylist()] for k in (2, 3)]
             keep = np.zeros(n, dtype=bool)
-            for begin in range(0, n, TILE):
-                a, b = (G.gram_sets(side[begin : begin + TILE]) for side in sides)
-                for k in range(len(a.bounds) - 1):
+            # A step ends after so many bytes of the first texts; the second are as long within a quarter.
+            for begin, firsts in G.steps(texts[:n]):
+                a, b = G.gram_sets(firsts), G.gram_sets(texts[n + begin : n + begin + len(firsts)])
+                for k in range(len(firsts)):
                     x = a.grams[a.bounds[k] : a.bounds[k + 1]]
                     y = b.grams[b.bounds[k] : b.bounds[k + 1]]
                     overlap = len(np.intersect1d(x, y, assume_unique=True))
@@ -311,7 +314,7 @@ def _across(members: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows (doc_id, n_shingles, component_id), links (a, b) between different sets)."""
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = bounded_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     unnamed = docs.filter(F.col("doc_id").isNull())
     docs = docs.filter(F.col("doc_id").isNotNull())
     total = docs.agg(F.sum(F.octet_length("text")).cast("long")).first()[0] or 0

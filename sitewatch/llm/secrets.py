@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewatch.llm.common import add_columns, rows_to_batches, slices, table
+from sitewatch.llm.common import add_columns, bounded_batches, rows_to_batches, slices, table
 
 #: The three forms, their kinds in order, and the shortest length each.
 ASSIGN = re.compile(
@@ -178,7 +178,8 @@ def count_classes(docs: DataFrame, text: str = "text") -> dict[tuple[str, int],
         yield from rows_to_batches(((*key, n) for key, n in seen.items()), schema)
 
     counted = (
-        docs.select(text)
+        bounded_batches(docs)
+        .select(text)
         .mapInArrow(count, "name string, size int, bin int, n long")
         .groupBy("name", "size", "bin")
         .agg(F.sum("n").alias("n"))

@@ -9,7 +9,7 @@ import numpy as np
 
 WORDS = 5
 #: Bytes of text gathered for one step.
-STEP = 2 << 20
+STEP = 1 << 20
 
 _RANDOM = np.random.default_rng(7130211)
 _BYTES = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewatch.llm import suffixes as S
-from sitewatch.llm.common import slices, table
+from sitewatch.llm.common import bounded_batches, slices, table
 from sitewatch.session import saved
 
 #: Bytes of text per bucket of suffixes and per part of documents.
@@ -459,7 +459,7 @@ def removed_runs(covered: np.ndarray, strings: np.ndarray, size: int) -> list[tu
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, n_bytes, kept binary, removed array of (start, end))."""
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = bounded_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text")).cast("long")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, math.ceil(total / BUCKET_BYTES))
     parts = max(LEAST_BUCKETS, math.ceil(total / PART_BYTES)) | 1

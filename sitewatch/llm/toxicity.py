@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewatch.llm.common import add_columns, rows_to_batches, slices, table
+from sitewatch.llm.common import add_columns, bounded_batches, rows_to_batches, slices, table
 
 SAMPLE = 20_000
 #: Learned entries: at least this G-squared, at most so many, stems of these lengths.
@@ -206,7 +206,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     # Bounded by SAMPLE rows of two numbers.
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "_toxic")
+    return bounded_batches(docs).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "_toxic")
 
 
 def _count_entries(rows: DataFrame) -> DataFrame:

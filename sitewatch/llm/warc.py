@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewatch.llm.common import rows_to_batches, salted_left_join, table
+from sitewatch.llm.common import bounded_batches, rows_to_batches, salted_left_join, table
 from sitewatch.session import saved, shared_folder
 
 SHORTEST = 100
@@ -160,7 +160,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             yield from rows_to_batches(iter([(path, size, count)]), WRITTEN)
 
     columns = ("page_id", "url", "html", "digest", "refers_to")
-    return saved(ready.select(*columns).mapInArrow(write, WRITTEN_DDL))
+    return saved(bounded_batches(ready).select(*columns).mapInArrow(write, WRITTEN_DDL))
 
 
 def _header(text: bytes) -> dict[str, str]:
