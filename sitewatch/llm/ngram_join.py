@@ -37,15 +37,15 @@ from sitewatch.llm.components import components
 from sitewatch.session import saved
 
 #: Block keys that a task holds before it hands them on, and per bucket.
-HELD, BUCKET_KEYS = 300_000, 1_000_000
+HELD, BUCKET_KEYS = 300_000, 400_000
 #: About how many key bytes a text of one byte gives; sets the number of buckets.
 KEYS_PER_BYTE = 1 / 18
 LEAST_BUCKETS = 24
 #: Members of one key in one task beyond which they are paired there.
 CROWD = 850
 KEYS, FACTS, MEMBERS = 0, 1, 2
-#: Rows of a pair table that are compared at a time inside a block.
-TILE = 512
+#: Rows of a pair table that are compared at a time inside a block, and map bytes.
+TILE, MAP_BYTES = 512, 1 << 22
 #: Pairs of texts that are Python objects at a time.
 PAIRS_AT_A_TIME = 256
 
@@ -285,6 +285,7 @@ def _across(members: DataFrame) -> DataFrame:
             own = int((lengths[near] == length).sum())
             block = np.vstack([G.folded(np.frombuffer(maps[k], np.uint8)[None], int(length)) for k in near])
             words = block.view(np.uint64)
+            step = max(1, MAP_BYTES // int(length))
             for begin in range(0, own, TILE):
                 rows = near[begin : min(begin + TILE, own)]
                 for start in range(begin, len(near), TILE):
@@ -297,10 +298,10 @@ def _across(members: DataFrame) -> DataFrame:
                     if not len(r):
                         continue
                     most = G.most_different(n[rows[r]], n[cols[c]])
-                    for cut in range(0, len(r), 1 << 16):
-                        i, j = r[cut : cut + (1 << 16)], c[cut : cut + (1 << 16)]
+                    for cut in range(0, len(r), step):
+                        i, j = r[cut : cut + step], c[cut : cut + step]
                         differ = np.bitwise_count(words[begin + i] ^ words[start + j]).sum(axis=1)
-                        ok = differ <= most[cut : cut + (1 << 16)]
+                        ok = differ <= most[cut : cut + step]
                         x, y = doc[rows[i[ok]]], doc[cols[j[ok]]]
                         found.append(np.column_stack([np.minimum(x, y), np.maximum(x, y)]))
         pairs = np.vstack(found) if found else np.zeros((0, 2), np.int64)
