@@ -11,23 +11,34 @@ UNIX_EPOCH_JULIAN_MS = 210_866_760_000_000
 
 WHOLE_DATE = (
     r"^\d{4}-\d{2}-\d{2}"
-    r"([T ]([01]\d|2[0-4]):[0-5]\d(:[0-5]\d(\.\d+)?)?)?$"
+    r"([T ]([01]\d|2[0-4]):[0-5]\d(:[0-5]\d(\.\d+)?)?"
+    r"( *([Zz]|[+-](0\d|1[0-4]):[0-5]\d) *)?)?$"
 )
+ZONE = r" *([Zz]|[+-]\d\d:\d\d) *$"
 
 
 def julian_day(text: Column) -> Column:
     """Julian day number of a whole date or date-time text, else NULL.
 
     Works on the calendar fields alone, so the session time zone plays no
-    part. Partial and impossible dates give NULL.
+    part. A time with ``Z`` or an offset is taken to UTC. Partial and impossible
+    dates give NULL.
     """
     days = F.unix_date(F.substring(text, 1, 10).try_cast("date")).cast("bigint")
 
+    def number(digits: Column) -> Column:
+        return F.coalesce(digits.try_cast("double"), F.lit(0.0))
+
+    local = F.regexp_replace(F.substring(text, 12, 1_000), ZONE, "")
+    zone = F.regexp_extract(F.substring(text, 12, 1_000), ZONE, 1)
+
     def part(start: int, length: int) -> Column:
-        return F.coalesce(F.substring(text, start, length).try_cast("double"), F.lit(0.0))
+        return number(F.substring(local, start, length))
 
-    clock = part(12, 2) * 3_600_000.0 + part(15, 2) * 60_000.0 + part(18, 16) * 1000.0
-    ms = F.when(F.length(text) > 10, clock.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    minutes = number(F.substring(zone, 2, 2)) * 60.0 + number(F.substring(zone, 5, 2))
+    ahead = F.when(zone.startswith("-"), -minutes).otherwise(minutes) * 60_000.0
+    clock = part(1, 2) * 3_600_000.0 + part(4, 2) * 60_000.0 + part(7, 16) * 1000.0
+    ms = F.when(F.length(text) > 10, clock.cast("bigint") - ahead.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     total = days * F.lit(MS_PER_DAY) + F.lit(UNIX_EPOCH_JULIAN_MS) + ms
     return F.when(text.rlike(WHOLE_DATE), total.cast("double") / F.lit(float(MS_PER_DAY)))
 

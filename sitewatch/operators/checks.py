@@ -28,9 +28,7 @@ LISTING_COLUMNS = (
     "detail",
 )
 
-# A subject with more records than this is compared in pieces, each as wide
-# in record numbers as the second value.
-LONG_SEQUENCE = 1_000_000
+# A subject's records are compared in pieces this wide in record numbers.
 STEPS_PER_PIECE = 100_000
 
 
@@ -226,37 +224,21 @@ def _sequence_hits(domains: Domains, check: EditCheck) -> DataFrame:
         )
         .filter(F.col("USUBJID").isNotNull())
     )
-    counts = records.groupBy("USUBJID").agg(F.count("*").alias("n"))
-    # At most one row per LONG_SEQUENCE records of the whole table.
-    long = F.broadcast(counts.filter(F.col("n") > LONG_SEQUENCE).select("USUBJID"))
-    short_pairs = _pairs(records.join(long, "USUBJID", "left_anti"))
-    long_pairs = _pairs_in_pieces(records.join(long, "USUBJID", "left_semi"))
     detail = F.concat(
         F.col("label"), F.lit(" ("), F.col("date"), F.lit(") is before "),
         F.col("before.label"), F.lit(" ("), F.col("before.date"), F.lit(")"),
     )
     return (
-        short_pairs.unionByName(long_pairs)
+        _pairs(records)
         .filter(F.col("date") < F.col("before.date"))
         .select("USUBJID", F.lit(check.check_id).alias("check_id"), detail.alias("detail"))
     )
 
 
 def _pairs(records: DataFrame) -> DataFrame:
-    """Each record with the one before it; date and label settle equal numbers."""
-    in_order = Window.partitionBy("USUBJID").orderBy("step", "date", "label")
-    return records.select(
-        "USUBJID",
-        "date",
-        "label",
-        F.lag(F.struct("date", "label")).over(in_order).alias("before"),
-    )
-
-
-def _pairs_in_pieces(records: DataFrame) -> DataFrame:
     """The pairs that can be out of sequence, without a subject's records in one task.
 
-    Records of one number are sorted by date, so only the first of them can be
+    Records of one number are sorted by date and label, so only the first of them can be
     early, and only the last can be a predecessor. That leaves one row per
     (subject, number), folded before any shuffle. The numbers are then cut
     into pieces, and what crosses a cut is compared piece by piece.

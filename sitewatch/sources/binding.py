@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 
 from sitewatch.sources.schema import DOMAIN_NAMES
 
-# A customer with more orders than this is numbered in pieces.
-LONG_HISTORY = 1_000_000
+# Orders are numbered in pieces this wide in order keys.
+PIECE_KEYS = 1_000_000
 
 
 class BoundDomains(Mapping):
     """The domains of one data folder; each is planned when first asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, long_history: int = LONG_HISTORY):
+    def __init__(self, spark: SparkSession, sf_dir: str, piece_keys: int = PIECE_KEYS):
         self._spark = spark
         self._sf_dir = sf_dir
-        self._long_history = long_history
+        self._piece_keys = piece_keys
         self._planned: dict[str, DataFrame] = {}
 
     def _table(self, name: str) -> DataFrame:
@@ -36,7 +36,7 @@ class BoundDomains(Mapping):
 
     def _plan(self, name: str) -> DataFrame:
         if name == "sv":
-            return _sv(self._orders, self._subjects, self._long_history)
+            return _sv(self._orders, self._subjects, self._piece_keys)
         if name == "ae":
             return _ae(self._table("events"), self._subjects)
         if name == "ex":
@@ -55,8 +55,8 @@ class BoundDomains(Mapping):
         return len(DOMAIN_NAMES)
 
 
-def bind(spark: SparkSession, sf_dir: str, long_history: int = LONG_HISTORY) -> BoundDomains:
-    return BoundDomains(spark, sf_dir, long_history)
+def bind(spark: SparkSession, sf_dir: str, piece_keys: int = PIECE_KEYS) -> BoundDomains:
+    return BoundDomains(spark, sf_dir, piece_keys)
 
 
 def _subjects(customer: DataFrame, orders: DataFrame) -> DataFrame:
@@ -113,28 +113,20 @@ def _adsl(subjects: DataFrame) -> DataFrame:
     )
 
 
-def _numbered_orders(orders: DataFrame, subjects: DataFrame, long_history: int) -> DataFrame:
-    """Orders with ``n``, their place in the customer's history by order key."""
+def _numbered_orders(orders: DataFrame, subjects: DataFrame, piece_keys: int) -> DataFrame:
+    """Orders with ``n``, their place in the customer's history by order key.
+
+    Order keys are unique, so a piece holds ``piece_keys`` orders at most.
+    """
     rows = orders.selectExpr("o_custkey AS k", "o_orderkey AS ok").join(
-        subjects.select("k", "USUBJID", "d0", "n_orders"), "k"
-    )
-    # Parquet footers answer this count. While the whole table is that short,
-    # every history is.
-    if orders.count() <= long_history:
-        own = Window.partitionBy("k").orderBy("ok")
-        return rows.withColumn("n", F.row_number().over(own).cast("bigint"))
-
-    # Order keys are unique, so a piece this many keys wide is short as well.
-    is_long = F.col("n_orders") > long_history
-    rows = rows.withColumn(
-        "piece", F.when(is_long, F.floor(F.col("ok") / long_history)).otherwise(F.lit(0))
+        subjects.select("k", "USUBJID", "d0"), "k"
     )
+    rows = rows.withColumn("piece", F.floor(F.col("ok") / piece_keys))
     before = Window.partitionBy("k").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        rows.filter(is_long)
-        .groupBy("k", "piece")
+        rows.groupBy("k", "piece")
         .agg(F.count("*").alias("size"))
-        .select("k", "piece", F.sum("size").over(before).alias("carried"))
+        .select("k", "piece", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("carried"))
     )
     inside = Window.partitionBy("k", "piece").orderBy("ok")
     return (
@@ -142,13 +134,13 @@ def _numbered_orders(orders: DataFrame, subjects: DataFrame, long_history: int)
         # by customer, and with it a long history in one task.
         rows.repartition("k", "piece")
         .withColumn("inside", F.row_number().over(inside))
-        .join(carried, ["k", "piece"], "left")
-        .withColumn("n", F.col("inside") + F.coalesce("carried", F.lit(0)))
+        .join(carried, ["k", "piece"])
+        .withColumn("n", F.col("inside") + F.col("carried"))
     )
 
 
-def _sv(orders: DataFrame, subjects: DataFrame, long_history: int) -> DataFrame:
-    return _numbered_orders(orders, subjects, long_history).selectExpr(
+def _sv(orders: DataFrame, subjects: DataFrame, piece_keys: int) -> DataFrame:
+    return _numbered_orders(orders, subjects, piece_keys).selectExpr(
         "USUBJID",
         "double(n + 2) AS VISITNUM",
         "double(14 * (n - 1) + 1) AS VISITDY",

@@ -12,6 +12,8 @@ from tests.planted import domains, rows
 DATES = [
     "2014-03-01", "2014-03-02", "2013-12-31", "2014-03-01T10:30", "2014-03-02T10:29",
     "2014-03-02 10:30:15", "2014-03-05T23:59:59.5", "2014-03", "not a date", "", None,
+    "2014-03-01T10:00Z", "2014-03-01T10:00+05:00", "2014-03-01T01:15:30.25-11:30", "2014-03-01 23:59 z",
+    "2014-03-01T10:00+15:00", "2014-03-01T10:00+5:00", "2014-03-01T10:00 +00:45 ", "2014-03-01T10:00X",
 ]
 
 
@@ -166,6 +168,6 @@ def test_kpis_of_nobody(spark):
 
 
 def test_long_histories_are_numbered_alike(spark, small):
-    whole, pieces = bind(spark, small)["sv"], bind(spark, small, long_history=5)["sv"]
+    whole, pieces = bind(spark, small)["sv"], bind(spark, small, piece_keys=5)["sv"]
     assert whole.exceptAll(pieces).count() == 0
     assert pieces.exceptAll(whole).count() == 0
