@@ -5,6 +5,8 @@ Only medians, means, deviations, levels and class counts reach the driver.
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,7 +19,7 @@ from sitewatch.risk.features import CATEGORICAL, LABEL, NUMERIC, check_no_leaks
 
 # The search for a median cuts its stretch of values into this many strips.
 STRIPS = 10_000
-MAX_LEVELS = 1_000
+LARGEST = sys.float_info.max
 
 
 def number_sql(value: float) -> str:
@@ -108,9 +110,9 @@ def fit_preparations(df: DataFrame, set_column: str) -> dict[int, Preparation]:
 
 def _learn(learning: DataFrame) -> dict[int, Preparation]:
     stats = learning.groupBy("s").agg(*_set_statistics()).collect()
-    widest = max((r[f"{c} levels"] for r in stats for c in CATEGORICAL), default=0)
-    if widest > MAX_LEVELS:
-        raise ValueError(f"a categorical column has about {widest} levels")
+    for c in NUMERIC:
+        if any(math.isinf(r[f"{c} {end}"] or 0.0) for r in stats for end in ("min", "max")):
+            raise ValueError(f"{c} holds an infinite value")
     medians = _medians(learning, stats)
     counts = _level_counts(learning)
     return {
@@ -126,7 +128,7 @@ def _learn(learning: DataFrame) -> dict[int, Preparation]:
 
 
 def _set_statistics() -> list[Column]:
-    """Everything but the medians and levels, in one pass without a sort."""
+    """Everything but the medians, in one pass without a sort."""
     columns = [F.count("*").alias("rows")]
     for c in NUMERIC:
         columns += [
@@ -136,7 +138,7 @@ def _set_statistics() -> list[Column]:
             F.avg(c).alias(f"{c} mean"),
             F.var_pop(c).alias(f"{c} variance"),
         ]
-    return columns + [F.approx_count_distinct(c).alias(f"{c} levels") for c in CATEGORICAL]
+    return columns
 
 
 def fit_preparation(df: DataFrame) -> Preparation:
@@ -209,10 +211,14 @@ def _medians(
             key = (row["s"], row["name"])
             n, _, _ = stretches[key]
             if row["lower_strip"] == row["upper_strip"]:
+                if stretches[key] == (n, row["low"], row["high"]):
+                    raise RuntimeError(f"the search for the median of {row['name']} does not settle")
                 stretches[key] = (n, row["low"], row["high"])
             else:
                 # The two middle values end one strip and begin the next.
-                medians[key] = (row["lower_end"] + row["upper_start"]) / 2
+                both = row["lower_end"], row["upper_start"]
+                total = sum(both)
+                medians[key] = sum(v / 2 for v in both) if math.isinf(total) else total / 2
                 del stretches[key]
     return medians
 
@@ -230,7 +236,11 @@ def _middle_strips(
         )
     )
     value, first, last = F.col("value"), F.col("first"), F.col("last")
-    place = F.floor((value - first) / (last - first) * STRIPS)
+    # Halves where the width itself is beyond the largest double.
+    share = F.when(last - first <= LARGEST, (value - first) / (last - first)).otherwise(
+        (value / 2 - first / 2) / (last / 2 - first / 2)
+    )
+    place = F.floor(share * STRIPS)
     # Strip -1 takes everything below the stretch.
     strip = F.when(value < first, -1).otherwise(F.least(place, F.lit(STRIPS - 1)))
     counted = (

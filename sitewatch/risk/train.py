@@ -8,9 +8,14 @@ from multiprocessing.pool import ThreadPool
 import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.classification import (
+    LogisticRegression,
+    LogisticRegressionModel,
+    RandomForestClassifier,
+)
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +30,10 @@ LOGISTIC = "Logistic regression"
 FOREST = "Random forest"
 METRICS = ("ROC-AUC", "Balanced accuracy")
 
+# A fit whose mean loss is steeper than this in some coefficient is refused.
+FLAT = 1e-4
+TINY = 1e-300
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -34,7 +43,7 @@ class Settings:
     max_iter: int = 1000
     n_trees: int = 300
     min_leaf: int = 5
-    max_depth: int = 30
+    max_depth: int = 30  # the deepest that Spark grows
     max_bins: int = 64
     seed: int = 42
     parallelism: int = 4
@@ -71,15 +80,29 @@ class RiskModel:
         return cls(PipelineModel.load(f"{folder}/pipeline"), tuple(r["name"] for r in rows))
 
 
-def _preparing_stages(prep: Preparation) -> tuple[list, tuple[str, ...]]:
-    design = prep.design()
-    # Levels may hold any character, so columns are named by position.
-    inputs = [f"x{i}" for i in range(len(design))]
-    columns = ", ".join(f"{sql} AS {x}" for x, sql in zip(inputs, design.values()))
-    return [
-        SQLTransformer(statement=f"SELECT *, {columns} FROM __THIS__"),
-        VectorAssembler(inputCols=inputs, outputCol="inputs"),
-    ], tuple(design)
+def _preparing_stages(train: DataFrame, prep: Preparation) -> tuple[list, tuple[str, ...]]:
+    """Scaled numbers and one sparse vector per category, whatever its levels."""
+    numbers = {f"x{i}": sql for i, sql in enumerate(prep.scaled().values())}
+    # The first level has no place of its own: like one never seen, it gives zeros.
+    others = {f"c{i}": (c, known[1:]) for i, (c, known) in enumerate(prep.levels.items()) if known[1:]}
+    marked = {x: f"coalesce(concat('v', `{c}`), 'missing')" for x, (c, _) in others.items()}
+    columns = ", ".join(f"{sql} AS {x}" for x, sql in {**numbers, **marked}.items())
+    stages = [SQLTransformer(statement=f"SELECT *, {columns} FROM __THIS__")]
+    for x, (_, known) in others.items():
+        labels = ["missing" if level is None else f"v{level}" for level in known]
+        stages.append(
+            StringIndexerModel.from_labels(labels, inputCol=x, outputCol=f"{x}_index", handleInvalid="keep")
+        )
+    if others:
+        # The encoder reads the number of levels from the indexers, not from rows.
+        indexed = PipelineModel(stages).transform(train)
+        stages.append(
+            OneHotEncoder(
+                inputCols=[f"{x}_index" for x in others], outputCols=[f"{x}_dummies" for x in others]
+            ).fit(indexed)
+        )
+    inputs = [*numbers, *(f"{x}_dummies" for x in others)]
+    return [*stages, VectorAssembler(inputCols=inputs, outputCol="inputs")], tuple(prep.design())
 
 
 def _estimator(kind: str, prep: Preparation, settings: Settings):
@@ -95,7 +118,8 @@ def _estimator(kind: str, prep: Preparation, settings: Settings):
             elasticNetParam=0.0,
             standardization=False,
             maxIter=settings.max_iter,
-            tol=1e-9,
+            # Tighter, and the line search may find no step that still helps.
+            tol=1e-7,
         )
     return RandomForestClassifier(
         **common,
@@ -113,13 +137,35 @@ def _estimator(kind: str, prep: Preparation, settings: Settings):
 def fit_model(
     kind: str, train: DataFrame, prep: Preparation, settings: Settings = Settings()
 ) -> RiskModel:
-    stages, names = _preparing_stages(prep)
+    stages, names = _preparing_stages(train, prep)
     weighted = add_columns(train, {"weight": prep.weight_sql()})
     ready = PipelineModel(stages).transform(weighted).select("inputs", LABEL, "weight")
     fitted = _estimator(kind, prep, settings).fit(ready)
+    if kind == LOGISTIC:
+        _check_settled(fitted, ready, settings)
     return RiskModel(PipelineModel([*stages, fitted]), names)
 
 
+def _check_settled(fitted: LogisticRegressionModel, ready: DataFrame, settings: Settings) -> None:
+    """Raise unless the solver stopped by itself where the mean loss is flat."""
+    if fitted.summary.totalIterations >= settings.max_iter:
+        raise RuntimeError(f"the solver did not settle in {settings.max_iter} steps")
+    scored = fitted.transform(ready)
+    miss = F.col("weight") * (vector_to_array("probability")[1] - F.col(LABEL))
+    # Summed apart, as weights must not be negative, nor all be 0.
+    parts = {"over": F.greatest(miss, F.lit(TINY)), "under": F.greatest(-miss, F.lit(TINY))}
+    sums = scored.select("inputs", *(part.alias(name) for name, part in parts.items())).agg(
+        *(Summarizer.sum(F.col("inputs"), F.col(name)).alias(f"{name} inputs") for name in parts),
+        *(F.sum(name).alias(name) for name in parts),
+        F.count("*").alias("n"),
+    ).first()
+    slopes = (sums["over inputs"].toArray() - sums["under inputs"].toArray()) / sums["n"]
+    slopes += fitted.getRegParam() * fitted.coefficients.toArray()
+    steepest = max(abs(slopes).max(initial=0.0), abs(sums["over"] - sums["under"]) / sums["n"])
+    if not steepest <= FLAT:
+        raise RuntimeError(f"the solver stopped at a slope of {steepest:.2g}")
+
+
 def fit_final(features: DataFrame, settings: Settings = Settings()) -> RiskModel:
     """The interpretable model on all rows."""
     return fit_model(LOGISTIC, features, fit_preparation(features), settings)

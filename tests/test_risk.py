@@ -86,9 +86,16 @@ MEDIAN_CASES = [
     [1.0, 2.0, 3.0, None, float("nan"), float("nan"), float("nan")],
     [-1e300, 1e-300, 2e-300, 3e-300, 1e300], [0.1 + 1e-17 * i for i in range(99)],
     [math.nextafter(1.0, 2.0), 1.0, 1.0, math.nextafter(1.0, 2.0)],
+    [-1.7e308, 1.0, 2.0, 5.0, 1.7e308], [-1.7e308, -1.0, 3.0, 1.7e308], [0.0, 5e-324, 1e-323],
 ]
 
 
+def test_infinite_values_are_refused(spark, people):
+    endless = people.withColumn("BMIBL", F.when(F.col("SEX") == "F", F.lit(float("inf"))).otherwise(F.col("BMIBL")))
+    with pytest.raises(ValueError, match="BMIBL holds an infinite value"):
+        prep.fit_preparation(endless)
+
+
 def test_medians_are_exact(spark):
     rows = [(f"S{i}", "701", v, "F", 1.0, 1.0, 1.0, 1.0, "A", case, 0, i % 2)
             for case, values in enumerate(MEDIAN_CASES) for i, v in enumerate(values)]
@@ -136,10 +143,17 @@ def test_constant_missing_and_unseen_values(spark):
     assert train.fit_final(df).score(new).count() == 4
 
 
-def test_too_many_levels_are_refused(spark, people, monkeypatch):
-    monkeypatch.setattr(prep, "MAX_LEVELS", 2)
-    with pytest.raises(ValueError, match="about 3 levels"):
-        prep.fit_preparation(people)
+def test_five_thousand_levels(spark, people):
+    number = F.pmod(F.xxhash64("USUBJID", "copy"), F.lit(5_000))
+    many = people.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(200)))).withColumn(
+        "TRT01P", F.when(number > 0, F.format_string("arm %04d", number))
+    ).withColumn("USUBJID", F.concat_ws("-", "USUBJID", "copy")).drop("copy")
+    levels = many.select("TRT01P").distinct().count()
+    assert levels > 4_900
+    model = train.fit_final(many)
+    assert len(model.names) == len(model.coefficients) == len(NUMERIC) + 1 + levels - 1
+    assert model.names[-1] == "TRT01P_None"
+    assert model.score(many).filter(F.col("risk").between(0, 1)).count() == many.count()
 
 
 def newton(design, y, weights, penalty=1.0):
@@ -169,6 +183,14 @@ def test_logistic_fit_equals_newton(spark, people):
     assert risks.between(0, 1).all() and risks.nunique() > 100
 
 
+def test_a_fit_that_does_not_settle_is_refused(spark, people, monkeypatch):
+    with pytest.raises(RuntimeError, match="did not settle in 2 steps"):
+        train.fit_final(people, train.Settings(max_iter=2))
+    monkeypatch.setattr(train, "FLAT", 1e-14)
+    with pytest.raises(RuntimeError, match="stopped at a slope"):
+        train.fit_final(people)
+
+
 def test_odds_ratios_are_named_and_sorted(spark, people):
     ratios = explain.odds_ratios(train.fit_final(people)).collect()
     assert {r["feature"] for r in ratios} == {
