@@ -22,9 +22,6 @@ from sitewatch.sources import xport
 from sitewatch.sources.schema import DOMAIN_NAMES, SAS_DATE_COLUMNS
 from sitewatch.sources.tables import Domains, read_domain_tables, read_domains
 
-# One subject may weigh as much as this many average buckets.
-MOST_BUCKETS_FULL = 4
-
 
 def read_raw_domain(spark: SparkSession, raw: str, name: str) -> DataFrame:
     """One transport file ``name.xpt``, or a folder ``name`` of many, made tidy."""
@@ -42,19 +39,21 @@ def load_domains(domains: Domains, data: str) -> Domains:
     return read_domains(SparkSession.active(), data)
 
 
-def load_domain_tables(domains: Domains, database: str, buckets: int) -> Domains:
-    """Write every domain as a catalog table, bucketed by subject where that is safe.
+def load_domain_tables(
+    domains: Domains, database: str, buckets: int, plain: Sequence[str] = ()
+) -> Domains:
+    """Write every domain as a catalog table, bucketed by subject unless named in ``plain``.
 
     Joins and groupings by subject then read their buckets without a shuffle.
-    A bucket is read by one task, so a domain stays plain if one subject would
-    fill far more than its bucket.
+    A bucket is read by one task, so name the domains in which a few subjects
+    own most rows.
     """
     spark = SparkSession.active()
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     for name in DOMAIN_NAMES:
         df = domains[name]
         writer = df.write
-        if _is_even(df, buckets):
+        if name not in plain:
             writer = (
                 df.repartition(buckets, "USUBJID")
                 .write.bucketBy(buckets, "USUBJID")
@@ -64,15 +63,14 @@ def load_domain_tables(domains: Domains, database: str, buckets: int) -> Domains
     return read_domain_tables(spark, database)
 
 
-def _is_even(df: DataFrame, buckets: int) -> bool:
-    sizes = df.groupBy("USUBJID").agg(F.count("*").alias("n"))
-    row = sizes.agg(F.max("n").alias("largest"), F.sum("n").alias("total")).first()
-    return row["total"] is None or row["largest"] * buckets <= MOST_BUCKETS_FULL * row["total"]
-
-
-def run_load(raw: str, data: str) -> DataFrame:
+def run_load(
+    raw: str, data: str | None, database: str | None = None, buckets: int = 64, plain: Sequence[str] = ()
+) -> DataFrame:
+    """Load into a folder, or into the tables of a database."""
     spark = SparkSession.active()
     raw_domains = {name: read_raw_domain(spark, raw, name) for name in DOMAIN_NAMES}
+    if database:
+        return load.load_report(load_domain_tables(raw_domains, database, buckets, plain))
     return load.load_report(load_domains(raw_domains, data))
 
 
@@ -147,9 +145,13 @@ def main(arguments: Sequence[str] | None = None) -> None:
     jobs = parser.add_subparsers(dest="job", required=True)
     for name in ("load", "views", "checks", "model"):
         job = jobs.add_parser(name)
-        job.add_argument("--data", required=True, help="folder of the loaded domains")
+        loaded = job.add_mutually_exclusive_group(required=True)
+        loaded.add_argument("--data", help="folder of the loaded domains")
+        loaded.add_argument("--database", help="database of the loaded domains")
         if name == "load":
             job.add_argument("--raw", required=True, help="folder of the transport files")
+            job.add_argument("--buckets", type=int, default=64, help="buckets of each table")
+            job.add_argument("--plain", nargs="*", default=(), help="domains left without buckets")
         else:
             job.add_argument("--out", required=True, help="folder for the results")
         if name == "views":
@@ -162,9 +164,12 @@ def main(arguments: Sequence[str] | None = None) -> None:
     args = parser.parse_args(arguments)
     spark = job_session(f"sitewatch {args.job}")
     if args.job == "load":
-        run_load(args.raw, args.data).show(truncate=False)
+        run_load(args.raw, args.data, args.database, args.buckets, args.plain).show(truncate=False)
         return
-    domains = read_domains(spark, args.data)
+    if args.database:
+        domains = read_domain_tables(spark, args.database)
+    else:
+        domains = read_domains(spark, args.data)
     if args.job == "views":
         run_views(domains, args.out, args.window_days)
     elif args.job == "checks":

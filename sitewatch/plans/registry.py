@@ -12,6 +12,7 @@ from sitewatch.operators import frames, load, views
 from sitewatch.risk import explain, metrics, prep, train
 from sitewatch.risk.features import LABEL, NUMERIC, landmark_features
 from sitewatch.risk.folds import cv_folds
+from sitewatch.session import saved
 from sitewatch.sources.binding import bind
 from sitewatch.sources.tables import Domains
 
@@ -83,8 +84,13 @@ def _features(d: Domains) -> DataFrame:
     return landmark_features(d["adsl"], d["ae"])
 
 
+def _written_features(d: Domains) -> DataFrame:
+    """The features, derived once for a query that reads them several times."""
+    return saved(_features(d))
+
+
 def _imputed(d: Domains) -> DataFrame:
-    features = _features(d)
+    features = _written_features(d)
     fitted = prep.fit_preparation(features)
     return prep.add_columns(features, fitted.imputed()).select(
         "USUBJID", "SEX", "TRT01P", *NUMERIC
@@ -92,7 +98,7 @@ def _imputed(d: Domains) -> DataFrame:
 
 
 def _prepared(d: Domains, with_dummies: bool) -> DataFrame:
-    features = _features(d)
+    features = _written_features(d)
     fitted = prep.fit_preparation(features)
     dummies = fitted.dummies() if with_dummies else {}
     scaled = [
@@ -120,17 +126,16 @@ def _balanced(d: Domains) -> DataFrame:
 
 
 def _odds(d: Domains) -> DataFrame:
-    return explain.odds_ratios(train.fit_final(_features(d)))
+    return explain.odds_ratios(train.fit_final(_written_features(d)))
 
 
 def _scores(d: Domains) -> DataFrame:
-    features = _features(d)
+    features = _written_features(d)
     return train.fit_final(features).score(features).select("USUBJID", "SITEID", "risk")
 
 
 def _cv(d: Domains) -> DataFrame:
-    # One repeat and a small forest; the defaults are ten repeats and 300 trees.
-    return train.evaluate(_features(d), n_repeats=1, settings=train.Settings(n_trees=20))
+    return train.evaluate(_written_features(d))
 
 
 def over_tables() -> dict[str, Query]:

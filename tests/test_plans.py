@@ -45,6 +45,14 @@ def test_all_event_checks_share_one_scan(plan):
     assert len(scans(text, "ex")) == len(scans(text, "ds")) == 1
 
 
+def test_visit_order_takes_one_scan(stored):
+    df = registry.over_domains()["check_sv02"](stored)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # A reused exchange is printed without what lies below it.
+    assert len(scans(final, "sv")) == 1
+
+
 def test_only_needed_columns_are_read(plan):
     def columns(name, table):
         return {re.sub(r"#\d+", "", c) for c in scans(plan(name), table)[0].split(",")}
