@@ -18,6 +18,7 @@ LABELS = {
     "early_ae_count": "AEs in first 14 days",
     "early_ae_mod_sev": "Moderate/severe AEs in first 14 days",
 }
+# Words shown before a level.
 PREFIXES = {"TRT01P_": "Arm: ", "SEX_": "Sex: "}
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Domain names.
 DOMAIN_NAMES = ("dm", "ds", "sv", "ae", "ex", "adsl")
 
 # Date columns of the analysis dataset that arrive as SAS day counts.
+# Columns that hold SAS dates.
 SAS_DATE_COLUMNS = {"adsl": ("TRTSDT", "TRTEDT", "VISIT1DT", "DISONSDT", "RFENDT")}
 
 TEXT_COLUMNS = {
