@@ -5,14 +5,20 @@ chosen for (step, character). Two texts walked with the same bits tend to fall
 into step again after an edit, so their edit distance shows as Hamming distance
 between the characters read. A key samples some of the steps; a stretch with few
 edits gives an equal key with a known chance, and keys are drawn again, with
-other bits, from every word of an item. With the settings below, 95 in 100 items
-or more are met at 15 edits in 100 characters (the tests measure it).
-
-Two keys that meet at different words, as far apart in the document as in the
-item (give or take the edits between them), fix an item-sized window: the item's
-length from where the item then begins. One key is enough for items of few
-words. The window is then compared exactly, by the edit distance between the item and the best stretch of the
-window; a document is contaminated if that is at most a fifth of the item.
+other bits, from every word of an item. Walks read short stretches, so they are
+seeds: the item-sized window appears in the verification. How long the walks are
+and how many are drawn depends on the item: of ``RUNGS``, an item takes the first
+on which edited copies of items with as many words, ``MOST_EDITS`` of their
+characters changed at random, meet a key with the chance ``RECALL``. That is tried
+out when the index is built; the last rung is taken by what meets it on none.
+
+A key that meets fixes an item-sized window: the item's length from where the
+item then begins, and a slack to both sides. The item is cut into parts of up to 64
+characters; where the distances of the parts to the nearest stretches around their
+places add up to more than ``MOST_EDITS`` allows, no stretch of the window can be
+near enough, and the window is left out, which loses none. The rest is compared
+exactly, by the edit distance between the item and the best stretch of the window;
+a document is contaminated if that is at most a fifth of the item.
 
 The benchmark is indexed in blocks of bounded size, each sent to all tasks; all
 documents are read once per block and never shuffled. Case of A-Z and kinds of
@@ -38,16 +44,24 @@ from sitewatch.llm.common import add_columns, table
 SHORTEST = 40
 #: Share of an item's characters that may differ.
 MOST_EDITS = 0.2
-#: Steps of a walk, and the steps that a key samples.
-STEPS, SAMPLED = 24, 16
-REPEATS = 3
-#: Items of fewer keyed words need no second key; and how many later keys one is compared with.
-FEW_WORDS, NEIGHBOURS = 4, 12
+#: Least chance that an item with so many edits at random places meets a key.
+RECALL = 0.99
+#: (steps of a walk, steps that a key samples, walks, whether they start at all characters but blanks).
+RUNGS = ((24, 16, 3, False), (16, 12, 3, False), (12, 9, 5, False), (12, 9, 5, True))
+#: Edited copies that a rung is tried on; it may miss half of what ``RECALL`` allows.
+TRIED = 600
+#: From this byte of a word on, walks start at every character.
+LONG_WORD = 24
+STEPS = max(rung[0] for rung in RUNGS)
 #: Bytes of items in one index.
 BLOCK_BYTES = 8 << 20
 #: Word starts that are walked at a time.
 TILE = 1 << 17
 FILTER_BITS = 22
+#: Rows that are expanded at a time, and windows that are compared at a time.
+MOST_ROWS, MOST_WINDOWS = 1 << 20, 1 << 12
+#: Characters of a part of an item, one bit each.
+PART = 64
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
@@ -60,14 +74,14 @@ HIT = pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int3
 class Walk:
     """One choice of random bits, sampled steps and key weights."""
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, steps: int, sampled: int):
         random = np.random.default_rng(90017 + seed)
-        self.moves = random.integers(0, 2, (STEPS, 256)).astype(np.int64)
-        self.sampled = sorted(random.choice(STEPS, SAMPLED, replace=False).tolist())
-        self.weights = random.integers(1, 1 << 63, (STEPS, 256), dtype=np.uint64)
+        self.moves = random.integers(0, 2, (steps, 256)).astype(np.int64)
+        self.sampled = sorted(random.choice(steps, sampled, replace=False).tolist())
+        self.weights = random.integers(1, 1 << 63, (steps, 256), dtype=np.uint64)
 
-    def keys(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Keys of the walks that begin at ``places``; data goes on STEPS bytes beyond."""
+    def keys(self, data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the walks that begin at ``places``, and their ends; data goes on STEPS characters beyond."""
         at = places.copy()
         key = np.zeros(len(places), dtype=np.uint64)
         for step in range(self.sampled[-1] + 1):
@@ -77,85 +91,237 @@ class Walk:
             at += self.moves[step][read]
         key ^= key >> np.uint64(33)
         key *= np.uint64(0xFF51AFD7ED558CCD)
-        return key ^ (key >> np.uint64(33))
+        return key ^ (key >> np.uint64(33)), at
 
 
-WALKS = [Walk(seed) for seed in range(REPEATS)]
+WALKS = [[Walk(100 * k + n, steps, sampled) for n in range(walks)] for k, (steps, sampled, walks, _) in enumerate(RUNGS)]
 
 
 def plain(text: str) -> np.ndarray:
-    return _PLAIN[np.frombuffer(text.encode(), dtype=np.uint8)]
+    """One byte for every character."""
+    return symbols(_PLAIN[np.frombuffer(text.encode(), dtype=np.uint8)])[0]
+
+
+def symbols(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One byte for every character of UTF-8, hashed beyond ASCII, and the bytes they begin at."""
+    starts = np.flatnonzero(data & 0xC0 != 0x80)
+    out = data[starts]
+    wide = np.flatnonzero(out >= 0xC0)
+    if len(wide):
+        value, more = out[wide], np.ones(len(wide), dtype=bool)
+        for k in (1, 2, 3):
+            following = data[np.minimum(starts[wide] + k, len(data) - 1)]
+            more &= (following & 0xC0 == 0x80) & (starts[wide] + k < len(data))
+            value = np.where(more, value * np.uint8(31) + following, value)
+        out[wide] = value | 0x80
+    return out, starts
+
 
+def runs(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... ``sizes[0]`` of them, then those of first[1] and so on."""
+    return np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
-def word_starts(data: np.ndarray) -> np.ndarray:
+
+def walk_starts(data: np.ndarray, every: bool = False, edges: np.ndarray | None = None) -> np.ndarray:
+    """Where walks begin: at words, in long words also at later characters, or at all but blanks.
+
+    ``edges`` are places where a text begins, so that a word does not go on over them.
+    """
+    if every:
+        return np.flatnonzero(data != 32)
     word = data != 32
     first = word.copy()
     first[1:] &= ~word[:-1]
-    return np.flatnonzero(first)
+    if edges is not None:
+        first[edges] = word[edges]
+    starts = np.flatnonzero(first)
+    last = word.copy()
+    last[:-1] &= ~word[1:] | first[1:]
+    sizes = np.flatnonzero(last) + 1 - starts
+    long = sizes > LONG_WORD
+    if not long.any():
+        return starts
+    inner = runs(starts[long] + LONG_WORD, sizes[long] - LONG_WORD)
+    return np.sort(np.concatenate([starts, inner]))
+
+
+def padded(datas: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts one after the other with blanks that walks can run over, and where each begins."""
+    blanks = np.full(STEPS + 1, 32, np.uint8)
+    begins = np.cumsum([0] + [len(d) + len(blanks) for d in datas])[:-1]
+    return np.concatenate([part for d in datas for part in (d, blanks)]), begins
+
+
+def item_keys(walk: Walk, datas: list[np.ndarray], every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, place of the text, offset) of the walks that stay inside the texts."""
+    data, begins = padded(datas)
+    starts = walk_starts(data, every)
+    owner = np.searchsorted(begins, starts, side="right") - 1
+    sizes = np.array([len(d) for d in datas])
+    key, end = walk.keys(data, starts)
+    inside = end <= begins[owner] + sizes[owner]
+    return key[inside], owner[inside], (starts - begins[owner])[inside]
+
+
+def edited(text: str, edits: int, random: np.random.Generator) -> str:
+    """``text`` after ``edits`` changes of characters at random places."""
+    chars = list(text)
+    letters = [*text, *"abcdefghijklmnopqrstuvwxyz "]
+    for kind, place, letter in zip(random.integers(0, 3, edits), random.random(edits), random.integers(0, len(letters), edits)):
+        at = int(place * len(chars))
+        chars[at : at + (kind != 1)] = [] if kind == 2 else [letters[letter]]
+    return "".join(chars)
+
+
+def recall(texts: list[str], rung: int, edits: float, copies: int = TRIED) -> float:
+    """Share of edited copies of ``texts`` that meet a key of their text on a rung."""
+    random = np.random.default_rng(7)
+    whose = np.arange(copies) % len(texts)
+    tried = [plain(edited(texts[k], int(len(texts[k]) * edits), random)) for k in whose]
+    data, begins = padded(tried)
+    starts = walk_starts(data, RUNGS[rung][3])
+    owner = np.searchsorted(begins, starts, side="right") - 1
+    mixer = np.uint64(0x9E3779B97F4A7C15)
+    met = np.zeros(copies, dtype=bool)
+    for walk in WALKS[rung]:
+        key, item, _ = item_keys(walk, [plain(t) for t in texts], RUNGS[rung][3])
+        same = np.isin(walk.keys(data, starts)[0] ^ whose[owner].astype(np.uint64) * mixer, key ^ item.astype(np.uint64) * mixer)
+        met[owner[same]] = True
+    return float(met.mean())
+
+
+def rungs_of(texts: list[str]) -> np.ndarray:
+    """The rung of each text: the first that reaches the recall with texts of as many walk starts."""
+    classes: dict[int, list[int]] = {}
+    for k, text in enumerate(texts):
+        classes.setdefault(int(4 * math.log2(max(1, len(walk_starts(plain(text)))))), []).append(k)
+    out = np.zeros(len(texts), dtype=np.int64)
+    for members in classes.values():
+        some = [texts[k] for k in members[:: max(1, len(members) // 50)]]
+        for rung in range(len(RUNGS)):
+            out[members] = rung
+            if recall(some, rung, MOST_EDITS) >= 1 - (1 - RECALL) / 2:
+                break
+    return out
 
 
 class Index:
     """Keys of the words of some items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        known = [(i, plain(t)) for i, t in items if t is not None and len(t.encode()) >= SHORTEST]
+        known = [(i, t) for i, t in items if t is not None and len(t.encode()) >= SHORTEST]
         self.ids = [i for i, _ in known]
-        self.texts = [d.tobytes().decode("utf-8", "replace") for _, d in known]
-        self.sizes = np.array([len(d) for _, d in known], dtype=np.int64)
-        self.keyed = np.zeros(len(known), dtype=np.int64)
+        self.texts = [_PLAIN[np.frombuffer(t.encode(), dtype=np.uint8)].tobytes().decode() for _, t in known]
+        datas = [plain(t) for t in self.texts]
+        self.data, self.begins = padded(datas) if known else (np.zeros(0, np.uint8), np.zeros(0, np.int64))
+        self.sizes = np.array([len(d) for d in datas], dtype=np.int64)
+        self.most = (self.sizes * MOST_EDITS).astype(np.int64)
+        self.slack = self.most + 8
+        rung_of = rungs_of(self.texts)
         self.tables = []
-        for walk in WALKS:
-            keys, owners, offsets = [], [], []
-            for k, (_, data) in enumerate(known):
-                starts = word_starts(data)
-                starts = starts[starts + STEPS <= len(data)]
-                keys.append(walk.keys(data, starts))
-                self.keyed[k] = len(starts)
-                owners.append(np.full(len(starts), k))
-                offsets.append(starts)
-            if not keys:
-                continue
-            key = np.concatenate(keys)
-            order = np.argsort(key, kind="stable")
-            near = np.zeros(1 << FILTER_BITS, dtype=bool)
-            near[key >> np.uint64(64 - FILTER_BITS)] = True
-            self.tables.append(
-                (walk, near, key[order], np.concatenate(owners)[order], np.concatenate(offsets)[order])
-            )
-
-    def meets(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
-        """Rows (place of an item's first byte, item) that the keys at ``places`` point to."""
+        for rung, walks in enumerate(WALKS):
+            members = np.flatnonzero(rung_of == rung)
+            for walk in walks if len(members) else []:
+                key, owner, offset = item_keys(walk, [datas[k] for k in members], RUNGS[rung][3])
+                order = np.argsort(key, kind="stable")
+                near = np.zeros(1 << FILTER_BITS, dtype=bool)
+                near[key >> np.uint64(64 - FILTER_BITS)] = True
+                self.tables.append((walk, RUNGS[rung][3], near, key[order], members[owner[order]], offset[order]))
+
+    def meets(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Rows (document, item, place near an item's first character) that keys of the documents point to.
+
+        The places are rounded down by at most half the slack, which windows allow for.
+        """
+        edges = bounds[:-1][np.diff(bounds) > 0]
+        places: dict[bool, np.ndarray] = {}
+        low_edge = int(self.sizes.max())
+        wide = len(data) + low_edge + 1
         out = []
-        for walk, near, key, owner, offset in self.tables:
-            for begin in range(0, len(places), TILE):
-                at = places[begin : begin + TILE]
-                keys = walk.keys(data, at)
+        for walk, every, near, key, item, offset in self.tables:
+            if every not in places:
+                places[every] = walk_starts(data, every, edges)
+            for begin in range(0, len(places[every]), TILE):
+                at = places[every][begin : begin + TILE]
+                keys, _ = walk.keys(data, at)
                 maybe = np.flatnonzero(near[keys >> np.uint64(64 - FILTER_BITS)])
                 low = np.searchsorted(key, keys[maybe], side="left")
                 number = np.searchsorted(key, keys[maybe], side="right") - low
-                maybe, low, number = maybe[number > 0], low[number > 0], number[number > 0]
-                if not len(maybe):
-                    continue
-                rows = np.repeat(low, number) + np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-                out.append(np.column_stack([np.repeat(at[maybe], number) - offset[rows], owner[rows], np.repeat(at[maybe], number)]))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), dtype=np.int64)
-
-
-def supported(rows: np.ndarray, owner: np.ndarray, keyed: np.ndarray) -> np.ndarray:
-    """Which rows (first byte, item, place of the key) a second key agrees with."""
-    offset = rows[:, 2] - rows[:, 0]
-    order = np.lexsort((rows[:, 2], rows[:, 1], owner))
-    whose, item, at, offset = owner[order], rows[order, 1], rows[order, 2], offset[order]
-    ok = keyed[item] < FEW_WORDS
-    for step in range(1, min(NEIGHBOURS, len(order) - 1) + 1):
-        here, there = at[step:] - at[:-step], offset[step:] - offset[:-step]
-        agree = (whose[step:] == whose[:-step]) & (item[step:] == item[:-step]) & (there > 0)
-        agree &= np.abs(here - there) <= MOST_EDITS * 1.5 * there + 2
-        ok[step:] |= agree
-        ok[:-step] |= agree
-    out = np.zeros(len(order), dtype=bool)
-    out[order] = ok
-    return out
+                at, low, number = at[maybe[number > 0]], low[number > 0], number[number > 0]
+                for a, b in pieces(number):
+                    rows = runs(low[a:b], number[a:b])
+                    owner = np.repeat(np.searchsorted(bounds, at[a:b], side="right") - 1, number[a:b])
+                    first = np.repeat(at[a:b], number[a:b]) - offset[rows] + low_edge
+                    which = item[rows]
+                    first -= first % (self.slack[which] // 2 + 1)
+                    out.append(np.unique((owner * len(self.ids) + which) * wide + first))
+                    if sum(map(len, out)) > 2 * MOST_ROWS:
+                        out = [np.unique(np.concatenate(out))]
+        code = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+        whose = code // wide
+        return np.column_stack([whose // len(self.ids), whose % len(self.ids), code % wide - low_edge])
+
+    def near_enough(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Which rows have a window where the parts of the item are near enough in all."""
+        out = np.zeros(len(rows), dtype=bool)
+        order = np.argsort(self.sizes[rows[:, 1]], kind="stable")
+        for a in range(0, len(rows), MOST_WINDOWS):
+            left = order[a : a + MOST_WINDOWS]
+            parts = -(-self.sizes[rows[left, 1]] // PART)
+            edits = np.zeros(len(left), dtype=np.int64)
+            for k in range(int(parts.max())):
+                more = k < parts
+                edits[more] += self.part_edits(data, rows[left[more]], k, parts[more])
+                keep = edits <= self.most[rows[left, 1]]
+                left, parts, edits = left[keep], parts[keep], edits[keep]
+                if not len(left):
+                    break
+            out[left] = True
+        return out
+
+    def part_edits(self, data: np.ndarray, rows: np.ndarray, part: int, parts: np.ndarray) -> np.ndarray:
+        """Edit distances of a part of the rows' items to the nearest stretches around its place."""
+        if not len(rows):
+            return np.zeros(0, dtype=np.int64)
+        sizes, slack = self.sizes[rows[:, 1]], self.slack[rows[:, 1]]
+        begin = sizes * part // parts
+        size = sizes * (part + 1) // parts - begin
+        items, first, which = np.unique(rows[:, 1], return_index=True, return_inverse=True)
+        equal = np.zeros((len(items), 256), dtype=np.uint64)
+        for k in range(PART):
+            has = np.flatnonzero(k < size[first])
+            equal[has, self.data[self.begins[items[has]] + begin[first[has]] + k]] |= np.uint64(1 << k)
+        equal, base = equal.ravel(), which.ravel() * 256
+        low = rows[:, 2] + begin - slack
+        columns = size + 2 * slack + slack // 2
+        top, one = (size - 1).astype(np.uint64), np.uint64(1)
+        up, down = np.full(len(rows), ~np.uint64(0)), np.zeros(len(rows), dtype=np.uint64)
+        score = size.copy()
+        best = size.copy()
+        for column in range(int(columns.max())):
+            eq = equal[base + data[np.clip(low + column, 0, len(data) - 1)]]
+            across = eq | down
+            level = (((eq & up) + up) ^ up) | eq
+            plus = down | ~(level | up)
+            minus = up & level
+            score += ((plus >> top) & one).astype(np.int64) - ((minus >> top) & one).astype(np.int64)
+            plus <<= one
+            minus <<= one
+            up = minus | ~(across | plus)
+            down = plus & across
+            np.minimum(best, score, out=best)
+        return best
+
+
+def pieces(sizes: np.ndarray):
+    """Runs [a, b) whose sizes add up to about ``MOST_ROWS`` at most, or of one."""
+    total = np.cumsum(sizes)
+    a = 0
+    while a < len(sizes):
+        before = total[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(total, before + MOST_ROWS, side="right")))
+        yield a, b
+        a = b
 
 
 def best_stretch(item: str, window: str) -> tuple[int, int]:
@@ -191,29 +357,25 @@ def best_stretch(item: str, window: str) -> tuple[int, int]:
     return best, end
 
 
-def _hits(index: Index, data: np.ndarray, begin: int, end: int, rows: np.ndarray) -> list[dict]:
-    """Verified hits of a document data[begin:end] from rows (first byte, item)."""
+def _hits(index: Index, data: np.ndarray, starts: np.ndarray, begin: int, end: int, rows: np.ndarray) -> list[dict]:
+    """Verified hits of a document, characters [begin, end), from rows (document, item, first character)."""
     found = []
     for item in np.unique(rows[:, 1]).tolist():
-        size = int(index.sizes[item])
-        slack = int(size * MOST_EDITS) + 8
-        most = int(len(index.texts[item]) * MOST_EDITS)
-        tried = reached = -math.inf
-        for first in np.unique(rows[rows[:, 1] == item, 0]).tolist():
-            # A window reaches a slack to both sides, so it also covers starts near its own.
-            if first <= tried + slack // 2 or first < reached - slack:
+        size, slack = int(index.sizes[item]), int(index.slack[item])
+        reached = last = -math.inf
+        for first in np.unique(rows[rows[:, 1] == item, 2]).tolist():
+            if first < reached - slack:
                 continue
-            tried = first
             low, high = max(begin, first - 2 * slack), min(end, first + size + 2 * slack)
-            window = data[low:high].tobytes().decode("utf-8", "ignore")
+            window = data[starts[low] : starts[high]].tobytes().decode("utf-8", "ignore") if low < high else ""
             distance, stop = best_stretch(index.texts[item], window)
-            if distance <= most:
-                before = len(data[begin:low].tobytes().decode("utf-8", "ignore"))
-                stop += before
-                found.append(
-                    {"item_id": index.ids[item], "start": max(before, stop - len(index.texts[item])), "end": stop, "distance": distance}
-                )
+            if distance <= index.most[item]:
                 reached = first + size
+                stop += low - begin
+                if stop == last:
+                    continue
+                last = stop
+                found.append({"item_id": index.ids[item], "start": max(low - begin, stop - size), "end": stop, "distance": distance})
     return found
 
 
@@ -252,19 +414,12 @@ def _search_stretch(index: Index, raw: np.ndarray, bounds: np.ndarray, out: list
         return
     # Blanks at the end let walks run over it; the first byte of a text begins a word.
     data = np.concatenate([_PLAIN[raw[begin:end]], np.full(STEPS + 1, 32, np.uint8)])
-    word = data != 32
-    starts = word.copy()
-    starts[1:] &= ~word[:-1]
-    edges = (bounds[:-1] - begin)[np.diff(bounds) > 0]
-    starts[edges] = word[edges]
-    rows = index.meets(data, np.flatnonzero(starts))
-    if not len(rows):
-        return
-    owner = np.searchsorted(bounds - begin, rows[:, 2], side="right") - 1
-    ok = supported(rows, owner, index.keyed)
-    rows, owner = rows[ok], owner[ok]
-    for k in np.unique(owner).tolist():
-        out[first + k] = _hits(index, data, int(bounds[k]) - begin, int(bounds[k + 1]) - begin, rows[owner == k])
+    chars, starts = symbols(data)
+    edges = np.searchsorted(starts, bounds - begin)
+    rows = index.meets(chars, edges)
+    rows = rows[index.near_enough(chars, rows)]
+    for k in np.unique(rows[:, 0]).tolist():
+        out[first + k] = _hits(index, data, starts, int(edges[k]), int(edges[k + 1]), rows[rows[:, 0] == k])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

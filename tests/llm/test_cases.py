@@ -233,6 +233,36 @@ def test_edit_distance_by_table():
         assert decontam.best_stretch(item, window)[0] == min(last)
 
 
+def _met(spark, items, copies):
+    """Share of items that are found in the document with their copy."""
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(k, f"{prose(20, 300 + k)} {copy} {prose(20, 900 + k)}") for k, copy in enumerate(copies)]
+    found = collected(decontam.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench))
+    return sum(k in {h["item_id"] for h in found[k]["hits"]} for k in found) / len(rows)
+
+
+def test_decontamination_recall_by_length(spark):
+    draw = np.random.default_rng(5)
+    for words in (9, 15, 40):
+        items = [prose(words, 20_000 + 500 * words + k) for k in range(300)]
+        for share in (0.1, 0.15, 0.2):
+            copies = [decontam.edited(t, int(len(t) * share), draw) for t in items]
+            assert _met(spark, items, copies) >= 0.98, (words, share)
+
+
+def test_parts_of_an_item_leave_out_no_near_window():
+    draw = np.random.default_rng(8)
+    items = [(k, prose(8 + 7 * k, 600 + k) + "é" * (k % 3)) for k in range(12)]
+    index = decontam.Index(items)
+    for k, (_, text) in enumerate(items):
+        for _ in range(20):
+            copy = decontam.edited(text, int(len(text) * 0.2), draw)
+            chars = decontam.plain(prose(60, 1) + " " + copy + " " + prose(60, 2))
+            first = len(prose(60, 1)) + 1
+            rows = np.array([[0, k, first - d] for d in range(0, int(index.slack[k]) // 2)])
+            assert index.near_enough(chars, rows).all()
+
+
 def test_mixing(spark, docs, none, odd):
     got = collected(mixing.mix(docs))
     assert len(got) == len(ROWS) and got[2]["taken"] == 0
