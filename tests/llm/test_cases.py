@@ -250,6 +250,13 @@ def test_decontamination_recall_by_length(spark):
             assert _met(spark, items, copies) >= 0.98, (words, share)
 
 
+def test_decontamination_of_repeated_words(spark):
+    items = ["0 " * 40, "na " * 20 + "hey", "| x " * 20, "1 2 3 " * 20, "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往"]
+    items = [t.strip() for t in items]
+    assert _met(spark, items, items) == 1
+    assert _met(spark, items, ["9 " * 200 + t for t in items]) == 1
+
+
 def test_parts_of_an_item_leave_out_no_near_window():
     draw = np.random.default_rng(8)
     items = [(k, prose(8 + 7 * k, 600 + k) + "é" * (k % 3)) for k in range(12)]
