@@ -3,6 +3,9 @@
 Each stage takes all rows that the one before it kept, and returns the columns
 of documents; the last adds where the rows go. Stages are written as Parquet to the
 shared folder and read again, so a lost executor costs one stage at most.
+
+Ids may be NULL or repeated: where a stage joins its result back to the texts, it
+does so by a number that it gives to each row first.
 """
 
 from __future__ import annotations
@@ -27,19 +30,24 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return scored.filter(F.col("score") < 0.5).select(*COLUMNS)
 
 
-def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id.
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with ``row_id``, another one in every row; written, so that it stays."""
+    return saved(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_id")))
 
-    Rows without an id are kept; of rows with one id, one is kept.
-    """
-    rows, _ = near_duplicates(docs)
-    kept = rows.filter(F.col("component_id") == F.col("doc_id")).select("doc_id")
-    named = docs.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return (
-        named.join(kept, "doc_id", "left_semi")
-        .unionByName(docs.filter(F.col("doc_id").isNull()))
-        .select(*COLUMNS)
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id, a NULL id last."""
+    docs = numbered(docs)
+    rows, _ = near_duplicates(docs, key="row_id")
+    rows = rows.select(F.col("doc_id").alias("row_id"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")
+    kept = (
+        rows.join(docs.select("row_id", "doc_id"), "row_id")
+        .groupBy("component_id")
+        .agg(F.min(order).alias("first"))
+        .select("first.row_id")
     )
+    return docs.join(kept, "row_id", "left_semi").select(*COLUMNS)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,28 +57,21 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it: not at all, once or more."""
-    copies = mix(docs).filter(F.col("copies") > 0).select("doc_id", "copies")
+    """Every row as often as the mix takes it: not at all, once or more."""
+    docs = numbered(docs)
+    copies = mix(docs, row="row_id").filter(F.col("copies") > 0).select("row_id", "copies")
     return (
-        docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"]))
-        .select(*[docs[c] for c in COLUMNS], F.explode(F.array_repeat(F.lit(True), F.col("copies"))).alias("_copy"))
+        docs.join(copies, "row_id")
+        .select(*COLUMNS, F.explode(F.array_repeat(F.lit(True), F.col("copies"))).alias("_copy"))
         .select(*COLUMNS)
     )
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row with its shard, its shard if one is added, and its slot."""
-    placed = add_shards(docs.select("doc_id"), "doc_id")
-    first = placed.groupBy("doc_id").agg(
-        F.first("shard").alias("shard"),
-        F.first("grown_shard").alias("grown_shard"),
-        F.sort_array(F.collect_list("slot")).alias("slots"),
-    )
-    texts = docs.select(*COLUMNS).dropDuplicates(["doc_id"])
-    return (
-        texts.join(first, texts["doc_id"].eqNullSafe(first["doc_id"]))
-        .select(*[texts[c] for c in COLUMNS], "shard", "grown_shard", F.explode("slots").alias("slot"))
-    )
+    docs = numbered(docs)
+    placed = add_shards(docs.select("doc_id", "row_id"), "doc_id", row="row_id")
+    return docs.join(placed.drop("doc_id"), "row_id").select(*COLUMNS, "shard", "grown_shard", "slot")
 
 
 STAGES = [

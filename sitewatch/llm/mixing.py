@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from sitewatch.functions.ordered import running_total
 from sitewatch.llm.common import WORD, table, text_or_empty
+from sitewatch.llm.sharding import piece_of, tie_of
 from sitewatch.session import saved
 
 WEIGHTS = (5, 2, 1)
@@ -206,11 +207,19 @@ def rounded_cells(cells: DataFrame, state: DataFrame) -> DataFrame:
     return now
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """Rows (key, size, source_size, target, rate, copies, taken) of every row."""
+def mix(
+    docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", row: str | None = None
+) -> DataFrame:
+    """Rows (key, size, source_size, target, rate, copies, taken) of every row.
+
+    ``row``, a column that differs in every row, goes along and settles the order
+    of equal keys.
+    """
+    rows = [row] if row else []
     sized = saved(
         docs.select(
             F.col(key),
+            *rows,
             F.col(source).cast("string").alias("source"),
             source_key(source).alias("_key"),
             word_count(text).alias("size"),
@@ -223,10 +232,15 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     state = balance(cells, targets)
     copies = rounded_cells(cells, state).select("_key", "size", "_n", "_m")
     ranked = running_total(
-        sized.withColumn("_piece", F.substring("_hash", 1, 2)),
+        sized.withColumns(
+            {
+                "_piece": piece_of(F.col("_hash"), 2, tie_of(row) if row else None),
+                "_tie": tie_of(row) if row else F.lit(0),
+            }
+        ),
         ["_key", "size"],
         "_piece",
-        ["_hash", key],
+        ["_hash", "_tie", key, *rows],
         F.lit(1).cast("long"),
         "_place",
     )
@@ -238,6 +252,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
         .join(state.select("_key", "_scale", "_full", "_tilt"), "_key")
         .select(
             key,
+            *rows,
             "size",
             "source_size",
             "target",

@@ -59,24 +59,44 @@ def jump_column(hashed: Column, shards: int) -> Column:
     return shard_of(hashed)
 
 
-def add_shards(df: DataFrame, key: str, shards: int = SHARDS) -> DataFrame:
+def piece_of(hashed: Column, digits: int, tie: Column | None) -> Column:
+    """Leading digits of the hash, which rise with (hash, tie).
+
+    Rows with the hash of the empty text, as of all NULL keys, may be a large share
+    of the table; with a tie, of 0 to 99, they are cut by it.
+    """
+    piece = F.substring(hashed, 1, digits)
+    if tie is None:
+        return piece
+    empty = F.md5(F.lit(""))
+    cut = F.concat(hashed, F.lpad(tie.cast("string"), 2, "0"))
+    return F.when(hashed == empty, cut).when(piece == F.substring(empty, 1, digits), hashed).otherwise(piece)
+
+
+def tie_of(row: str) -> Column:
+    return F.pmod(F.xxhash64(row), F.lit(100))
+
+
+def add_shards(df: DataFrame, key: str, shards: int = SHARDS, row: str | None = None) -> DataFrame:
     """Add ``shard``, ``grown_shard`` (with one more shard) and ``slot``.
 
     Slots count from 0 within a shard by (hash, key); pieces of that order are
-    totalled first, so no task holds a shard.
+    totalled first, so no task holds a shard. ``row``, a column that differs in
+    every row, settles the order of equal keys.
     """
     hashed = df.withColumn("_hash", key_hash(F.col(key)))
     placed = hashed.withColumns(
         {
             "shard": jump_column(F.col("_hash"), shards),
             "grown_shard": jump_column(F.col("_hash"), shards + 1),
-            "_piece": F.substring("_hash", 1, PIECE_DIGITS),
+            "_piece": piece_of(F.col("_hash"), PIECE_DIGITS, tie_of(row) if row else None),
+            "_tie": tie_of(row) if row else F.lit(0),
         }
     )
     numbered = running_total(
-        placed, ["shard"], "_piece", ["_hash", key], F.lit(1).cast("long"), "_place"
+        placed, ["shard"], "_piece", ["_hash", "_tie", key, *([row] if row else [])], F.lit(1).cast("long"), "_place"
     )
-    return numbered.withColumn("slot", F.col("_place") - 1).drop("_hash", "_piece", "_place")
+    return numbered.withColumn("slot", F.col("_place") - 1).drop("_hash", "_piece", "_tie", "_place")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -409,3 +409,30 @@ def test_pipeline_without_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_on_missing_and_repeated_ids(spark, tmp_path):
+    """Rows of one id, or of none, are documents of their own in every stage."""
+    rows = [(None if k % 3 == 0 else k // 2, prose(40 + k % 9, 40_000 + k), "en", f"s{k % 2}", k) for k in range(120)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(5)
+    bench = [(1, prose(30, 50_000))]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    texts = sorted(r[1] for r in rows)
+
+    def out(stage, given=docs):
+        return stage(spark, given, str(tmp_path)).collect()
+
+    copied = docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    assert sorted(r["text"] for r in out(corpus_pipeline.without_near_copies, copied)) == texts
+    assert all((r["doc_id"] is None) == (r["n_chars"] % 3 == 0) for r in out(corpus_pipeline.without_near_copies, copied))
+    assert sorted(r["text"] for r in out(corpus_pipeline.without_benchmark)) == texts
+    assert sorted(r["text"] for r in out(corpus_pipeline.without_toxic)) == texts
+    want = sum(r["copies"] for r in mixing.mix(docs).collect())
+    got = out(corpus_pipeline.mixed)
+    assert len(got) == want and len({r["text"] for r in got}) > 60
+    assert max([r["text"] for r in got].count(t) for t in texts) <= 3
+    got = out(corpus_pipeline.sharded)
+    assert sorted(r["text"] for r in got) == texts
+    for shard in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in got)))
