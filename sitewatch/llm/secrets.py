@@ -11,20 +11,26 @@ near 0. So, within a class of alphabet and length, the upper half tells how many
 are random, and the lowest bar is taken at which no more than ``MOST_FALSE`` of
 the strings above it are expected to be something else. Strings of one length
 class never set the bar of another, since short ones prove less. The counts
-behind the bars cover all texts: one pass counts (class, p), one scans.
+behind the bars cover all texts, each distinct string once, so that copies of one
+do not set the bar of the others: one pass counts (class, p), one scans.
 
 Defined cases: a NULL text is empty; an empty text has no spans; places count
 code points, end exclusive; repeated rows are scanned alike; an empty table
-gives an empty table. A class of fewer than ``FEWEST`` strings takes the bar of
-its alphabet. Other columns pass through; one named ``spans`` is replaced.
+gives an empty table. A class of fewer than ``FEWEST`` distinct strings is too small
+to tell its share of random ones, and takes the bar above which a random string of
+its own alphabet and length comes with the chance 1 - ``MOST_FALSE``, from drawn
+strings. Other columns pass through; one named ``spans`` is replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +67,10 @@ PLACES = [(name, {c: i for i, c in enumerate(letters)}) for name, letters in ALP
 MOST_FALSE = 0.05
 BINS = 50
 FEWEST = 40
+#: Strings drawn for the bar of a small class, and the longest of them.
+DRAWN, LONGEST_DRAWN = 400, 200
+#: Distinct strings that a task holds before it hands them on.
+MOST_HELD = 50_000
 #: Never accept below this p value, however few other strings there are.
 LOWEST_BIN = 1
 
@@ -140,20 +150,38 @@ def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[in
             yield m.start(), m.end(), m.group()
 
 
+@cache
+def bar_of_random(name: str, size: int) -> int:
+    """The bin that at most ``MOST_FALSE`` of the random strings of a class fall below."""
+    letters = dict(ALPHABETS)[name]
+    draw = random.Random(f"{name} {size}")
+    # Beyond the longest drawn, p is spread as it is there.
+    shortest = min(max(20, math.ceil(2 ** (size / 2))), LONGEST_DRAWN)
+    longest = max(shortest, min(math.ceil(2 ** ((size + 1) / 2)) - 1, LONGEST_DRAWN))
+    drawn = []
+    for _ in range(20 * DRAWN):
+        token = "".join(draw.choices(letters, k=draw.randint(shortest, longest)))
+        # Strings that a smaller alphabet holds are of another class.
+        if alphabet_of(token)[0] == name:
+            drawn.append(_bin(battery(token)[1]))
+            if len(drawn) == DRAWN:
+                break
+    return max(LOWEST_BIN, sorted(drawn)[int(MOST_FALSE * len(drawn))])
+
+
 def bars(counts: dict[tuple[str, int], list[int]]) -> dict[tuple[str, int], int]:
     """The lowest accepted bin of each (alphabet, length class)."""
-    pooled: dict[str, list[int]] = {}
-    for (name, _), bins in counts.items():
-        pooled[name] = [a + b for a, b in zip(pooled.get(name, [0] * BINS), bins)]
     out = {}
-    for key, bins in counts.items():
-        used = bins if sum(bins) >= FEWEST else pooled[key[0]]
+    for key, used in counts.items():
         total = sum(used)
-        random = min(total, 2 * sum(used[BINS // 2 :]))
+        if total < FEWEST:
+            out[key] = bar_of_random(*key)
+            continue
+        even = min(total, 2 * sum(used[BINS // 2 :]))
         out[key] = BINS
         for low in range(LOWEST_BIN, BINS):
             accepted = sum(used[low:])
-            if accepted and accepted - random * (1 - low / BINS) <= MOST_FALSE * accepted:
+            if accepted and accepted - even * (1 - low / BINS) <= MOST_FALSE * accepted:
                 out[key] = low
                 break
     return out
@@ -164,25 +192,31 @@ def _bin(p: float) -> int:
 
 
 def count_classes(docs: DataFrame, text: str = "text") -> dict[tuple[str, int], list[int]]:
-    """How many candidates of all texts fall into each (class, bin)."""
-    schema = pa.schema([("name", pa.string()), ("size", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())])
+    """How many distinct candidates of all texts fall into each (class, bin)."""
+    schema = pa.schema([("name", pa.string()), ("size", pa.int32()), ("bin", pa.int32()), ("token", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: dict[int, tuple[str, int, int]] = {}
         for batch in slices(batches):
             for value in batch.column(0).to_pylist():
                 value = value or ""
                 for _, _, token in candidates(value, base_spans(value)):
-                    name, p = battery(token)
-                    seen[name, length_class(token), _bin(p)] += 1
-        yield from rows_to_batches(((*key, n) for key, n in seen.items()), schema)
+                    body = hashlib.blake2b(token.rstrip("=").encode(), digest_size=8).digest()
+                    known = int.from_bytes(body, "big", signed=True)
+                    if known not in seen:
+                        name, p = battery(token)
+                        seen[known] = name, length_class(token), _bin(p)
+            if len(seen) >= MOST_HELD:
+                yield from rows_to_batches(((*key, known) for known, key in seen.items()), schema)
+                seen = {}
+        yield from rows_to_batches(((*key, known) for known, key in seen.items()), schema)
 
     counted = (
         bounded_batches(docs)
         .select(text)
-        .mapInArrow(count, "name string, size int, bin int, n long")
+        .mapInArrow(count, "name string, size int, bin int, token long")
         .groupBy("name", "size", "bin")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.count_distinct("token").alias("n"))
     )
     out: dict[tuple[str, int], list[int]] = {}
     # At most alphabets x length classes x bins rows.

@@ -116,6 +116,30 @@ def test_secrets(spark, docs, none, odd):
     assert hit > 270 and false < 30
 
 
+def test_secrets_bars_count_copies_once(spark):
+    draw = random.Random(9)
+    letters = dict(secrets.ALPHABETS)["base62"]
+    tokens = ["".join(draw.choices(letters, k=32)) for _ in range(1_000)]
+    tokens = [t for t in tokens if secrets.alphabet_of(t)[0] == "base62"]
+    copied = next(t for t in tokens if secrets._bin(secrets.battery(t)[1]) == 20)
+    rows = [(k, f"a {t} end") for k, t in enumerate(tokens + [copied] * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    counts = secrets.count_classes(docs)
+    assert sum(map(sum, counts.values())) == len(tokens)
+    assert secrets.bars(counts) == secrets.bars(secrets.count_classes(docs.limit(0).unionByName(docs.filter(F.col("doc_id") < len(tokens)))))
+    found = collected(secrets.scan(docs))
+    assert sum(bool(r["spans"]) for k, r in found.items() if k < len(tokens)) > 0.9 * len(tokens)
+
+
+def test_secrets_bars_of_small_classes():
+    words = [500, 100] + [10] * 10 + [0] * (secrets.BINS - 12)
+    few = [0] * secrets.BINS
+    few[10] = few[20] = 1
+    small = ("base62", 10)
+    bars = secrets.bars({("base62", 9): words, small: few})
+    assert bars[small] == secrets.bars({small: few})[small] <= 5 < bars["base62", 9]
+
+
 def test_secrets_base_forms(spark):
     texts = [
         "password: token: abcdefghijklmnop", 'Secret="abcdefghijkl"', "secret=short", "x" + "AKIA" * 6,
