@@ -70,6 +70,12 @@ def _low(values: np.ndarray, width: int) -> np.ndarray:
     return values & np.uint64((1 << (8 * width)) - 1)
 
 
+def _side(values: np.ndarray) -> np.ndarray:
+    """Low bytes of halves; 0 is kept for no half, so a real half that is cut to it becomes 1."""
+    low = _low(values, SIDE)
+    return np.where((values != 0) & (low == 0), np.uint64(1), low)
+
+
 def _steps(values: np.ndarray) -> bytes:
     """Differences, byte plane by byte plane, compressed."""
     steps = np.diff(values.astype("<i8"), prepend=np.int64(0))
@@ -133,8 +139,8 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, .
             yield (
                 _low(found.one, ONE),
                 _low(found.two, TWO),
-                _low(found.before, SIDE),
-                _low(found.after, SIDE),
+                _side(found.before),
+                _side(found.after),
                 ids[owner],
                 found.place + start,
             )

@@ -5,6 +5,7 @@ import io
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,23 @@ def test_suffix_buckets_compare_across_boundaries(spark, monkeypatch):
     }
 
 
+def test_suffix_halves_cut_to_nothing_still_ask(monkeypatch):
+    anchors, halves = suffix_dedup.S.anchors, []
+
+    def cut_to_nothing(stream):
+        found = anchors(stream)
+        halves.append((found.before != 0, found.after != 0))
+        found.before[:] = (found.before != 0) * np.uint64(1 << 40)
+        found.after[:] = (found.after != 0) * np.uint64(1 << 40)
+        return found
+
+    monkeypatch.setattr(suffix_dedup.S, "anchors", cut_to_nothing)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([prose(200, 77)])], names=["doc_id", "text"])
+    [(_, _, before, after, _, _)] = suffix_dedup._suffixes(iter([batch]))
+    [(had_before, had_after)] = halves
+    assert had_before.any() and ((before != 0) == had_before).all() and ((after != 0) == had_after).all()
+
+
 def test_multikey_order():
     random_ = np.random.default_rng(3)
     keys = [random_.integers(0, 4, 2000).astype(np.uint64) for _ in range(3)]
