@@ -314,7 +314,10 @@ def _across(members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows (doc_id, n_shingles, component_id), links (a, b) between different sets)."""
+    """(rows (doc_id, n_shingles, component_id), links (a, b) between different sets).
+
+    The links span the components; further pairs inside a component are not listed.
+    """
     docs = bounded_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     unnamed = docs.filter(F.col("doc_id").isNull())
     docs = docs.filter(F.col("doc_id").isNotNull())
