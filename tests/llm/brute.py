@@ -163,3 +163,104 @@ def chat(rows):
         loss = "".join(x for _, r, x in turns if r == "assistant")
         out[c] = (len(turns), sha("".join(f"{r}\n{x}\n" for _, r, x in turns)), len(loss), sha(loss))
     return out
+
+
+# --- Vectors ---
+
+
+def integers(vector, scale=1024):
+    """Exact floors, or None for a vector that takes no part."""
+    if vector is None or any(x is None or x != x or abs(x) == float("inf") for x in vector):
+        return None
+    return [int(x * scale // 1) if abs(x) < 2**53 else int(x) * scale for x in vector]
+
+
+def clustered(rows, count=8, rounds=10):
+    """Multiset of (id, cluster, distance, cluster inertia, inertia, digest) of (id, vector)."""
+    kept = [(i, integers(v)) for i, v in rows if integers(v) is not None and len(v) == 64]
+    drawn = sorted((sha(f"3:{i}"), v) for i, v in kept if i is not None)
+    centroids = [v for _, v in drawn[:count]]
+
+    def assign():
+        out = []
+        for _, v in kept:
+            out.append(min((sum((a - b) ** 2 for a, b in zip(v, c)), n) for n, c in enumerate(centroids)))
+        return out
+
+    for _ in range(rounds):
+        best = assign()
+        for n in range(len(centroids)):
+            mine = [v for (_, v), (_, c) in zip(kept, best) if c == n]
+            if mine:
+                centroids[n] = [sum(x) // len(mine) for x in zip(*mine)]
+    best = assign()
+    inertia = Counter()
+    for d, c in best:
+        inertia[c] += d
+    digests = [sha(",".join(map(str, c))) for c in centroids]
+    return Counter((i, c, d, inertia[c], sum(inertia.values()), digests[c]) for (i, _), (d, c) in zip(kept, best))
+
+
+def searched(rows, k=10, step=100):
+    """Multiset of (query id, rank, id, score) of (id, vector)."""
+    kept = [(i, integers(v)) for i, v in rows if integers(v) is not None]
+    out = Counter()
+    for q, (name, asked) in enumerate(kept):
+        if name is None or name % step:
+            continue
+        found = sorted(
+            (-sum(a * b for a, b in zip(asked, v)), i is None, i if i is not None else 0, p)
+            for p, (i, v) in enumerate(kept)
+            if p != q
+        )
+        for rank, (score, no_id, i, _) in enumerate(found[:k], 1):
+            out[(name, rank, None if no_id else i, -score)] += 1
+    return out
+
+
+# --- Merkle trees ---
+
+
+def leaf(doc_id, source, lang, n_chars, text):
+    values = (doc_id, source, lang, n_chars, text)
+    return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def climb(nodes):
+    """Per node its (left, digest) siblings from the bottom up, and the root."""
+    level, places = list(nodes), list(range(len(nodes)))
+    paths = [[] for _ in nodes]
+    while len(level) > 1:
+        for n, p in enumerate(places):
+            beside = p ^ 1
+            paths[n].append((p % 2 == 1, level[beside] if beside < len(level) else None))
+        level = [sha("".join(level[p : p + 2])) for p in range(0, len(level), 2)]
+        places = [p // 2 for p in places]
+    return paths, level[0]
+
+
+def fold(node, path):
+    for left, beside in path:
+        node = sha((beside or "") + node if left else node + (beside or ""))
+    return node
+
+
+def manifest(docs):
+    """Multiset of result rows of (doc_id, text, lang, source, n_chars)."""
+    trees = defaultdict(list)
+    for i, t, lang, source, n in docs:
+        hit = i is not None and zlib.crc32(str(i).encode()) % 7 == 0 and n is not None
+        true = leaf(i, source, lang, n, t)
+        trees[lang].append((i is not None, i or 0, true, leaf(i, source, lang, n + 1, t) if hit else true, i))
+    names = sorted(trees, key=lambda x: (x is not None, (x or "").encode()))
+    grown = {x: (sorted(trees[x]), *climb([r[2] for r in sorted(trees[x])])) for x in names}
+    crown, root = climb([grown[x][2] for x in names]) if names else ([], None)
+    out = Counter()
+    for x, above in zip(names, crown):
+        rows, paths, subroot = grown[x]
+        for (_, _, true, bad, i), path in zip(rows, paths):
+            whole_path = path + above
+            folded = fold(bad, whole_path)
+            proof = sha("".join(d for _, d in whole_path if d is not None))
+            out[(i, true, subroot, root, proof, folded, folded == root)] += 1
+    return out
