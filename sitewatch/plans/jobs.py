@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sitewatch.operators import checks, frames, load, views
 from sitewatch.risk import explain, train
 from sitewatch.risk.features import LABEL, landmark_features
-from sitewatch.session import job_session
+from sitewatch.session import job_session, scratch
 from sitewatch.sources import xport
 from sitewatch.sources.schema import DOMAIN_NAMES, SAS_DATE_COLUMNS
 from sitewatch.sources.tables import Domains, read_domain_tables, read_domains
@@ -25,10 +25,8 @@ from sitewatch.sources.tables import Domains, read_domain_tables, read_domains
 
 def read_raw_domain(spark: SparkSession, raw: str, name: str) -> DataFrame:
     """One transport file ``name.xpt``, or a folder ``name`` of many, made tidy."""
-    xport.register(spark)
-    reader = spark.read.format("sas_transport")
     path = f"{raw}/{name}"
-    df = reader.load(path if xport.is_folder(path) else f"{path}.xpt")
+    df = xport.read_transport(spark, path if xport.is_folder(path) else f"{path}.xpt")
     return load.convert_sas_dates(load.tidy_blanks(df), SAS_DATE_COLUMNS.get(name, ()))
 
 
@@ -68,10 +66,11 @@ def run_load(
 ) -> DataFrame:
     """Load into a folder, or into the tables of a database."""
     spark = SparkSession.active()
-    raw_domains = {name: read_raw_domain(spark, raw, name) for name in DOMAIN_NAMES}
-    if database:
-        return load.load_report(load_domain_tables(raw_domains, database, buckets, plain))
-    return load.load_report(load_domains(raw_domains, data))
+    with scratch():
+        raw_domains = {name: read_raw_domain(spark, raw, name) for name in DOMAIN_NAMES}
+        if database:
+            return load.load_report(load_domain_tables(raw_domains, database, buckets, plain))
+        return load.load_report(load_domains(raw_domains, data))
 
 
 def run_views(d: Domains, out: str, window_days: float = 7) -> None:

@@ -70,7 +70,8 @@ ex AS (
 
 def _over_domains(body: str, *steps: str) -> str:
     """A query that begins with the binding, then further named steps."""
-    return "WITH" + ",\n".join([BINDING.rstrip(), *(s.strip() for s in steps)]) + "\n" + body.strip()
+    # DESCENT calls itself; the others do not mind the word.
+    return "WITH RECURSIVE" + ",\n".join([BINDING.rstrip(), *(s.strip() for s in steps)]) + "\n" + body.strip()
 
 
 # --- Views ---
@@ -132,14 +133,16 @@ q_windows AS (
 
 
 AE_SITES = """
-SELECT site, n_subjects, total_aes,
-       round(1.0::DOUBLE * total_aes / n_subjects, 2) AS aes_per_subject,
-       round(100.0::DOUBLE * grave / n_subjects, 1) AS pct_severe_or_serious
-FROM (
-  SELECT SITEID AS site, count(DISTINCT a.USUBJID) AS n_subjects, count(e.USUBJID) AS total_aes,
-         count(DISTINCT e.USUBJID) FILTER (WHERE e.AESEV = 'SEVERE' OR e.AESER = 'Y') AS grave
-  FROM adsl a LEFT JOIN ae e ON e.USUBJID = a.USUBJID GROUP BY ALL
-)
+SELECT site, n_subjects, coalesce(events, 0)::BIGINT AS total_aes,
+       round(1.0::DOUBLE * coalesce(events, 0) / n_subjects, 2) AS aes_per_subject,
+       round(100.0::DOUBLE * coalesce(grave, 0) / n_subjects, 1) AS pct_severe_or_serious
+FROM (SELECT SITEID AS site, count(*) AS n_subjects FROM adsl GROUP BY ALL)
+LEFT JOIN (
+  SELECT SITEID AS ae_site, sum(n) AS events, count(*) FILTER (WHERE worst) AS grave
+  FROM (SELECT SITEID, USUBJID, count(*) AS n, bool_or(AESEV = 'SEVERE') OR bool_or(AESER = 'Y') AS worst
+        FROM ae JOIN adsl USING (USUBJID) GROUP BY ALL)
+  GROUP BY ALL
+) ON ae_site = site
 """
 
 BODY_SYSTEMS = """
@@ -149,6 +152,34 @@ q_systems AS (
 )
 """
 
+# The place of every row in each ordered view, under a digest of what names the row.
+ORDERS = """
+SELECT 'site_enrolment' AS view, row_number() OVER (ORDER BY enrolment_rank, site NULLS FIRST) AS place,
+       md5(coalesce(site, '?')) AS digest FROM q_sites
+UNION ALL
+SELECT 'enrolment_over_time', row_number() OVER (ORDER BY month NULLS FIRST), md5(coalesce(month, '?'))
+FROM (SELECT DISTINCT left(RFSTDTC, 7) AS month FROM dm WHERE RFSTDTC IS NOT NULL)
+UNION ALL
+SELECT 'disposition', row_number() OVER (ORDER BY arm NULLS FIRST, subjects DESC, disposition NULLS FIRST),
+       md5(coalesce(arm, '?') || '|' || coalesce(disposition, '?')) FROM q_outcomes
+UNION ALL
+SELECT 'retention_by_visit',
+       row_number() OVER (ORDER BY arm NULLS FIRST, visitnum NULLS FIRST, visit NULLS FIRST, planned_day NULLS FIRST),
+       md5(coalesce(arm, '?') || '|' || coalesce(visitnum::BIGINT::VARCHAR, '?') || '|' || coalesce(visit, '?')
+           || '|' || coalesce(planned_day::BIGINT::VARCHAR, '?'))
+FROM q_retention
+UNION ALL
+SELECT 'visit_windows', row_number() OVER (ORDER BY out_of_window_pct DESC NULLS LAST, site NULLS FIRST),
+       md5(coalesce(site, '?')) FROM q_windows
+UNION ALL
+SELECT 'ae_by_site', row_number() OVER (ORDER BY aes_per_subject DESC NULLS LAST, site NULLS FIRST),
+       md5(coalesce(site, '?')) FROM q_ae_sites
+UNION ALL
+SELECT 'ae_by_body_system',
+       row_number() OVER (ORDER BY subjects_with_ae DESC, arm NULLS FIRST, body_system NULLS FIRST),
+       md5(coalesce(arm, '?') || '|' || coalesce(body_system, '?')) FROM q_systems
+"""
+
 # --- Edit checks: one SELECT each, giving USUBJID, SITEID, detail ---
 
 HITS = {
@@ -314,6 +345,107 @@ SELECT round((avg((score > 0.5)::INT) FILTER (WHERE y = 1)
 FROM q_scored
 """
 
+# Every fold's rank sum and recalls, then mean and population SD over the folds.
+FOLD_SCORED = f"""
+q_fold_scored AS (
+  SELECT repeat, fold, discontinued AS y, score
+  FROM ({FOLDS})
+  JOIN (SELECT USUBJID, (early_ae_count + AGE / 100.0::DOUBLE)
+               / ((SELECT max(early_ae_count) FROM q_features) + 1) AS score
+        FROM q_features) USING (USUBJID)
+)
+"""
+CV_OF_SCORE = """
+SELECT model, metric, round(avg(value), 9) AS mean, round(stddev_pop(value), 9) AS sd
+FROM (
+  SELECT 'Fixed score' AS model, 'ROC-AUC' AS metric,
+         (sum(avg_rank) FILTER (WHERE y = 1) - p * (p + 1) / 2.0::DOUBLE) / (p * n) AS value
+  FROM (SELECT repeat, fold, y,
+               rank() OVER (PARTITION BY repeat, fold ORDER BY score)
+                 + (count(*) OVER (PARTITION BY repeat, fold, score) - 1) / 2.0::DOUBLE AS avg_rank,
+               (sum(y) OVER (PARTITION BY repeat, fold))::DOUBLE AS p,
+               (sum(1 - y) OVER (PARTITION BY repeat, fold))::DOUBLE AS n
+        FROM q_fold_scored)
+  GROUP BY repeat, fold, p, n
+  UNION ALL
+  SELECT 'Fixed score', 'Balanced accuracy',
+         (avg((score > 0.5)::INT) FILTER (WHERE y = 1)
+          + avg((score <= 0.5)::INT) FILTER (WHERE y = 0)) / 2.0::DOUBLE
+  FROM q_fold_scored GROUP BY repeat, fold)
+GROUP BY model, metric
+"""
+
+# --- Logistic model, solved again by descent along the gradient ---
+
+# Names shown to readers, in the order of the design's columns.
+SHOWN = (
+    "Age (years)",
+    "Baseline BMI",
+    "Years of education",
+    "Disease duration (months)",
+    "Baseline MMSE score",
+    "AEs in first 14 days",
+    "Moderate/severe AEs in first 14 days",
+    "Sex: M",
+    "Arm: Xanomeline High Dose",
+    "Arm: Xanomeline Low Dose",
+)
+N_INPUTS = len(SHOWN)
+DESIGN = (
+    """
+q_design AS MATERIALIZED (
+  SELECT USUBJID, SITEID, discontinued AS y,
+         count(*) OVER () / (2.0::DOUBLE * count(*) OVER (PARTITION BY discontinued)) AS w, """
+    + ", ".join(f"(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()) AS x{i}" for i, c in enumerate(NUMBERS, 1))
+    + """, (SEX = 'M')::INT::DOUBLE AS x8,
+         (TRT01P = 'Xanomeline High Dose')::INT::DOUBLE AS x9,
+         (TRT01P = 'Xanomeline Low Dose')::INT::DOUBLE AS x10
+  FROM q_imputed JOIN (SELECT USUBJID, SITEID, discontinued FROM q_features) USING (USUBJID)
+)
+"""
+)
+ALL = range(N_INPUTS + 1)
+
+
+def _each(form: str, numbers=ALL, glue: str = ", ") -> str:
+    return glue.join(form.format(i=i) for i in numbers)
+
+
+# b is where the descent is, a is where it looks ahead to. Steps are as long as the
+# curvature allows anywhere; the penalty spares the intercept.
+DESCENT = f"""
+q_step AS MATERIALIZED (
+  SELECT 1 / (0.25::DOUBLE * sum(w * (1 + {_each("x{i} * x{i}", ALL[1:], " + ")})) + 1) AS length FROM q_design
+),
+q_fit AS (
+  SELECT 0 AS k, {_each("0.0::DOUBLE AS b{i}")}, {_each("0.0::DOUBLE AS a{i}")}
+  UNION ALL
+  SELECT k + 1, {_each("a{i} - length * g{i}")},
+         {_each("a{i} - length * g{i} + 0.9::DOUBLE * (a{i} - length * g{i} - b{i})")}
+  FROM (
+    SELECT k, {_each("b{i}")}, {_each("a{i}")}, sum(miss) AS g0,
+           {_each("sum(miss * x{i}) + a{i} AS g{i}", ALL[1:])}
+    FROM (SELECT q_fit.*, {_each("x{i}", ALL[1:])},
+                 w * (1 / (1 + exp(-(a0 + {_each("a{i} * x{i}", ALL[1:], " + ")}))) - y) AS miss
+          FROM q_fit, q_design WHERE k < 800)
+    GROUP BY k, {_each("b{i}")}, {_each("a{i}")}
+  ), q_step
+),
+q_end AS (SELECT * FROM q_fit WHERE k = 800),
+q_coefs AS (
+  {_each("SELECT {i} AS place, b{i} AS b FROM q_end", ALL[1:], " UNION ALL ")}
+)
+"""
+ODDS_RATIOS = f"""
+SELECT feature, round(b, 3) + 0.0::DOUBLE AS coef, round(exp(b), 3) AS odds_ratio
+FROM q_coefs JOIN (VALUES {", ".join(f"({i}, '{name}')" for i, name in enumerate(SHOWN, 1))})
+  AS names(place, feature) USING (place)
+"""
+RISKS = f"""
+SELECT USUBJID, SITEID, round(1 / (1 + exp(-(b0 + {_each("b{i} * x{i}", ALL[1:], " + ")}))), 3) AS risk
+FROM q_design, q_end
+"""
+
 # --- Loading ---
 
 TIDY = """
@@ -357,6 +489,22 @@ def oracle_sql() -> dict[str, str]:
         "visit_windows_14": _over_domains("SELECT * FROM q_windows", _windows(14)),
         "ae_by_site": _over_domains(AE_SITES),
         "ae_by_body_system": _over_domains("SELECT * FROM q_systems", BODY_SYSTEMS),
+        "view_orders": _over_domains(
+            ORDERS,
+            SITES,
+            OUTCOMES,
+            f"q_retention AS ({RETENTION})",
+            _windows(7),
+            f"q_ae_sites AS ({AE_SITES})",
+            BODY_SYSTEMS,
+        ),
+        "ae_by_body_system_estimated": _over_domains(
+            "SELECT arm, body_system, subjects_with_ae, TRUE AS within_bound FROM q_systems", BODY_SYSTEMS
+        ),
+        "retention_by_visit_estimated": _over_domains(
+            "SELECT arm, visitnum, visit, planned_day, attended, TRUE AS within_bound FROM q_retention",
+            f"q_retention AS ({RETENTION})",
+        ),
     }
     for check_id in ALL_CHECKS:
         out[f"check_{check_id.lower()}"] = _checks("SELECT * FROM q_listing", check_id)
@@ -427,5 +575,17 @@ def oracle_sql() -> dict[str, str]:
         "cv_folds": _over_domains(FOLDS, FEATURES),
         "auc_of_score": _over_domains(AUC, FEATURES, SCORED),
         "balanced_accuracy_of_score": _over_domains(BALANCED, FEATURES, SCORED),
+        "cv_of_score": _over_domains(CV_OF_SCORE, FEATURES, FOLD_SCORED),
+        "odds_ratios": _over_domains(ODDS_RATIOS, FEATURES, IMPUTED, DESIGN, DESCENT),
+        "odds_ratio_direction": _over_domains(
+            ODDS_RATIOS.replace(
+                "FROM q_coefs", ", CASE WHEN b > 0 THEN 'Raises risk' ELSE 'Lowers risk' END AS direction FROM q_coefs"
+            ),
+            FEATURES,
+            IMPUTED,
+            DESIGN,
+            DESCENT,
+        ),
+        "score_subjects": _over_domains(RISKS, FEATURES, IMPUTED, DESIGN, DESCENT),
     }
     return out

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitewatch.operators import checks as C
-from sitewatch.operators import frames, load, views
+from sitewatch.operators import distinct, frames, load, views
 from sitewatch.risk import explain, metrics, prep, train
 from sitewatch.risk.features import LABEL, NUMERIC, landmark_features
 from sitewatch.risk.folds import cv_folds
@@ -77,6 +78,70 @@ def _kpis(d: Domains) -> DataFrame:
     return frames.kpis(_sites(d), _outcomes(d), C.run_checks(d))
 
 
+#: What names a row of each ordered view, besides its place.
+ORDERED = {
+    "site_enrolment": ("site",),
+    "enrolment_over_time": ("month",),
+    "disposition": ("arm", "disposition"),
+    "retention_by_visit": distinct.VISIT_KEYS,
+    "visit_windows": ("site",),
+    "ae_by_site": ("site",),
+    "ae_by_body_system": distinct.SYSTEM_KEYS,
+}
+
+
+def _placed(name: str, df: DataFrame) -> DataFrame:
+    """The place of each row as the view delivers it, with a digest of what names the row."""
+
+    def told(column: str) -> Column:
+        kind = dict(df.dtypes)[column]
+        text = F.col(column).cast("bigint") if kind == "double" else F.col(column)
+        return F.coalesce(text.cast("string"), F.lit("?"))
+
+    # Rises with the view's order; a view has few rows, so one window can count them.
+    numbered = df.withColumn("_at", F.monotonically_increasing_id())
+    return numbered.select(
+        F.lit(name).alias("view"),
+        F.row_number().over(Window.orderBy("_at")).cast("bigint").alias("place"),
+        F.md5(F.concat_ws("|", *map(told, ORDERED[name]))).alias("digest"),
+    )
+
+
+def _orders(d: Domains) -> DataFrame:
+    placed = [_placed(name, over_domains()[name](d)) for name in ORDERED]
+    return functools.reduce(DataFrame.unionByName, placed)
+
+
+def _estimated(d: Domains, sketch: Callable, exact: DataFrame, keys: tuple[str, ...], count: str) -> DataFrame:
+    """Exact counts, and whether estimates united from two parts of the study are near.
+
+    The parts share subjects: one has the sites of even, the other of all numbers.
+    """
+    even = d["adsl"].filter(F.substring("SITEID", 2, 9).cast("int") % 2 == 0)
+    parts = [saved(sketch(even)), saved(sketch(d["adsl"]))]
+    near = distinct.estimated(distinct.united(parts, keys), "estimate")
+    off = F.abs(F.col("estimate") - F.col(count))
+    # Joined on values that may be missing.
+    same = functools.reduce(Column.__and__, (exact[k].eqNullSafe(near[k]) for k in keys))
+    return exact.join(near, same).select(
+        *(exact[k] for k in keys), count, (off <= F.ceil(F.col(count) * F.lit(0.05))).alias("within_bound")
+    )
+
+
+def _systems_estimated(d: Domains) -> DataFrame:
+    exact = _systems(d)
+    return _estimated(
+        d, lambda adsl: distinct.system_sketches(d["ae"], adsl), exact, distinct.SYSTEM_KEYS, "subjects_with_ae"
+    )
+
+
+def _retention_estimated(d: Domains) -> DataFrame:
+    exact = views.retention_by_visit(d["sv"], d["adsl"]).drop("pct_retained")
+    return _estimated(
+        d, lambda adsl: distinct.visit_sketches(d["sv"], adsl), exact, distinct.VISIT_KEYS, "attended"
+    )
+
+
 # --- Dropout model ---
 
 
@@ -125,13 +190,33 @@ def _balanced(d: Domains) -> DataFrame:
     )
 
 
-def _odds(d: Domains) -> DataFrame:
+def _cv_of_score(d: Domains) -> DataFrame:
+    """The cross-validated scores of a score that no fit is needed for."""
+    folds = cv_folds(metrics.fixed_score(_written_features(d))).withColumn("model", F.lit("Fixed score"))
+    scores = metrics.fold_scores(folds, "score", LABEL, ["model", "repeat", "fold"])
+    return _rounded(train.cv_summary(scores), 9, "mean", "sd")
+
+
+def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
+
+
+def _fitted_odds(d: Domains) -> DataFrame:
     return explain.odds_ratios(train.fit_final(_written_features(d)))
 
 
+def _odds(d: Domains) -> DataFrame:
+    return _rounded(_fitted_odds(d), 3, "coef", "odds_ratio")
+
+
+def _odds_direction(d: Domains) -> DataFrame:
+    return _rounded(frames.odds_ratio_direction(_fitted_odds(d)), 3, "coef", "odds_ratio")
+
+
 def _scores(d: Domains) -> DataFrame:
     features = _written_features(d)
-    return train.fit_final(features).score(features).select("USUBJID", "SITEID", "risk")
+    scored = train.fit_final(features).score(features)
+    return _rounded(scored.select("USUBJID", "SITEID", "risk"), 3, "risk")
 
 
 def _cv(d: Domains) -> DataFrame:
@@ -156,6 +241,9 @@ def over_domains() -> dict[str, Callable[[Domains], DataFrame]]:
         "visit_windows_14": _windows(14),
         "ae_by_site": lambda d: views.ae_by_site(d["ae"], d["adsl"]),
         "ae_by_body_system": _systems,
+        "ae_by_body_system_estimated": _systems_estimated,
+        "retention_by_visit_estimated": _retention_estimated,
+        "view_orders": _orders,
         **{
             f"check_{c.check_id.lower()}": lambda d, c=c: C.run_checks(d, [c]) for c in C.CHECKS
         },
@@ -180,8 +268,9 @@ def over_domains() -> dict[str, Callable[[Domains], DataFrame]]:
         "cv_folds": _folds,
         "auc_of_score": _auc,
         "balanced_accuracy_of_score": _balanced,
+        "cv_of_score": _cv_of_score,
         "odds_ratios": _odds,
-        "odds_ratio_direction": lambda d: frames.odds_ratio_direction(_odds(d)),
+        "odds_ratio_direction": _odds_direction,
         "score_subjects": _scores,
         "cv_results": _cv,
     }

@@ -7,6 +7,7 @@ from multiprocessing.pool import ThreadPool
 
 import pyarrow as pa
 from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     LogisticRegression,
@@ -23,7 +24,8 @@ from sitewatch.risk.features import LABEL
 from sitewatch.risk.folds import N_SPLITS, cv_folds
 from sitewatch.risk.metrics import fold_scores
 from sitewatch.risk.prep import Preparation, add_columns, fit_preparation, fit_preparations
-from sitewatch.session import shared_folder
+from sitewatch.risk.sample import stratified_sample
+from sitewatch.session import process_scope, result_only, shared_folder
 
 # Model and metric names.
 LOGISTIC = "Logistic regression"
@@ -37,7 +39,13 @@ TINY = 1e-300
 
 @dataclass(frozen=True)
 class Settings:
-    """Estimator settings. ``penalty`` is the inverse strength of the L2 term."""
+    """Estimator settings. ``penalty`` is the inverse strength of the L2 term.
+
+    A forest's nodes are held on the driver and grow with the rows it is fit on.
+    ``forest_rows`` bounds these: each forest is then fit on a stratified sample of
+    its training set. It is off by default. ``parallelism`` bounds the fits, and so
+    the forests, held at a time; the session's cores bound it further.
+    """
 
     penalty: float = 1.0
     max_iter: int = 1000
@@ -46,7 +54,8 @@ class Settings:
     max_depth: int = 30  # the deepest that Spark grows
     max_bins: int = 64
     seed: int = 42
-    parallelism: int = 4
+    parallelism: int = 8
+    forest_rows: int | None = None
 
 
 @dataclass(frozen=True)
@@ -70,9 +79,17 @@ class RiskModel:
     def save(self, folder: str) -> None:
         spark = SparkSession.active()
         self.pipeline.write().overwrite().save(f"{folder}/pipeline")
+        # Written last: where names are, the model is whole.
         names = pa.table({"position": range(len(self.names)), "name": list(self.names)})
         spark.createDataFrame(names).write.mode("overwrite").parquet(f"{folder}/names")
 
+    @staticmethod
+    def is_at(spark: SparkSession, folder: str) -> bool:
+        try:
+            return bool(spark.read.parquet(f"{folder}/names").columns)
+        except AnalysisException:
+            return False
+
     @classmethod
     def load(cls, folder: str) -> RiskModel:
         spark = SparkSession.active()
@@ -137,6 +154,11 @@ def _estimator(kind: str, prep: Preparation, settings: Settings):
 def fit_model(
     kind: str, train: DataFrame, prep: Preparation, settings: Settings = Settings()
 ) -> RiskModel:
+    if kind == FOREST:
+        _keep_checkpoints(train.sparkSession)
+        if settings.forest_rows is not None:
+            # What is known of the columns, and the weights, stay those of all rows.
+            train = stratified_sample(train, settings.forest_rows, settings.seed)
     stages, names = _preparing_stages(train, prep)
     weighted = add_columns(train, {"weight": prep.weight_sql()})
     ready = PipelineModel(stages).transform(weighted).select("inputs", LABEL, "weight")
@@ -146,6 +168,12 @@ def fit_model(
     return RiskModel(PipelineModel([*stages, fitted]), names)
 
 
+def _keep_checkpoints(spark: SparkSession) -> None:
+    """A folder for the rows' nodes, without which a forest's lineage grows with its depth."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, process_scope()))
+
+
 def _check_settled(fitted: LogisticRegressionModel, ready: DataFrame, settings: Settings) -> None:
     """Raise unless the solver stopped by itself where the mean loss is flat."""
     if fitted.summary.totalIterations >= settings.max_iter:
@@ -171,16 +199,21 @@ def fit_final(features: DataFrame, settings: Settings = Settings()) -> RiskModel
     return fit_model(LOGISTIC, features, fit_preparation(features), settings)
 
 
+@result_only
 def evaluate(
     features: DataFrame,
     n_repeats: int = 10,
     settings: Settings = Settings(),
     kinds: tuple[str, ...] = (LOGISTIC, FOREST),
+    models: str | None = None,
 ) -> DataFrame:
     """Repeated stratified cross-validation: mean and SD of each score per model.
 
     Folds and held-out scores are written to the shared folder, so no fit has
-    to derive the features again and a lost executor costs only its tasks.
+    to derive the features again and a lost executor costs only its tasks. A fitted
+    model is let go of once its fold is scored. With a folder ``models`` it is written
+    there first, and a later call on the same features and settings starts from what
+    it finds there.
     """
     spark = features.sparkSession
     folder = shared_folder(spark)
@@ -190,14 +223,23 @@ def evaluate(
     rows = spark.read.parquet(f"{folder}/folds").withColumn(
         "repeat", F.col("repeat").cast("bigint")
     )
-    preps = _training_preparations(rows)
+    preps = _training_preparations(rows, n_repeats)
+
+    def fitted(train: DataFrame, kind: str, repeat: int, fold: int) -> RiskModel:
+        prep = preps[repeat * N_SPLITS + fold]
+        if models is None:
+            return fit_model(kind, train, prep, settings)
+        place = f"{models}/{kind.split()[0].lower()}/repeat={repeat}/fold={fold}"
+        if not RiskModel.is_at(spark, place):
+            fit_model(kind, train, prep, settings).save(place)
+        return RiskModel.load(place)
 
     def run(task: tuple[int, int, str]) -> None:
         repeat, fold, kind = task
         mine = rows.filter(F.col("repeat") == repeat)
         train, test = (mine.filter(F.col("fold") != fold), mine.filter(F.col("fold") == fold))
-        model = fit_model(kind, train, preps[repeat * N_SPLITS + fold], settings)
-        model.score(test).select("USUBJID", LABEL, "risk").write.parquet(
+        scored = fitted(train, kind, repeat, fold).score(test)
+        scored.select("USUBJID", LABEL, "risk").write.parquet(
             f"{folder}/scored/model={kind}/repeat={repeat}/fold={fold}"
         )
 
@@ -207,21 +249,22 @@ def evaluate(
         for repeat in range(1, n_repeats + 1)
         for fold in range(N_SPLITS)
     ]
-    with ThreadPool(settings.parallelism) as pool:
+    at_once = min(settings.parallelism, spark.sparkContext.defaultParallelism)
+    with ThreadPool(at_once) as pool:
         pool.map(inheritable_thread_target(spark)(run), tasks, chunksize=1)
     scored = spark.read.parquet(f"{folder}/scored")
     return cv_summary(fold_scores(scored, "risk", LABEL, ["model", "repeat", "fold"]))
 
 
-def _training_preparations(rows: DataFrame) -> dict[int, Preparation]:
-    """One preparation per (repeat, held-out fold), learned in shared passes."""
-    others = F.filter(
-        F.sequence(F.lit(0), F.lit(N_SPLITS - 1)), lambda f: f != F.col("fold")
-    )
-    sets = rows.withColumn("_held_out", F.explode(others)).withColumn(
-        "_set", F.col("repeat") * N_SPLITS + F.col("_held_out")
-    )
-    return fit_preparations(sets, "_set")
+def _training_preparations(rows: DataFrame, n_repeats: int) -> dict[int, Preparation]:
+    """One preparation per (repeat, held-out fold), merged from the other folds' statistics."""
+    cells = rows.withColumn("_cell", F.col("repeat") * N_SPLITS + F.col("fold"))
+    sets = {
+        repeat * N_SPLITS + held: [repeat * N_SPLITS + fold for fold in range(N_SPLITS) if fold != held]
+        for repeat in range(1, n_repeats + 1)
+        for held in range(N_SPLITS)
+    }
+    return fit_preparations(cells, "_cell", sets)
 
 
 def cv_summary(scores: DataFrame) -> DataFrame:

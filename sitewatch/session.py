@@ -20,14 +20,20 @@ SETTINGS = {
     # A few subjects may own most rows of a domain; split them even where the
     # split costs one more exchange further up.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Shuffles start with many partitions and are joined to as few as their bytes ask
+    # for; at hundreds of terabytes give more (a partition should hold about 128 MB).
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "1000",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
 }
 
 
-def job_session(app_name: str) -> SparkSession:
+def job_session(app_name: str, initial_partitions: int | None = None) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
-    for key, value in SETTINGS.items():
+    settings = dict(SETTINGS)
+    if initial_partitions is not None:
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(initial_partitions)
+    for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -54,6 +60,11 @@ _SCOPE: ContextVar[Scratch] = ContextVar("scratch", default=_PROCESS)
 _LOCAL_BASES: list[str] = []
 
 
+def process_scope() -> Scratch:
+    """The scope of what must outlast every other."""
+    return _PROCESS
+
+
 @atexit.register
 def _leave_nothing() -> None:
     _PROCESS.drop()

@@ -1,7 +1,11 @@
 """Reader for SAS transport files (version 5), split into ranges of observations.
 
 Observations have one fixed length, so a file divides into ranges that tasks
-read on their own: open, seek, read, decode. The driver reads headers only.
+read on their own: open, seek, read, decode. ``read_transport`` reads a folder of
+any number of files in two stages: tasks read every header once, and the ranges that
+follow from them are packed by bytes, so that a task reads a large range or many
+small files. ``spark.read.format("sas_transport")`` is the same decoder as a plain
+source, for which the driver reads the headers of a few files.
 Files are reached through ``pyarrow.fs``, which covers local paths and the
 object stores and HDFS a cluster would use.
 """
@@ -12,15 +16,20 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
-from urllib.parse import urlparse
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from sitewatch.functions.ordered import running_total
+from sitewatch.session import saved
+
 # Fixed values of the published transport format.
 RECORD = 80
 LIBRARY_MARK = b"HEADER RECORD*******LIBRARY HEADER RECORD!!!!!!!"
@@ -33,6 +42,15 @@ MISSING_CODES = b"._ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DEFAULT_RANGE_BYTES = 64 * 1024 * 1024
 BATCH_BYTES = 8 * 1024 * 1024
 HEADER_THREADS = 16
+#: What opening a file costs, as bytes read; bounds the files that one task opens.
+OPEN_BYTES = 256 * 1024
+#: Leading hex digits of a path's hash that cut the packing order into pieces.
+PIECE_DIGITS = 3
+
+HEADERS_DDL = (
+    "path string, start long, width long, n_obs long, "
+    "variables array<struct<name:string,is_text:boolean,length:int,offset:int>>"
+)
 
 
 @dataclass(frozen=True)
@@ -63,8 +81,12 @@ class ObservationRange(InputPartition):
 
 def _file_system(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI or a plain local path, and the path within it."""
-    if len(urlparse(path).scheme) > 1:
-        return pafs.FileSystem.from_uri(path)
+    parts = urlparse(path)
+    if parts.scheme == "file":
+        return pafs.LocalFileSystem(), unquote(parts.path)
+    if len(parts.scheme) > 1:
+        # Hadoop's name of the object store, as Spark lists it, is not Arrow's.
+        return pafs.FileSystem.from_uri("s3" + path[3:] if parts.scheme == "s3a" else path)
     return pafs.LocalFileSystem(), path
 
 
@@ -92,9 +114,10 @@ def read_layouts(paths: list[str]) -> list[Layout]:
         return pool.map(read_layout, paths)
 
 
-def read_layout(path: str) -> Layout:
+def read_layout(path: str, size: int | None = None) -> Layout:
     fs, inner = _file_system(path)
-    size = fs.get_file_info(inner).size
+    if size is None:
+        size = fs.get_file_info(inner).size
     with fs.open_input_file(inner) as file:
         if not file.read(RECORD).startswith(LIBRARY_MARK):
             raise ValueError(f"{path}: not a version 5 transport file")
@@ -164,6 +187,27 @@ def decode_numbers(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, coded & ~raw[:, 1:].any(axis=1)
 
 
+def decode_text(raw: np.ndarray) -> pa.Array:
+    """Latin-1 text of one fixed width, one value per row, as UTF-8."""
+    rows, width = raw.shape
+    flat = raw.ravel()
+    high = flat >= 128
+    if high.any():
+        # Such a character takes two bytes.
+        ends = np.cumsum(1 + high.astype(np.int64))
+        starts = ends - 1 - high
+        out = np.empty(ends[-1], dtype=np.uint8)
+        out[starts] = np.where(high, 0xC0 | flat >> 6, flat)
+        out[ends[high] - 1] = 0x80 | flat[high] & 0x3F
+        offsets = np.concatenate([[0], ends[width - 1 :: width]])
+    else:
+        out, offsets = flat, np.arange(rows + 1) * width
+    text = pa.StringArray.from_buffers(
+        rows, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(out))
+    )
+    return text if flat.all() else pc.utf8_rtrim(text, characters="\0")
+
+
 def decode_observations(buffer: bytes, layout: Layout, names: list[str]) -> pa.RecordBatch:
     """Columns ``names``; one the file lacks is all missing."""
     grid = np.frombuffer(buffer, dtype=np.uint8).reshape(-1, layout.width)
@@ -176,14 +220,144 @@ def decode_observations(buffer: bytes, layout: Layout, names: list[str]) -> pa.R
             continue
         raw = np.ascontiguousarray(grid[:, v.offset : v.offset + v.length])
         if v.is_text:
-            text = np.char.decode(raw.view(f"S{v.length}").ravel(), "latin1")
-            columns.append(pa.array(text, pa.string()))
+            columns.append(decode_text(raw))
         else:
             values, missing = decode_numbers(raw)
             columns.append(pa.array(values, pa.float64(), mask=missing))
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
+def decode_range(
+    path: str, layout: Layout, first: int, count: int, types: pa.Schema
+) -> Iterator[pa.RecordBatch]:
+    fs, inner = _file_system(path)
+    with fs.open_input_file(inner) as file:
+        file.seek(layout.start + first * layout.width)
+        step = max(1, BATCH_BYTES // max(1, layout.width))
+        for done in range(0, count, step):
+            n = min(step, count - done)
+            batch = decode_observations(file.read(n * layout.width), layout, types.names)
+            yield batch.cast(types)
+
+
+# --- Folders of any number of files ---
+
+
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """A row per transport file at or below ``path``: where its observations lie, and how.
+
+    Spark lists the files; each is opened once, by a task that takes many.
+    """
+    files = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.[xX][pP][tT]")
+        .load(path)
+        .select("path", "length")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for file, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                layout = read_layout(file, size)
+                variables = [vars(v) for v in layout.variables]
+                rows.append((file, layout.start, layout.width, layout.n_obs, variables))
+            names = ("path", "start", "width", "n_obs", "variables")
+            yield pa.RecordBatch.from_pylist([dict(zip(names, row)) for row in rows], schema=HEADERS)
+
+    return files.mapInArrow(run, HEADERS_DDL)
+
+
+HEADERS = pa.schema(
+    [
+        ("path", pa.string()),
+        ("start", pa.int64()),
+        ("width", pa.int64()),
+        ("n_obs", pa.int64()),
+        (
+            "variables",
+            pa.list_(
+                pa.struct(
+                    [("name", pa.string()), ("is_text", pa.bool_()), ("length", pa.int32()), ("offset", pa.int32())]
+                )
+            ),
+        ),
+    ]
+)
+
+
+def column_union(headers: DataFrame) -> T.StructType:
+    """All columns of all files, in order of first sight by path."""
+    seen = headers.select("path", F.posexplode("variables").alias("place", "v"))
+    first = F.struct("path", "place")
+    columns = (
+        seen.groupBy("v.name")
+        .agg(
+            F.min(first).alias("first"),
+            F.min_by("v.is_text", first).alias("is_text"),
+            F.count_distinct("v.is_text").alias("kinds"),
+        )
+        .orderBy("first")
+        .collect()
+    )
+    for c in columns:
+        if c["kinds"] > 1:
+            other = seen.filter((F.col("v.name") == c["name"]) & (F.col("v.is_text") != c["is_text"]))
+            path = other.agg(F.min("path")).first()[0]
+            raise ValueError(f"{path}: {c['name']} has another type than in earlier files")
+    return T.StructType(
+        [T.StructField(c["name"], T.StringType() if c["is_text"] else T.DoubleType()) for c in columns]
+    )
+
+
+def packed_ranges(headers: DataFrame, range_bytes: int = DEFAULT_RANGE_BYTES) -> DataFrame:
+    """Ranges of observations, as many to a partition as ``range_bytes`` and the cost of opening allow."""
+    step = F.greatest(F.lit(1), F.floor(F.lit(range_bytes) / F.greatest("width", F.lit(1)))).cast("long")
+    count = F.least(step, F.col("n_obs") - F.col("first"))
+    ranges = saved(
+        headers.filter("n_obs > 0")
+        .withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_obs") - 1, step)))
+        .withColumn("count", count)
+        .withColumn("cost", F.col("count") * F.col("width") + OPEN_BYTES)
+        .withColumn("piece", F.substring(F.md5("path"), 1, PIECE_DIGITS))
+    )
+    total = ranges.agg(F.sum("cost")).first()[0] or 0
+    # Whole numbers: full enough for a bin, and no bin over its limit by more than one range.
+    bins = max(1, -(-total // (range_bytes + OPEN_BYTES)))
+    summed = running_total(ranges, [], "piece", ["path", "first"], F.col("cost"), "upto")
+    number = F.floor((F.col("upto") - F.col("cost")) / F.lit(range_bytes + OPEN_BYTES)).cast("int")
+    return summed.withColumn("bin", number).repartitionById(bins, "bin").drop("piece", "cost", "upto", "bin")
+
+
+def read_ranges(ranges: DataFrame, schema: T.StructType) -> DataFrame:
+    """The observations of every range."""
+    types = pa.schema(
+        [(f.name, pa.string() if isinstance(f.dataType, T.StringType) else pa.float64()) for f in schema.fields]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                variables = tuple(Variable(**v) for v in row["variables"])
+                layout = Layout(variables, row["start"], row["width"], row["n_obs"])
+                yield from decode_range(row["path"], layout, row["first"], row["count"], types)
+
+    return ranges.mapInArrow(run, schema)
+
+
+def read_transport(spark: SparkSession, path: str, range_bytes: int = DEFAULT_RANGE_BYTES) -> DataFrame:
+    """All files at or below ``path``; a column that a file lacks is all missing there."""
+    headers = saved(read_headers(spark, path))
+    schema = column_union(headers)
+    if not schema.fields:
+        raise ValueError(f"no transport files in {path}")
+    return read_ranges(packed_ranges(headers, range_bytes), schema)
+
+
+# --- The same as a plain source ---
+
+
 class TransportReader(DataSourceReader):
     def __init__(self, schema: T.StructType, files: list[str], range_bytes: int):
         self.schema = schema
@@ -209,16 +383,7 @@ class TransportReader(DataSourceReader):
                 for f in self.schema.fields
             ]
         )
-        fs, inner = _file_system(partition.path)
-        with fs.open_input_file(inner) as file:
-            file.seek(layout.start + partition.first * layout.width)
-            left = partition.count
-            step = max(1, BATCH_BYTES // max(1, layout.width))
-            while left > 0:
-                n = min(step, left)
-                batch = decode_observations(file.read(n * layout.width), layout, types.names)
-                yield batch.cast(types)
-                left -= n
+        yield from decode_range(partition.path, layout, partition.first, partition.count, types)
 
 
 class TransportSource(DataSource):

@@ -12,7 +12,7 @@ from sitewatch.plans import oracle, registry
 TYPES = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
 ORACLE = oracle.oracle_sql()
 QUERIES = registry.queries()
-ROWS_ONLY = {"odds_ratios", "odds_ratio_direction", "score_subjects", "cv_results"}
+ROWS_ONLY = {"cv_results"}
 
 
 @pytest.fixture(scope="module")

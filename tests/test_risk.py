@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import statistics
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 from sitewatch.operators import frames
 from sitewatch.plans import jobs
 from sitewatch.risk import explain, metrics, prep, train
-from sitewatch.risk.features import CATEGORICAL, LABEL, LEAKY, NUMERIC, check_no_leaks, landmark_features
+from sitewatch.risk.features import CATEGORICAL, LABEL, LEAKY, NUMERIC, check_no_leaks, early_counts, landmark_features
 from sitewatch.risk.folds import cv_folds
+from sitewatch.risk.lineage import sources
+from sitewatch.risk.sample import stratified_sample
 from sitewatch.sources.binding import bind
 from tests.planted import domains
 
@@ -66,6 +69,34 @@ def test_no_leaky_inputs():
         check_no_leaks(("AGE", "CUMDOSE"))
 
 
+def test_a_renamed_late_column_is_refused(spark, small):
+    d = bind(spark, small)
+    features = landmark_features(d["adsl"], d["ae"])
+    found = sources(features)
+    assert "k" in found["AGE"] and "AESTDY" not in found["AGE"] and "DISCONFL" in found[LABEL]
+    # Days on study, under the name of an input, over a rename, a join and a union.
+    late = d["adsl"].select("USUBJID", F.length("RFENDTC").cast("double").alias("calm"))
+    hidden = d["adsl"].drop("DURDIS").join(late.withColumnRenamed("calm", "DURDIS"), "USUBJID")
+    with pytest.raises(ValueError, match="DURDIS comes from .*RFENDTC"):
+        landmark_features(hidden, d["ae"])
+    with pytest.raises(ValueError, match="DURDIS comes from .*RFENDTC"):
+        landmark_features(d["adsl"].unionByName(hidden), d["ae"])
+    told = features.withColumn("AGE", F.col(LABEL) * 1.5)
+    with pytest.raises(ValueError, match="AGE comes from .*DISCONFL"):
+        prep.fit_preparation(told)
+
+
+def test_an_event_after_the_landmark_is_refused(spark):
+    def counts(day):
+        events = spark.createDataFrame([("S1", day, "SEVERE"), ("S1", 1.0, None)], "USUBJID string, AESTDY double, AESEV string")
+        return [tuple(r) for r in early_counts(events).collect()]
+
+    assert counts(14.0) == [("S1", 2, 1)]
+    for day in (15.0, 0.0, None):
+        with pytest.raises(Exception, match="event after the landmark.*S1"):
+            counts(day)
+
+
 def test_preparation_equals_numpy(spark, people):
     fitted = prep.fit_preparation(people)
     pdf = people.toPandas()
@@ -99,17 +130,37 @@ def test_infinite_values_are_refused(spark, people):
 def test_medians_are_exact(spark):
     rows = [(f"S{i}", "701", v, "F", 1.0, 1.0, 1.0, 1.0, "A", case, 0, i % 2)
             for case, values in enumerate(MEDIAN_CASES) for i, v in enumerate(values)]
-    df = spark.createDataFrame(rows, SCHEMA).select(
-        F.col("early_ae_count").alias("s"), F.col("AGE").alias("value")
-    )
-    learning = df.select("s", F.expr(prep.present_sql("value")).alias("AGE"))
-    stats = learning.groupBy("s").agg(
-        F.count("AGE").alias("AGE n"), F.min("AGE").alias("AGE min"), F.max("AGE").alias("AGE max")
+    learning = spark.createDataFrame(rows, SCHEMA).select(
+        F.col("early_ae_count").alias("cell"), F.expr(prep.present_sql("AGE")).alias("AGE")
     )
-    got = prep._medians(learning, stats.collect(), ("AGE",))
-    for case, values in enumerate(MEDIAN_CASES):
-        clean = [v for v in values if v is not None and not math.isnan(v)]
-        assert got[case, "AGE"] == statistics.median(clean)
+    told = prep._cell_statistics(learning, ("AGE",))
+    clean = [[v for v in values if v is not None and not math.isnan(v)] for values in MEDIAN_CASES]
+    # Every case by itself, and every two neighbours merged.
+    sets = {case: [case] for case in range(len(clean))}
+    sets |= {100 + case: [case, case + 1] for case in range(len(clean) - 1)}
+    values = {s: sum((clean[case] for case in cases), []) for s, cases in sets.items()}
+    got = prep._medians(learning, told, sets, {(s, "AGE"): len(v) for s, v in values.items()})
+    for s, v in values.items():
+        assert got[s, "AGE"] == statistics.median(v)
+
+
+def test_medians_survive_wrong_brackets(spark, people, monkeypatch):
+    want = prep.fit_preparation(people)
+    monkeypatch.setattr(prep, "_brackets", lambda told, pairs, columns: {c: (0.0, 0.0) for c in columns})
+    assert prep.fit_preparation(people) == want
+
+
+def test_training_sets_are_merged_from_folds(spark, people):
+    rows = cv_folds(people, n_repeats=2).persist()
+    fitted = train._training_preparations(rows, 2)
+    assert set(fitted) == {5, 6, 7, 8, 9, 10, 11, 12, 13, 14}
+    for repeat, held in ((1, 0), (2, 3)):
+        got = fitted[repeat * 5 + held]
+        want = prep.fit_preparation(rows.filter((F.col("repeat") == repeat) & (F.col("fold") != held)))
+        assert (got.levels, got.class_counts) == (want.levels, want.class_counts)
+        for a, b in zip(got.numbers, want.numbers, strict=True):
+            assert (a.name, a.median) == (b.name, b.median)
+            assert (a.mean, a.deviation) == (pytest.approx(b.mean, rel=1e-12), pytest.approx(b.deviation, rel=1e-12))
 
 
 def test_many_training_sets_at_once(spark, people):
@@ -289,6 +340,63 @@ def test_cross_validation_finds_a_planted_effect(spark):
     assert train.quoted_score(results).count() == 1
 
 
+def test_cross_validation_starts_from_written_models(spark, tmp_path, monkeypatch):
+    strong = subjects(spark, 200, seed=4, effect=2.0)
+    settings = train.Settings(n_trees=3, forest_rows=90)
+    first = train.evaluate(strong, 1, settings, models=str(tmp_path)).collect()
+
+    def refuse(*args):
+        raise AssertionError("fitted again")
+
+    monkeypatch.setattr(train, "fit_model", refuse)
+    assert train.evaluate(strong, 1, settings, models=str(tmp_path)).collect() == first
+
+
+def test_samples_do_not_depend_on_partitions(spark, people):
+    many = people.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(9)))).withColumn(
+        "USUBJID", F.concat_ws("-", "USUBJID", "copy")
+    )
+
+    def drawn(df, rows):
+        got = stratified_sample(df, rows).select("USUBJID", LABEL).collect()
+        return {r["USUBJID"]: r[LABEL] for r in got}
+
+    want = drawn(many, 500)
+    assert drawn(many.repartition(7), 500) == drawn(many.coalesce(1), 500) == want
+    share = many.agg(F.avg(LABEL)).first()[0]
+    assert abs(len(want) - 500) <= 1 and abs(sum(want.values()) - 500 * share) <= 1
+    ranked = sorted(
+        (hashlib.md5(f"42:{r['USUBJID']}".encode()).hexdigest(), r["USUBJID"])
+        for r in many.filter(f"{LABEL} = 1").collect()
+    )
+    ones = {i for i, y in want.items() if y == 1}
+    assert ones == {i for _, i in ranked[: len(ones)]}
+    assert drawn(many, 100).items() <= want.items()
+    assert drawn(many, 10**6).keys() == {r["USUBJID"] for r in many.collect()}
+    assert drawn(many.limit(0), 5) == {}
+    # A third of all rows under one id and class.
+    hot = many.unionAll(many.limit(1200).withColumn("USUBJID", F.lit("HOT")).withColumn(LABEL, F.lit(1).cast("bigint")))
+    assert drawn(hot, 300) == drawn(hot.repartition(5), 300)
+
+
+def test_a_sample_needs_no_sort_of_all_rows(people, capsys):
+    stratified_sample(people, 50).explain()
+    text = capsys.readouterr().out
+    assert "Broadcast" in text and "RangePartitioning" not in text
+    # Rows are shuffled for the last piece only; all others join a row per class.
+    assert "SortMergeJoin" not in text
+
+
+def test_a_forest_is_fit_on_the_rows_it_may_have(spark, people, monkeypatch):
+    seen = []
+    monkeypatch.setattr(train, "stratified_sample", lambda df, rows, seed: seen.append(rows) or stratified_sample(df, rows, seed))
+    fitted = prep.fit_preparation(people)
+    model = train.fit_model(train.FOREST, people, fitted, train.Settings(n_trees=2, forest_rows=60))
+    assert seen == [60] and model.score(people).filter("risk BETWEEN 0 AND 1").count() == 400
+    train.fit_model(train.LOGISTIC, people, fitted, train.Settings(forest_rows=60))
+    assert seen == [60]
+
+
 def test_jobs_write_their_results(spark, small, tmp_path):
     data, out = str(tmp_path / "data"), str(tmp_path / "out")
     loaded = jobs.load_domains(bind(spark, small), data)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sitewatch.operators.load import convert_sas_dates, load_report, tidy_blanks
 from sitewatch.plans import jobs
+from sitewatch.session import saved
 from sitewatch.sources import xport
 from sitewatch.sources.schema import DOMAIN_NAMES, NUMBER_COLUMNS, TEXT_COLUMNS
 from sitewatch.sources.tables import read_domains
@@ -95,6 +96,54 @@ def test_other_files_are_refused(spark, tmp_path):
         read(spark, str(tmp_path / "a.xpt")).count()
 
 
+def test_two_stages_equal_the_plain_source(spark, tmp_path):
+    write_transport(tmp_path / "a.xpt", sample(1001))
+    write_transport(tmp_path / "b.XPT", sample(0))
+    (tmp_path / "below").mkdir()
+    write_transport(tmp_path / "below" / "c.xpt", [Column("USUBJID", 9, True, ["T1", "T2"]), Column("NEW", 8, False, [1.0, None])])
+    (tmp_path / "notes.txt").write_text("not a study")
+    want = read(spark, str(tmp_path), rangeBytes=3000)
+    got = xport.read_transport(spark, str(tmp_path), range_bytes=3000)
+    assert got.schema == want.schema
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    assert xport.read_transport(spark, f"file://{tmp_path}/a.xpt").count() == 1001
+
+
+def test_many_small_files_take_few_tasks_and_one_look_at_each_header(spark, tmp_path):
+    for i in range(2000):
+        write_transport(tmp_path / f"{i:04d}.xpt", [Column("USUBJID", 6, True, [f"S{i:04d}"] * (i % 3 + 1))])
+    headers = xport.read_headers(spark, str(tmp_path))
+    assert headers.rdd.getNumPartitions() < 100
+    headers = saved(headers)
+    assert headers.count() == 2000
+    for path in tmp_path.glob("*.xpt"):
+        data = path.read_bytes()
+        at = data.index(b"OBS     HEADER RECORD") + 60
+        path.write_bytes(b"?" * at + data[at:])
+    got = xport.read_ranges(xport.packed_ranges(headers), xport.column_union(headers))
+    assert got.rdd.getNumPartitions() < 100
+    counts = {r["USUBJID"].strip(): r["count"] for r in got.groupBy("USUBJID").count().collect()}
+    assert counts == {f"S{i:04d}": i % 3 + 1 for i in range(2000)}
+
+
+def test_columns_of_two_types_are_refused(spark, tmp_path):
+    write_transport(tmp_path / "a.xpt", [Column("X", 8, False, [1.0])])
+    write_transport(tmp_path / "b.xpt", [Column("X", 8, True, ["1"])])
+    with pytest.raises(ValueError, match="b.xpt: X has another type"):
+        xport.read_transport(spark, str(tmp_path))
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="no transport files"):
+        xport.read_transport(spark, str(tmp_path / "none"))
+
+
+def test_text_is_decoded_as_latin1():
+    raw = np.array([[65, 233, 32], [0, 0, 0], [255, 128, 127], [66, 0, 0]], dtype=np.uint8)
+    want = [bytes(r).rstrip(b"\0").decode("latin1") for r in raw]
+    assert xport.decode_text(raw).to_pylist() == want
+    assert xport.decode_text(np.full((2, 3), 65, np.uint8)).to_pylist() == ["AAA", "AAA"]
+    assert xport.decode_text(np.zeros((0, 4), np.uint8)).to_pylist() == []
+
+
 def test_file_uri(spark, tmp_path):
     path = write_transport(tmp_path / "a.xpt", sample(10))
     assert read(spark, f"file://{path}").count() == 10
