@@ -8,30 +8,40 @@ written once, at the smallest id; the others revisit it.
 Reading: a task gets a byte range. It looks for the gzip magic, takes a
 candidate only if it decodes to a WARC header, and owns the records that start
 inside its range, following the last one beyond the end. Ranges need no index.
+Archives of other writers are read too: any record type, any record id, headers in
+any case, with or without digests, several records in a member.
+
+Nothing is lost in silence: a record whose header is whole and whose content is not
+comes back with ``intact`` false and the reason in ``damage``; bytes of a file that no
+record accounts for, as those of a broken header, are rows of ``lost_bytes``.
 
 Folders may be on any file system that Arrow opens by URI (file, hdfs, s3, gs).
 
-Defined cases: a NULL payload is empty; a NULL URL is an empty header; records
-with a NULL id are written under id -1 and never answer for others unless
-nothing else has the payload; repeated rows are records of their own (the first
-by id and url answers); an empty table writes nothing and reads nothing; columns
-other than those named are not read.
+Defined cases: a NULL payload is empty; a NULL URL is an empty header; a record
+with a NULL id is named by its place, comes back with a NULL page id and answers for
+no other; repeated rows are records of their own (all rows of the smallest id and url
+answer); an empty table writes nothing and reads nothing; columns other than those
+named are not read.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitewatch.llm.common import bounded_batches, rows_to_batches, salted_left_join, table
-from sitewatch.session import saved, shared_folder
+from sitewatch.session import result_only, saved, shared_folder
 
 SHORTEST = 100
 RANGE_BYTES = 16 * 1024 * 1024
@@ -39,6 +49,8 @@ RANGE_BYTES = 16 * 1024 * 1024
 SALTS = 16
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 13
+#: Decoded bytes by which a candidate is judged.
+HEAD = 1 << 12
 BLOCK = 1 << 20
 WRITTEN = pa.schema([("path", pa.string()), ("length", pa.int64()), ("records", pa.int64())])
 WRITTEN_DDL = "path string, length long, records long"
@@ -46,28 +58,45 @@ READ = pa.schema(
     [
         ("path", pa.string()),
         ("offset", pa.int64()),
-        ("record_id", pa.int64()),
+        ("place", pa.int32()),
+        ("end", pa.int64()),
+        ("record_id", pa.string()),
+        ("page_id", pa.int64()),
         ("uri", pa.string()),
+        ("date", pa.string()),
         ("record_type", pa.string()),
-        ("refers_to", pa.int64()),
+        ("refers_to", pa.string()),
+        ("refers_to_page", pa.int64()),
         ("payload", pa.binary()),
         ("payload_bytes", pa.int64()),
         ("payload_digest", pa.string()),
         ("intact", pa.bool_()),
+        ("damage", pa.string()),
     ]
 )
 READ_DDL = (
-    "path string, offset long, record_id long, uri string, record_type string, refers_to long, "
-    "payload binary, payload_bytes long, payload_digest string, intact boolean"
+    "path string, offset long, place int, end long, record_id string, page_id long, uri string, date string, "
+    "record_type string, refers_to string, refers_to_page long, payload binary, payload_bytes long, "
+    "payload_digest string, intact boolean, damage string"
 )
+PAGE_URN = re.compile(r"<urn:page:(-?\d+)>")
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if ":" in uri.split("/", 1)[0] else f"file://{uri}")
 
 
+def _names() -> dict[str, Column]:
+    return {
+        "page_id": F.col("page_id"),
+        # Never NULL, for joins.
+        "key": F.coalesce(F.col("page_id").cast("string"), F.lit("")),
+        "url": F.coalesce("url", F.lit("")),
+    }
+
+
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """Add ``digest``, ``length`` and ``refers_to`` to (page_id, url, html).
+    """Rows (page_id, key, url, digest, length, refers_to) of (page_id, url, html).
 
     Groups are counted before the shuffle; only groups of two or more are met
     again, under ``SALTS`` keys each, by rows without payload.
@@ -75,39 +104,34 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit(""))
     narrow = saved(
         pages.select(
-            F.coalesce(F.col("page_id"), F.lit(-1)).alias("page_id"),
-            F.coalesce("url", F.lit("")).alias("url"),
+            *(c.alias(name) for name, c in _names().items()),
             F.sha2(payload, 256).alias("digest"),
             F.octet_length(payload).cast("long").alias("length"),
         )
     )
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
     groups = (
         narrow.filter(F.col("length") >= SHORTEST)
         .groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct((F.col("page_id") < 0).alias("no"), "page_id", "url")).alias("_first"))
-        .filter(F.col("_n") > 1)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(named).alias("_first"))
+        .filter((F.col("_n") > 1) & F.col("_first").isNotNull())
     )
-    return (
-        salted_left_join(narrow, groups.drop("_n"), ["digest"], F.struct("page_id", "url"), SALTS)
-        .select(
-            "page_id",
-            "url",
-            "digest",
-            "length",
-            F.when(
-                (F.col("_first.page_id") != F.col("page_id")) | (F.col("_first.url") != F.col("url")),
-                F.col("_first.page_id"),
-            ).alias("refers_to"),
-        )
+    joined = salted_left_join(narrow, groups.drop("_n"), ["digest"], F.struct("key", "url"), SALTS)
+    same = F.col("page_id").eqNullSafe(F.col("_first.page_id")) & (F.col("url") == F.col("_first.url"))
+    again = F.col("_first").isNotNull() & ~same
+    return joined.select(
+        "page_id", "key", "url", "digest", "length", F.when(again, F.col("_first.page_id")).alias("refers_to")
     )
 
 
-def _record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def _record(urn: str, url: str, date: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     kind = "response" if refers_to is None else "revisit"
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <{urn}>",
+        f"WARC-Date: {date}",
+        "Content-Type: text/html",
         "WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"),
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Payload-Length: {len(payload)}",
@@ -124,18 +148,17 @@ def _record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int
     return packer.compress(text) + packer.flush()
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Write (page_id, url, html) below ``folder``; rows (path, length, records)."""
-    facts = with_revisits(pages)
-    rows = (
-        pages.select(
-            F.coalesce(F.col("page_id"), F.lit(-1)).alias("page_id"),
-            F.coalesce("url", F.lit("")).alias("url"),
-            F.coalesce(F.col("html"), F.lit("")).alias("html"),
-        )
-        .withColumn("digest", F.sha2("html", 256))
-    )
-    ready = rows.join(facts.dropDuplicates(["page_id", "url", "digest"]).drop("length"), ["page_id", "url", "digest"])
+def write_archives(pages: DataFrame, folder: str, date: datetime | None = None) -> DataFrame:
+    """Write (page_id, url, html) below ``folder``; rows (path, length, records).
+
+    ``date`` is when the pages were taken; now, if it is not known.
+    """
+    taken = (date or datetime.now(timezone.utc)).astimezone(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    facts = with_revisits(pages).select("key", "url", "digest", "refers_to")
+    rows = pages.select(
+        *(c.alias(name) for name, c in _names().items()), F.coalesce(F.col("html"), F.lit("")).alias("html")
+    ).withColumn("digest", F.sha2("html", 256))
+    ready = rows.join(facts.dropDuplicates(["key", "url", "digest"]), ["key", "url", "digest"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -148,8 +171,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                 if out is None:
                     fs.create_dir(base, recursive=True)
                     out = fs.open_output_stream(held)
+                page = row["page_id"]
+                urn = f"urn:row:{context.partitionId()}-{count}" if page is None else f"urn:page:{page}"
                 member = _record(
-                    row["page_id"], row["url"], row["html"].encode(), row["digest"], row["refers_to"]
+                    urn, row["url"], taken, row["html"].encode(), row["digest"], row["refers_to"]
                 )
                 out.write(member)
                 count, size = count + 1, size + len(member)
@@ -164,8 +189,17 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def _header(text: bytes) -> dict[str, str]:
-    lines = text.decode("utf-8", "replace").split("\r\n")
-    return dict(line.split(": ", 1) for line in lines[1:] if ": " in line)
+    """Named fields, names in lower case; a folded line goes on the one before."""
+    fields: dict[str, str] = {}
+    last = None
+    for line in text.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and last:
+            fields[last] += " " + line.strip()
+        elif ":" in line:
+            last, _, value = line.partition(":")
+            last = last.strip().lower()
+            fields[last] = value.strip()
+    return fields
 
 
 class _Blocks:
@@ -189,12 +223,17 @@ class _Member:
         self.blocks, self.place = blocks, start
         self.unpack = zlib.decompressobj(31)
 
-    def more(self) -> bytes:
-        chunk = self.blocks.at(self.place, CHUNK)
+    def more(self, most: int = 0) -> bytes:
+        """The next bytes, ``most`` of them at most."""
+        chunk = self.unpack.unconsumed_tail
         if not chunk:
-            raise zlib.error("the file ends inside a member")
-        data = self.unpack.decompress(chunk)
-        self.place += len(chunk) - len(self.unpack.unused_data)
+            chunk = self.blocks.at(self.place, CHUNK)
+            if not chunk:
+                raise zlib.error("the file ends inside a member")
+            self.place += len(chunk)
+        data = self.unpack.decompress(chunk, most)
+        if self.unpack.eof:
+            self.place -= len(self.unpack.unused_data)
         return data
 
     def whole(self, begun: bytes) -> bytes:
@@ -216,37 +255,109 @@ def _candidates(blocks: _Blocks, start: int, stop: int) -> Iterator[int]:
         place += CHUNK
 
 
-def records_in(handle, start: int, stop: int) -> Iterator[tuple[int, bytes, bytes]]:
-    """(offset, header, content) of the records that start in [start, stop)."""
+def records_in(handle, start: int, stop: int) -> Iterator[tuple[int, int, bytes, str | None]]:
+    """(offset, end, text, damage) of the members with records that start in [start, stop).
+
+    ``end`` is where the next member may begin. Of a member that breaks off, ``text`` is
+    what could be decoded, and the search goes on inside it.
+    """
     blocks, place = _Blocks(handle), start
     while place < stop:
-        found = None
         for offset in _candidates(blocks, place, stop):
-            member = _Member(blocks, offset)
+            member, text = _Member(blocks, offset), b""
             try:
-                begun = member.more()
-                while len(begun) < 7 and not member.unpack.eof:
-                    begun += member.more()
-                if not begun.startswith(b"WARC/1."):
-                    continue
-                text = member.whole(begun)
+                while len(text) < 7 and not member.unpack.eof:
+                    text += member.more(HEAD)
             except zlib.error:
+                pass
+            if not text.startswith(b"WARC/1."):
                 continue
-            found = (offset, member.place, text)
+            damage = None
+            try:
+                text = member.whole(text)
+            except zlib.error as error:
+                damage = str(error)
+            # A whole member ends where the next begins; a broken one hides no other.
+            place = member.place if damage is None else offset + len(MAGIC)
+            yield offset, member.place, text, damage
             break
-        if found is None:
+        else:
             return
-        offset, place, text = found
-        head, _, content = text.partition(b"\r\n\r\n")
-        yield offset, head, content
 
 
-def _urn(value: str | None) -> int | None:
-    return int(value[len("<urn:page:") : -1]) if value else None
+def _split(text: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """(fields, content, damage) of the records in a member, one as a rule."""
+    while text:
+        head, mark, rest = text.partition(b"\r\n\r\n")
+        fields = _header(head)
+        length = fields.get("content-length", "")
+        if not mark or not length.isdigit():
+            yield fields, rest, "the header breaks off" if not mark else "no content length"
+            return
+        content = rest[: int(length)]
+        yield fields, content, None if len(content) == int(length) else "content shorter than told"
+        text = rest[int(length) :].lstrip(b"\r\n")
+        if text and not text.startswith(b"WARC/1."):
+            return
+
+
+def _differs(told: str, content: bytes) -> bool:
+    """Whether a digest as told, in hex or base 32, is known to be another than the content's."""
+    kind, _, value = told.partition(":")
+    if kind.lower() not in ("sha1", "sha256", "md5"):
+        return False
+    found = hashlib.new(kind.lower(), content).digest()
+    if value.lower() == found.hex():
+        return False
+    try:
+        return base64.b32decode(value.upper() + "=" * (-len(value) % 8)) != found
+    except binascii.Error:
+        return True
+
+
+def _page(value: str | None) -> int | None:
+    named = PAGE_URN.fullmatch(value or "")
+    return int(named[1]) if named else None
+
+
+def _told(fields: dict[str, str], content: bytes, damage: str | None, payloads: bool) -> tuple:
+    """Columns from ``record_id`` on."""
+    kind = fields.get("warc-type")
+    named = fields.get("warc-payload-digest", "")
+    revisit = kind == "revisit"
+    http = fields.get("content-type", "").lower().startswith("application/http")
+    if damage is None and _differs(fields.get("warc-block-digest", ""), content):
+        damage = "another block digest than told"
+    if damage is None and not revisit and not http and _differs(named, content):
+        damage = "another payload digest than told"
+    if revisit:
+        size = fields.get("x-payload-length", "")
+        length, digest = int(size) if size.isdigit() else None, named.removeprefix("sha256:") or None
+    else:
+        length, digest = len(content), hashlib.sha256(content).hexdigest()
+    identity, target = fields.get("warc-record-id"), fields.get("warc-refers-to")
+    return (
+        identity,
+        _page(identity),
+        fields.get("warc-target-uri", ""),
+        fields.get("warc-date"),
+        kind,
+        target,
+        _page(target),
+        content if payloads and not revisit and damage is None else None,
+        length if damage is None else None,
+        digest if damage is None else None,
+        damage is None,
+        damage,
+    )
 
 
 def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = True) -> DataFrame:
-    """Records of archives (path, length); ``payloads=False`` leaves those NULL."""
+    """Records of archives (path, length); ``payloads=False`` leaves those NULL.
+
+    The payload of a record is its block; ``payload_digest`` is the SHA-256 of that, or of
+    a revisit what the record tells. ``place`` counts the records of one member.
+    """
     ranges = files.filter(F.col("length") > 0).select(
         "path",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("start"),
@@ -261,24 +372,9 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bo
             for part in batch.to_pylist():
                 fs, path = _open(part["path"])
                 with fs.open_input_file(path) as handle:
-                    for offset, head, content in records_in(handle, part["start"], part["stop"]):
-                        fields = _header(head)
-                        content = content[: int(fields["Content-Length"])]
-                        named = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-                        full = fields["WARC-Type"] == "response"
-                        digest = hashlib.sha256(content).hexdigest() if full else named
-                        yield (
-                            part["path"],
-                            offset,
-                            _urn(fields["WARC-Record-ID"]),
-                            fields.get("WARC-Target-URI", ""),
-                            fields["WARC-Type"],
-                            _urn(fields.get("WARC-Refers-To")),
-                            content if payloads and full else None,
-                            len(content) if full else int(fields["X-Payload-Length"]),
-                            digest,
-                            digest == named,
-                        )
+                    for offset, end, text, broken in records_in(handle, part["start"], part["stop"]):
+                        for place, (fields, content, damage) in enumerate(_split(text)):
+                            yield (part["path"], offset, place, end, *_told(fields, content, broken or damage, payloads))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows_to_batches(rows(batches), READ, 200)
@@ -286,12 +382,23 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bo
     return spread.select("path", "start", "stop").mapInArrow(read, READ_DDL)
 
 
+def lost_bytes(files: DataFrame, records: DataFrame) -> DataFrame:
+    """Stretches (path, start, end) of the files that no intact record accounts for."""
+    known = records.filter("intact").select("path", "offset", "end").distinct()
+    edges = known.unionByName(files.select("path", F.col("length").alias("offset"), F.col("length").alias("end")))
+    # Rows of one file: as many as it has records.
+    before = Window.partitionBy("path").orderBy("offset", "end").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.max("end").over(before), F.lit(0).cast("long"))
+    return edges.withColumn("start", start).filter(F.col("start") < F.col("offset")).select("path", "start", F.col("offset").alias("end"))
+
+
+@result_only
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = write_archives(table(spark, sf_dir, "pages"), f"{shared_folder(spark)}-warc")
+    files = write_archives(table(spark, sf_dir, "pages"), shared_folder(spark))
     return read_archives(files, payloads=False).select(
-        F.col("record_id").alias("page_id"),
+        "page_id",
         "payload_bytes",
         "payload_digest",
         "record_type",
-        "refers_to",
+        F.col("refers_to_page").alias("refers_to"),
     )
