@@ -16,21 +16,20 @@ do not set the bar of the others: one pass counts (class, p), one scans.
 
 Defined cases: a NULL text is empty; an empty text has no spans; places count
 code points, end exclusive; repeated rows are scanned alike; an empty table
-gives an empty table. A class of fewer than ``FEWEST`` distinct strings is too small
-to tell its share of random ones, and takes the bar above which a random string of
-its own alphabet and length comes with the chance 1 - ``MOST_FALSE``, from drawn
-strings. Other columns pass through; one named ``spans`` is replaced.
+gives an empty table. Every class is counted with ``PRIOR`` random strings added to it,
+spread evenly as theory has them: they weigh nothing in a class of thousands, and in a
+class of a few strings, which cannot tell its share of random ones, they hold the bar
+low until enough others speak against it. Other columns pass through; one named
+``spans`` is replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import random
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -66,9 +65,8 @@ ALPHABETS = (
 PLACES = [(name, {c: i for i, c in enumerate(letters)}) for name, letters in ALPHABETS]
 MOST_FALSE = 0.05
 BINS = 50
-FEWEST = 40
-#: Strings drawn for the bar of a small class, and the longest of them.
-DRAWN, LONGEST_DRAWN = 400, 200
+#: Random strings that each class is credited with.
+PRIOR = 40
 #: Distinct strings that a task holds before it hands them on.
 MOST_HELD = 50_000
 #: Never accept below this p value, however few other strings there are.
@@ -145,43 +143,33 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
     """Runs of key characters that no base span holds."""
+    # Both lists rise, so one walk along them does: of the spans that begin no later
+    # than a run, the one that reaches furthest holds it, or none does.
+    spans = sorted((start, end) for start, _, end in base)
+    place, reach = 0, -1
     for m in CANDIDATE.finditer(text):
-        if not any(start <= m.start() and m.end() <= end for start, _, end in base):
+        while place < len(spans) and spans[place][0] <= m.start():
+            reach = max(reach, spans[place][1])
+            place += 1
+        if m.end() > reach:
             yield m.start(), m.end(), m.group()
 
 
-@cache
-def bar_of_random(name: str, size: int) -> int:
-    """The bin that at most ``MOST_FALSE`` of the random strings of a class fall below."""
-    letters = dict(ALPHABETS)[name]
-    draw = random.Random(f"{name} {size}")
-    # Beyond the longest drawn, p is spread as it is there.
-    shortest = min(max(20, math.ceil(2 ** (size / 2))), LONGEST_DRAWN)
-    longest = max(shortest, min(math.ceil(2 ** ((size + 1) / 2)) - 1, LONGEST_DRAWN))
-    drawn = []
-    for _ in range(20 * DRAWN):
-        token = "".join(draw.choices(letters, k=draw.randint(shortest, longest)))
-        # Strings that a smaller alphabet holds are of another class.
-        if alphabet_of(token)[0] == name:
-            drawn.append(_bin(battery(token)[1]))
-            if len(drawn) == DRAWN:
-                break
-    return max(LOWEST_BIN, sorted(drawn)[int(MOST_FALSE * len(drawn))])
-
-
 def bars(counts: dict[tuple[str, int], list[int]]) -> dict[tuple[str, int], int]:
-    """The lowest accepted bin of each (alphabet, length class)."""
+    """The lowest accepted bin of each (alphabet, length class).
+
+    Random strings are even over the bins, so the upper half tells how many there are
+    in all. The bar is the lowest at which what is accepted beyond their share is at most
+    ``MOST_FALSE`` of it.
+    """
     out = {}
-    for key, used in counts.items():
-        total = sum(used)
-        if total < FEWEST:
-            out[key] = bar_of_random(*key)
-            continue
-        even = min(total, 2 * sum(used[BINS // 2 :]))
+    for key, seen in counts.items():
+        used = [n + PRIOR / BINS for n in seen]
+        even = min(sum(used), 2 * sum(used[BINS // 2 :]))
         out[key] = BINS
         for low in range(LOWEST_BIN, BINS):
             accepted = sum(used[low:])
-            if accepted and accepted - even * (1 - low / BINS) <= MOST_FALSE * accepted:
+            if accepted - even * (1 - low / BINS) <= MOST_FALSE * accepted:
                 out[key] = low
                 break
     return out
