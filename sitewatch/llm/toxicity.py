@@ -198,7 +198,7 @@ def held_out(key: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of at most ``SAMPLE`` labelled ids that are not held out."""
+    """(doc_id, text, toxic) of at most ``SAMPLE`` labelled ids that are not held out."""
     known = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
@@ -206,7 +206,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     # Bounded by SAMPLE rows of two numbers.
-    return bounded_batches(docs).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "_toxic")
+    return bounded_batches(docs).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "_toxic")
 
 
 def _count_entries(rows: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def _count_entries(rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
             seen = (Counter(), Counter())
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("_toxic").to_pylist()):
                 words = set(TOKEN.findall((text or "").lower()))
                 stems = {word[:n] for word in words for n in STEMS if len(word) > n}
                 seen[toxic].update((w, False) for w in words)
@@ -289,17 +289,19 @@ class Model:
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     rows = training_rows(docs, labels).persist()
     lexicon = learn_lexicon(rows)
-    schema = pa.schema([("a", pa.float64()), ("b", pa.float64()), ("toxic", pa.int32())])
+    schema = pa.schema([("id", pa.int64()), ("a", pa.float64()), ("b", pa.float64()), ("toxic", pa.int32())])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts, toxic = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ids, texts, toxic = (batch.column(c).to_pylist() for c in ("doc_id", "text", "_toxic"))
             yield from rows_to_batches(
-                ((*features(t, lexicon), y) for t, y in zip(texts, toxic)), schema
+                ((i, *features(t, lexicon), y) for i, t, y in zip(ids, texts, toxic)), schema
             )
 
-    # Three numbers for each of at most SAMPLE rows.
-    got = rows.filter(F.col("_toxic").isin(0, 1)).mapInArrow(measure, "a double, b double, toxic int").toPandas()
+    measured = rows.filter(F.col("_toxic").isin(0, 1)).mapInArrow(measure, "id long, a double, b double, toxic int")
+    # Three numbers for each of at most SAMPLE ids, however many rows an id has.
+    got = measured.groupBy("id").agg(F.avg("a").alias("a"), F.avg("b").alias("b"), F.max("toxic").alias("toxic"))
+    got = got.orderBy("id").toPandas()
     rows.unpersist()
     if got["toxic"].nunique() < 2:
         return Model(lexicon)
