@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitewatch.llm.common import table
-from sitewatch.session import saved
+from sitewatch.session import result_only, saved
 
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED_ROLE = "assistant"
@@ -185,6 +185,7 @@ def read_back(formatted: DataFrame, column: str = "formatted") -> DataFrame:
     return formatted.withColumn("turns", F.transform(pieces, parsed))
 
 
+@result_only
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

@@ -11,7 +11,8 @@ whole copies so that a source's total stays near its target.
 Defined cases: a NULL source is a source of its own, last in order; a NULL or
 empty text has size 0, rate 1 and takes no words; a source without words has
 target 0; repeated rows count as rows; an empty table gives an empty table.
-Columns other than those named pass through (names with ``_`` are reserved).
+Columns other than those named, and the one given as ``row``, are not read and do
+not come back. A source whose target cannot be met raises.
 """
 
 from __future__ import annotations
@@ -21,14 +22,15 @@ from pyspark.sql import functions as F
 
 from sitewatch.functions.ordered import running_total
 from sitewatch.llm.common import WORD, table, text_or_empty
-from sitewatch.llm.sharding import piece_of, tie_of
-from sitewatch.session import saved
+from sitewatch.llm.sharding import in_pieces
+from sitewatch.session import result_only, saved
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Newton stops when every source is within this share of its target.
 CLOSE = 1e-7
-MOST_STEPS = 60
+#: Steps, of which all but a few halve a bracket, after which a search has failed.
+MOST_STEPS = 200
 #: Rounds that mend the rest left by rounding, the largest fitting size first.
 MENDING_ROUNDS = 4
 
@@ -156,6 +158,9 @@ def balance(cells: DataFrame, targets: DataFrame) -> DataFrame:
                 F.col("_near").alias("_done"),
             )
         )
+    else:
+        if not state.filter(~F.col("_done")).isEmpty():
+            raise RuntimeError(f"a source's rate did not settle in {MOST_STEPS} steps")
     return state
 
 
@@ -213,7 +218,8 @@ def mix(
     """Rows (key, size, source_size, target, rate, copies, taken) of every row.
 
     ``row``, a column that differs in every row, goes along and settles the order
-    of equal keys.
+    of equal keys. Without it, rows that agree in key, source and size share their
+    cell's copies in any order, which gives the same rows.
     """
     rows = [row] if row else []
     sized = saved(
@@ -231,13 +237,9 @@ def mix(
     targets = saved(source_targets(sizes))
     state = balance(cells, targets)
     copies = rounded_cells(cells, state).select("_key", "size", "_n", "_m")
+    settled = F.xxhash64(row) if row else F.monotonically_increasing_id()
     ranked = running_total(
-        sized.withColumns(
-            {
-                "_piece": piece_of(F.col("_hash"), 2, tie_of(row) if row else None),
-                "_tie": tie_of(row) if row else F.lit(0),
-            }
-        ),
+        in_pieces(sized, 2, settled),
         ["_key", "size"],
         "_piece",
         ["_hash", "_tie", key, *rows],
@@ -263,6 +265,7 @@ def mix(
     )
 
 
+@result_only
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")

@@ -5,7 +5,8 @@ takes about 1/(n+1) of the keys, all of them into itself. No ring is stored.
 
 Defined cases: a NULL key hashes as the empty text; equal keys share a shard;
 repeated rows get slots of their own; an empty table gives an empty table;
-other columns pass through (names starting with ``_`` are reserved).
+other columns pass through, those named like the added ones are replaced (names
+starting with ``_`` are reserved).
 """
 
 from __future__ import annotations
@@ -16,11 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewatch.functions.ordered import running_total
-from sitewatch.llm.common import table, text_or_empty
+from sitewatch.llm.common import salted_left_join, table, text_or_empty
+from sitewatch.session import result_only, saved
 
 SHARDS = 8
 #: Leading hex digits of the key's hash that cut a shard's order into pieces.
 PIECE_DIGITS = 3
+#: A key with more rows than this is cut by more than its hash.
+HOT_ROWS = 50_000
 #: Fixed value: the generator's multiplier, as published with the method.
 MULTIPLIER = np.uint64(2862933555777941757)
 
@@ -59,46 +63,49 @@ def jump_column(hashed: Column, shards: int) -> Column:
     return shard_of(hashed)
 
 
-def piece_of(hashed: Column, digits: int, tie: Column | None) -> Column:
-    """Leading digits of the hash, which rise with (hash, tie).
+def in_pieces(rows: DataFrame, digits: int, tie: Column) -> DataFrame:
+    """Add ``_tie``, from 0 to 99, and ``_piece``, which rises with (``_hash``, ``_tie``).
 
-    Rows with the hash of the empty text, as of all NULL keys, may be a large share
-    of the table; with a tie, of 0 to 99, they are cut by it.
+    A piece is all rows whose hashes begin alike. Where a key owns more than
+    ``HOT_ROWS`` rows, its rows are cut by the tie, and its neighbours by their hash.
     """
-    piece = F.substring(hashed, 1, digits)
-    if tie is None:
-        return piece
-    empty = F.md5(F.lit(""))
-    cut = F.concat(hashed, F.lpad(tie.cast("string"), 2, "0"))
-    return F.when(hashed == empty, cut).when(piece == F.substring(empty, 1, digits), hashed).otherwise(piece)
-
-
-def tie_of(row: str) -> Column:
-    return F.pmod(F.xxhash64(row), F.lit(100))
+    rows = rows.withColumn("_tie", F.pmod(tie, F.lit(100)))
+    head = F.substring("_hash", 1, digits)
+    hot = saved(rows.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_ROWS).drop("_n"))
+    if hot.isEmpty():
+        return rows.withColumn("_piece", head)
+    # As many rows as there are heads: 16 ** digits at most.
+    heads = F.broadcast(hot.select(head.alias("_head"), F.lit(True).alias("_near")).distinct())
+    met = salted_left_join(rows, hot.withColumn("_hot", F.lit(True)), ["_hash"], F.col("_tie"))
+    met = met.withColumn("_head", head).join(heads, "_head", "left")
+    cut = F.concat("_hash", F.lpad(F.col("_tie").cast("string"), 2, "0"))
+    piece = F.when(F.col("_hot"), cut).when(F.col("_near"), F.col("_hash")).otherwise(F.col("_head"))
+    return met.withColumn("_piece", piece).drop("_head", "_hot", "_near")
 
 
 def add_shards(df: DataFrame, key: str, shards: int = SHARDS, row: str | None = None) -> DataFrame:
     """Add ``shard``, ``grown_shard`` (with one more shard) and ``slot``.
 
     Slots count from 0 within a shard by (hash, key); pieces of that order are
-    totalled first, so no task holds a shard. ``row``, a column that differs in
-    every row, settles the order of equal keys.
+    totalled first, so no task holds a shard. Rows with equal keys are ordered by
+    ``row``, a column that differs in every row; without one, by a hash of all their
+    columns, so that reruns agree. Columns that ``df`` has under the added names
+    are replaced.
     """
-    hashed = df.withColumn("_hash", key_hash(F.col(key)))
-    placed = hashed.withColumns(
-        {
-            "shard": jump_column(F.col("_hash"), shards),
-            "grown_shard": jump_column(F.col("_hash"), shards + 1),
-            "_piece": piece_of(F.col("_hash"), PIECE_DIGITS, tie_of(row) if row else None),
-            "_tie": tie_of(row) if row else F.lit(0),
-        }
+    df = df.drop("shard", "grown_shard", "slot")
+    settled = F.col(row) if row else F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
+    hashed = df.withColumns({"_hash": key_hash(F.col(key)), "_row": settled})
+    placed = in_pieces(hashed, PIECE_DIGITS, F.xxhash64("_row")).withColumns(
+        {"shard": jump_column(F.col("_hash"), shards), "grown_shard": jump_column(F.col("_hash"), shards + 1)}
     )
     numbered = running_total(
-        placed, ["shard"], "_piece", ["_hash", "_tie", key, *([row] if row else [])], F.lit(1).cast("long"), "_place"
+        placed, ["shard"], "_piece", ["_hash", "_tie", key, "_row"], F.lit(1).cast("long"), "_place"
     )
-    return numbered.withColumn("slot", F.col("_place") - 1).drop("_hash", "_piece", "_tie", "_place")
+    added = {"slot": F.col("_place") - 1}
+    return numbered.withColumns(added).select(*(F.col(f"`{c}`") for c in df.columns), "shard", "grown_shard", "slot")
 
 
+@result_only
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
