@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitewatch.session import saved
+
 #: A word: a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -58,6 +63,84 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return what this Python process holds unused to the machine.
+
+    Spark keeps Python workers for later stages; without this, each keeps the memory
+    of the largest task it ever ran.
+    """
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # not every C library has it
+
+
+def lean(run: Callable) -> Callable:
+    """``run``, of a task's batches, of a group or of two, that gives back memory at its end."""
+
+    @functools.wraps(run)
+    def over_batches(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    @functools.wraps(run)
+    def over_group(group):
+        try:
+            return run(group)
+        finally:
+            give_back()
+
+    @functools.wraps(run)
+    def over_two(left, right):
+        try:
+            return run(left, right)
+        finally:
+            give_back()
+
+    if "Iterator" in str(run.__annotations__.get("return", "")):
+        return over_batches
+    return over_group if run.__code__.co_argcount == 1 else over_two
+
+
+def told_apart(docs: DataFrame, key: str, text: str) -> tuple[DataFrame | None, DataFrame]:
+    """Rows (key, row) that their key does not name, None if there are none; each document once.
+
+    ``docs`` is (key, text). The documents get a column ``row``: 0 where the key names
+    one row only; where several have it, or it is NULL, a hash of the text. Rows that
+    agree in key and text are one document.
+    """
+    unnamed = F.col(key).isNull()
+    several = saved(docs.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(unnamed | (F.col("_n") > 1)))
+    plain = F.lit(0).cast("long")
+    if several.isEmpty():
+        return None, docs.withColumn("row", plain)
+    # A key may own a large share of the rows; NULL joins nothing.
+    joined = salted_left_join(docs, several, [key], F.coalesce(text, F.lit("")))
+    shown = F.when(F.xxhash64(text) == 0, F.lit(1).cast("long")).otherwise(F.xxhash64(text))
+    rows = joined.withColumn("row", F.when(unnamed | F.col("_n").isNotNull(), shown).otherwise(plain))
+    rows = rows.select(key, text, "row")
+    alike = rows.filter(F.col("row") != 0)
+    once = rows.filter(F.col("row") == 0).unionByName(alike.dropDuplicates([key, "row"]))
+    return saved(alike.select(key, "row")), saved(once)
+
+
+def for_every_row(alike: DataFrame | None, done: DataFrame, key: str) -> DataFrame:
+    """Results (key, row, ...) of documents once, as one for each row; without ``row``."""
+    if alike is None:
+        return done.drop("row")
+    done = saved(done)
+    # NULL keys meet as such.
+    names = {"_key": F.coalesce(F.col(key).cast("long"), F.lit(0)), "_named": F.col(key).isNotNull()}
+    results = done.filter(F.col("row") != 0).withColumns(names).drop(key)
+    rows = alike.withColumns({**names, "_spread": F.monotonically_increasing_id()})
+    copies = salted_left_join(rows, results, ["_key", "_named", "row"], F.col("_spread"))
+    return done.filter(F.col("row") == 0).unionByName(copies.select(*done.columns)).drop("row")
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows))
     return pa.RecordBatch.from_arrays(

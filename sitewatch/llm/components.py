@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewatch.session import saved
+from sitewatch.session import result_only, saved
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -41,6 +41,7 @@ def _print_of(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
+@result_only
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """Rows (u, v): v the smallest node of u's component, for all u other than v.
 
