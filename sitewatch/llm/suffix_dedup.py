@@ -15,13 +15,16 @@ smaller id is removed. Ways and means:
    happens at the ends of a shared passage, the smallest of each kind asks
    for its bytes, and a second sort compares its 50-byte strings one by one.
    For first tokens that fill buckets of their own, those strings are compared by a join.
-4. Covered places meet their texts again, by parts of the ids.
+4. Covered places meet their texts again, by parts of the rows.
 
 Defined cases: a NULL text is empty; texts under 50 bytes lose nothing; strings
 that repeat only inside one document stay; a NULL id counts as larger than all
-others; rows with equal ids are one document and are judged alike, so they
-should have equal texts; an empty table gives an empty table. Equal strings are
-found by hashes of 96 bits and more. Columns other than the id and the text are not read.
+others. Rows with equal ids, and all rows with a NULL id, are documents of their own,
+none of them smaller than another: they lose nothing to each other, and each loses
+what its own text shares with smaller ids. Such rows are told apart by a 64-bit hash of
+the text, and rows that agree in id and text are sorted as one. An empty table gives
+an empty table. Equal strings are found by hashes of 96 bits and more. Columns other
+than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -37,8 +40,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewatch.llm import suffixes as S
-from sitewatch.llm.common import bounded_batches, slices, table
-from sitewatch.session import saved
+from sitewatch.llm.common import bounded_batches, for_every_row, lean, slices, table, told_apart
+from sitewatch.session import result_only, saved
 
 #: Bytes of text per bucket of suffixes and per part of documents.
 BUCKET_BYTES, PART_BYTES = 12 << 20, 12 << 20
@@ -87,8 +90,8 @@ def _unsteps(data: bytes) -> np.ndarray:
     return np.cumsum(planes.reshape(8, -1).T.copy().view("<i8").ravel())
 
 
-def _pack_places(doc: np.ndarray, place: np.ndarray) -> tuple[bytes, bytes]:
-    return _steps(doc), _steps(place)
+def _pack_places(doc: np.ndarray, row: np.ndarray, place: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    return _steps(doc), _steps(row), _steps(place)
 
 
 # --- Splitters ---
@@ -123,15 +126,15 @@ class Splitters:
         return out
 
 
-def _documents(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
+def _documents(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     ids = batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-    return ids, [t.encode() if t else b"" for t in batch.column(1).to_pylist()]
+    return ids, batch.column(2).to_numpy(), [t.encode() if t else b"" for t in batch.column(1).to_pylist()]
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Columns (one, two, before, after, id, place) of all suffixes, step by step."""
+    """Columns (one, two, before, after, id, row, place) of all suffixes, step by step."""
     for batch in slices(batches):
-        ids, texts = _documents(batch)
+        ids, rows, texts = _documents(batch)
         for held in S.pieces(texts):
             found = S.anchors(S.Stream(held))
             owner = np.array([p.owner for p in held])[found.owner]
@@ -142,6 +145,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, .
                 _side(found.before),
                 _side(found.after),
                 ids[owner],
+                rows[owner],
                 found.place + start,
             )
 
@@ -149,11 +153,12 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, .
 def sample_splitters(docs: DataFrame, total: int, buckets: int) -> Splitters:
     """Quantiles of the keys of a sample of whole documents, of bounded size."""
     share = min(1.0, SAMPLE_BYTES / max(total, 1))
+    # Rows that agree in id and text come as one, so no heap of them is drawn whole.
     drawn = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.lit(math.ceil(share * 1e6)))
     thin = max(1, math.ceil(share * total / 20 / SAMPLE_KEYS))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one, two, _, _, doc, _ in _suffixes(batches):
+        for one, two, _, _, doc, _, _ in _suffixes(batches):
             chosen = slice(None, None, thin)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(one[chosen].astype(np.int64)), pa.array(two[chosen].astype(np.int64)), pa.array(doc[chosen])],
@@ -170,13 +175,16 @@ def sample_splitters(docs: DataFrame, total: int, buckets: int) -> Splitters:
 
 # --- First sort: suffixes ---
 
-SUFFIX_ROWS = "bucket int, ahead boolean, one binary, two binary, before binary, after binary, docs binary, places binary"
-PLACE_ROWS = "part int, kind int, docs binary, places binary"
+SUFFIX_ROWS = (
+    "bucket int, ahead boolean, one binary, two binary, before binary, after binary, "
+    "docs binary, rows binary, places binary"
+)
+PLACE_ROWS = "part int, kind int, docs binary, rows binary, places binary"
 
 
 def _suffix_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.bool_()] + [pa.binary()] * 6
-    names = ["bucket", "ahead", "one", "two", "before", "after", "docs", "places"]
+    kinds = [pa.int32(), pa.bool_()] + [pa.binary()] * 7
+    names = ["bucket", "ahead", "one", "two", "before", "after", "docs", "rows", "places"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
@@ -204,28 +212,29 @@ def multikey_order(*keys: np.ndarray) -> np.ndarray:
     return order
 
 
-def _part_of(doc: np.ndarray, parts: int) -> np.ndarray:
-    return (doc ^ (doc >> 17)) % parts
+def _part_of(doc: np.ndarray, row: np.ndarray, parts: int) -> np.ndarray:
+    one = doc ^ row
+    return (one ^ (one >> 17)) % parts
 
 
-def part_column(doc: Column, parts: int) -> Column:
-    doc = F.coalesce(doc, F.lit(int(NO_ID)))
-    return F.pmod(doc.bitwiseXOR(F.shiftright(doc, 17)), F.lit(parts)).cast("int")
+def part_column(doc: Column, row: Column, parts: int) -> Column:
+    one = F.coalesce(doc, F.lit(int(NO_ID))).bitwiseXOR(row)
+    return F.pmod(one.bitwiseXOR(F.shiftright(one, 17)), F.lit(parts)).cast("int")
 
 
-def _place_rows(doc, place, kind: np.ndarray, parts: int) -> Iterator[tuple]:
-    part = _part_of(doc, parts)
-    order = np.lexsort((place, doc, kind, part))
+def _place_rows(doc, row, place, kind: np.ndarray, parts: int) -> Iterator[tuple]:
+    part = _part_of(doc, row, parts)
+    order = np.lexsort((place, row, doc, kind, part))
     first, _ = _runs(part[order], kind[order])
     for rows in np.split(order, np.flatnonzero(first)[1:]):
         if len(rows):
-            yield (int(part[rows[0]]), int(kind[rows[0]]), *_pack_places(doc[rows], place[rows]))
+            yield (int(part[rows[0]]), int(kind[rows[0]]), *_pack_places(doc[rows], row[rows], place[rows]))
 
 
 def _place_table(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    columns = list(zip(*rows)) or [()] * 4
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "kind", "docs", "places"])
+    kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 3
+    columns = list(zip(*rows)) or [()] * 5
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "kind", "docs", "rows", "places"])
 
 
 def _half_shared(half: np.ndarray, one: np.ndarray, surroundings: np.ndarray) -> np.ndarray:
@@ -239,14 +248,14 @@ def _half_shared(half: np.ndarray, one: np.ndarray, surroundings: np.ndarray) ->
 
 
 def first_sort(docs: DataFrame, splitters: Splitters, parts: int) -> DataFrame:
-    """Rows (part, kind, docs, places): covered suffixes and those that ask."""
+    """Rows (part, kind, docs, rows, places): covered suffixes and those that ask."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         count = 0
 
         def hand_on() -> Iterator[pa.RecordBatch]:
-            one, two, before, after, doc, place = (np.concatenate(c) for c in zip(*held))
+            one, two, before, after, doc, row, place = (np.concatenate(c) for c in zip(*held))
             bucket = splitters.bucket_of(one, two, doc)
             order = np.argsort(bucket, kind="stable")
             first, _ = _runs(bucket[order])
@@ -260,7 +269,7 @@ def first_sort(docs: DataFrame, splitters: Splitters, parts: int) -> DataFrame:
                             _cut(two[rows], TWO),
                             _cut(before[rows], SIDE),
                             _cut(after[rows], SIDE),
-                            *_pack_places(doc[rows], place[rows]),
+                            *_pack_places(doc[rows], row[rows], place[rows]),
                         )
                     ]
                 )
@@ -269,8 +278,9 @@ def first_sort(docs: DataFrame, splitters: Splitters, parts: int) -> DataFrame:
             for a, b, d in zip(one[near].tolist(), two[near].tolist(), doc[near].tolist()):
                 if (a, b) in splitters.onward and d < smallest.get((a, b), NO_ID):
                     smallest[a, b] = d
+            none = np.zeros(1, dtype=np.int64)
             ahead = [
-                (b, True, _cut(np.array([k[0]], "u8"), ONE), _cut(np.array([k[1]], "u8"), TWO), b"", b"", *_pack_places(np.array([d]), np.array([0])))
+                (b, True, _cut(np.array([k[0]], "u8"), ONE), _cut(np.array([k[1]], "u8"), TWO), b"", b"", *_pack_places(np.array([d]), none, none))
                 for k, d in smallest.items()
                 for b in splitters.onward[k]
             ]
@@ -295,10 +305,9 @@ def first_sort(docs: DataFrame, splitters: Splitters, parts: int) -> DataFrame:
         two = np.concatenate([_uncut(r["two"], TWO) for r in own])
         before = np.concatenate([_uncut(r["before"], SIDE) for r in own])
         after = np.concatenate([_uncut(r["after"], SIDE) for r in own])
-        doc = np.concatenate([_unsteps(r["docs"]) for r in own])
-        place = np.concatenate([_unsteps(r["places"]) for r in own])
+        doc, row, place = (np.concatenate([_unsteps(r[c]) for r in own]) for c in ("docs", "rows", "places"))
         order = multikey_order(one, two, doc)
-        one, two, before, after, doc, place = (c[order] for c in (one, two, before, after, doc, place))
+        one, two, before, after, doc, row, place = (c[order] for c in (one, two, before, after, doc, row, place))
         first, run = _runs(one, two)
         smallest = doc[first]
         begins = {key: k for k, key in enumerate(zip(one[first].tolist(), two[first].tolist())) if key in splitters.onward}
@@ -311,35 +320,40 @@ def first_sort(docs: DataFrame, splitters: Splitters, parts: int) -> DataFrame:
         asks &= ~covered
         kind = np.where(covered, COVERED, np.where(np.isin(one, splitters.hot), HOT, ASKED))
         told = covered | asks
-        return _place_table(list(_place_rows(doc[told], place[told], kind[told], parts)))
+        return _place_table(list(_place_rows(doc[told], row[told], place[told], kind[told], parts)))
 
-    dealt = docs.mapInArrow(deal, SUFFIX_ROWS)
-    return dealt.groupBy("bucket").applyInArrow(sort, PLACE_ROWS)
+    dealt = docs.mapInArrow(lean(deal), SUFFIX_ROWS)
+    return dealt.groupBy("bucket").applyInArrow(lean(sort), PLACE_ROWS)
 
 
 # --- Second sort: the strings around suffixes that ask ---
 
-ASKING_ROWS = "bucket int, bytes binary, sizes binary, docs binary, places binary"
+ASKING_ROWS = "bucket int, bytes binary, sizes binary, docs binary, rows binary, places binary"
+ASKING_NAMES = ["bucket", "bytes", "sizes", "docs", "rows", "places"]
+ASKING_KINDS = [pa.int32()] + [pa.binary()] * 5
 
 
-def _by_document(places: pa.Table) -> dict[int, np.ndarray]:
-    """Sorted places of each document."""
+def _by_document(places: pa.Table) -> dict[tuple[int, int], np.ndarray]:
+    """Sorted places of each document, by its id and row."""
     if not places.num_rows:
         return {}
-    doc = np.concatenate([_unsteps(d) for d in places["docs"].to_pylist()])
-    place = np.concatenate([_unsteps(d) for d in places["places"].to_pylist()])
-    order = np.lexsort((place, doc))
-    first, _ = _runs(doc[order])
-    return {int(doc[rows[0]]): place[rows] for rows in np.split(order, np.flatnonzero(first)[1:])}
+    doc, row, place = (
+        np.concatenate([_unsteps(d) for d in places[c].to_pylist()]) for c in ("docs", "rows", "places")
+    )
+    order = np.lexsort((place, row, doc))
+    first, _ = _runs(doc[order], row[order])
+    return {
+        (int(doc[rows[0]]), int(row[rows[0]])): place[rows] for rows in np.split(order, np.flatnonzero(first)[1:])
+    }
 
 
-def _texts(part: pa.Table) -> Iterator[tuple[int, bytes]]:
-    for doc, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist()):
-        yield NO_ID if doc is None else doc, text.encode() if text else b""
+def _texts(part: pa.Table) -> Iterator[tuple[tuple[int, int], bytes]]:
+    for doc, row, text in zip(*(part[c].to_pylist() for c in ("doc_id", "row", "text"))):
+        yield (NO_ID if doc is None else doc, row), text.encode() if text else b""
 
 
 def second_sort(parted: DataFrame, asked: DataFrame, buckets: int, parts: int) -> DataFrame:
-    """Rows (part, kind, docs, places) of 50-byte strings that an earlier document has.
+    """Rows (part, kind, docs, rows, places) of 50-byte strings that an earlier document has.
 
     A task takes the surroundings of each asking suffix to the bucket of its
     gram. There the strings that begin j bytes before the gram are sorted, for
@@ -348,41 +362,46 @@ def second_sort(parted: DataFrame, asked: DataFrame, buckets: int, parts: int) -
 
     def ask(part: pa.Table, places: pa.Table) -> pa.Table:
         wanted = _by_document(places)
-        around, sizes, docs, at = [], [], [], []
-        for doc, text in _texts(part):
-            for place in wanted.pop(doc, ()):
+        around, sizes, docs, numbers, at = [], [], [], [], []
+        for who, text in _texts(part):
+            for place in wanted.get(who, ()):
                 left, right = min(place, S.REACH), min(len(text) - place, S.LENGTH)
                 bytes_ = text[place - left : place + right]
                 around.append(b"\0" * (S.REACH - left) + bytes_ + b"\0" * (S.LENGTH - right))
                 sizes.append((left, right))
-                docs.append(doc)
+                docs.append(who[0])
+                numbers.append(who[1])
                 at.append(place)
         if not docs:
-            return pa.table([pa.array([], t) for t in (pa.int32(), *[pa.binary()] * 4)], names=["bucket", "bytes", "sizes", "docs", "places"])
+            return pa.table([pa.array([], t) for t in ASKING_KINDS], names=ASKING_NAMES)
         flat = np.frombuffer(b"".join(around), dtype=np.uint8)
         gram = S.gram_hashes(flat)[np.arange(len(docs)) * (S.REACH + S.LENGTH) + S.REACH]
         bucket = (gram >> np.uint64(20)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         first, _ = _runs(bucket[order])
         rows = []
-        sizes_, docs_, at_ = np.array(sizes, np.uint8), np.array(docs, np.int64), np.array(at, np.int64)
+        sizes_ = np.array(sizes, np.uint8)
+        docs_, rows_, at_ = (np.array(c, np.int64) for c in (docs, numbers, at))
         block = flat.reshape(-1, S.REACH + S.LENGTH)
         for k in np.split(order, np.flatnonzero(first)[1:]):
             rows.append(
-                (int(bucket[k[0]]), zstandard.compress(block[k].tobytes(), 3), sizes_[k].tobytes(), *_pack_places(docs_[k], at_[k]))
+                (
+                    int(bucket[k[0]]),
+                    zstandard.compress(block[k].tobytes(), 3),
+                    sizes_[k].tobytes(),
+                    *_pack_places(docs_[k], rows_[k], at_[k]),
+                )
             )
-        kinds = [pa.int32()] + [pa.binary()] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "bytes", "sizes", "docs", "places"])
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), ASKING_KINDS)], names=ASKING_NAMES)
 
     def compare(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         flat = np.frombuffer(b"".join(zstandard.decompress(r["bytes"]) for r in rows), dtype=np.uint8)
         sizes = np.concatenate([np.frombuffer(r["sizes"], np.uint8).reshape(-1, 2) for r in rows]).astype(np.int64)
-        doc = np.concatenate([_unsteps(r["docs"]) for r in rows])
-        place = np.concatenate([_unsteps(r["places"]) for r in rows])
+        doc, row, place = (np.concatenate([_unsteps(r[c]) for r in rows]) for c in ("docs", "rows", "places"))
         width = S.REACH + S.LENGTH
         stream = S.Stream([S.Piece(0, 0, flat.tobytes(), 0, 0)])
-        found_doc, found_place = [], []
+        found_doc, found_row, found_place = [], [], []
         for j in range(S.REACH + 1):
             has = np.flatnonzero((sizes[:, 0] >= j) & (sizes[:, 1] >= S.LENGTH - j))
             if not len(has):
@@ -393,16 +412,17 @@ def second_sort(parted: DataFrame, asked: DataFrame, buckets: int, parts: int) -
             ids = doc[has][order]
             later = ids > ids[first][run]
             found_doc.append(ids[later])
+            found_row.append(row[has][order][later])
             found_place.append(place[has][order][later] - j)
-        doc, place = np.concatenate(found_doc), np.concatenate(found_place)
-        return _place_table(list(_place_rows(doc, place, np.full(len(doc), ASKED), parts)))
+        doc, row, place = (np.concatenate(c) for c in (found_doc, found_row, found_place))
+        return _place_table(list(_place_rows(doc, row, place, np.full(len(doc), ASKED), parts)))
 
     asking = (
         parted.groupBy("part")
         .cogroup(asked.groupBy("part"))
         .applyInArrow(ask, ASKING_ROWS)
     )
-    return asking.groupBy("bucket").applyInArrow(compare, PLACE_ROWS)
+    return asking.groupBy("bucket").applyInArrow(lean(compare), PLACE_ROWS)
 
 
 def hot_strings(parted: DataFrame, asked: DataFrame, parts: int) -> DataFrame:
@@ -414,9 +434,9 @@ def hot_strings(parted: DataFrame, asked: DataFrame, parts: int) -> DataFrame:
 
     def ask(part: pa.Table, places: pa.Table) -> pa.Table:
         wanted = _by_document(places)
-        out: list[list] = [[], [], [], []]
-        for doc, text in _texts(part):
-            asked_places = wanted.pop(doc, None)
+        out: list[list] = [[], [], [], [], []]
+        for who, text in _texts(part):
+            asked_places = wanted.get(who)
             if asked_places is None:
                 continue
             starts = np.unique((asked_places[:, None] - np.arange(S.REACH + 1)).ravel())
@@ -424,19 +444,22 @@ def hot_strings(parted: DataFrame, asked: DataFrame, parts: int) -> DataFrame:
             if not len(starts):
                 continue
             one, two = S.window_tokens(S.Stream([S.Piece(0, 0, text, 0, 0)]), starts)
-            for column, values in zip(out, (one.view(np.int64), two.view(np.int64), np.full(len(starts), doc), starts)):
+            mine = (np.full(len(starts), who[0]), np.full(len(starts), who[1]))
+            for column, values in zip(out, (one.view(np.int64), two.view(np.int64), *mine, starts)):
                 column.append(values)
         columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in out]
-        return pa.table([pa.array(c.astype(np.int64)) for c in columns], names=["one", "two", "doc", "place"])
+        return pa.table([pa.array(c.astype(np.int64)) for c in columns], names=["one", "two", "doc", "row", "place"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, place = (batch.column(k).to_numpy() for k in range(2))
-            rows = list(_place_rows(doc, place, np.full(len(doc), ASKED), parts))
+            doc, row, place = (batch.column(k).to_numpy() for k in range(3))
+            rows = list(_place_rows(doc, row, place, np.full(len(doc), ASKED), parts))
             yield from _place_table(rows).to_batches()
 
     strings = saved(
-        parted.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(ask, "one long, two long, doc long, place long")
+        parted.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(
+            ask, "one long, two long, doc long, row long, place long"
+        )
     )
     least = saved(
         strings.groupBy("one", "two")
@@ -445,7 +468,7 @@ def hot_strings(parted: DataFrame, asked: DataFrame, parts: int) -> DataFrame:
         .drop("most")
     )
     later = strings.join(least, ["one", "two"]).filter(F.col("doc") > F.col("least"))
-    return later.select("doc", "place").mapInArrow(pack, PLACE_ROWS)
+    return later.select("doc", "row", "place").mapInArrow(pack, PLACE_ROWS)
 
 
 # --- Removal ---
@@ -466,12 +489,14 @@ def removed_runs(covered: np.ndarray, strings: np.ndarray, size: int) -> list[tu
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, n_bytes, kept binary, removed array of (start, end))."""
     docs = bounded_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    alike, docs = told_apart(docs, "doc_id", "text")
     total = docs.agg(F.sum(F.octet_length("text")).cast("long")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, math.ceil(total / BUCKET_BYTES))
     parts = max(LEAST_BUCKETS, math.ceil(total / PART_BYTES)) | 1
     splitters = sample_splitters(docs, total, buckets)
     places = saved(first_sort(docs, splitters, parts))
-    parted = docs.withColumn("part", part_column(F.col("doc_id"), parts))
+    part = part_column(F.col("doc_id"), F.col("row"), parts)
+    parted = docs.withColumn("part", part)
     found = places.filter(F.col("kind") == COVERED).unionByName(
         second_sort(parted, places.filter(F.col("kind") == ASKED), buckets, parts)
     )
@@ -485,24 +510,28 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         strings = _by_document(rows.filter(pa.array(kinds == ASKED)))
         none = np.zeros(0, dtype=np.int64)
         sizes, kept, removed = [], [], []
-        for doc, text in _texts(part):
-            runs = removed_runs(covered.get(doc, none), strings.get(doc, none), len(text))
+        for who, text in _texts(part):
+            runs = removed_runs(covered.get(who, none), strings.get(who, none), len(text))
             bounds = [0, *(x for r in runs for x in r), len(text)]
             sizes.append(len(text))
             kept.append(b"".join(text[a:b] for a, b in zip(bounds[::2], bounds[1::2])))
             removed.append([{"start": a, "end": b} for a, b in runs])
         return pa.table(
-            [part["doc_id"], pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(run))],
-            names=["doc_id", "n_bytes", "kept", "removed"],
+            [part["doc_id"], part["row"], pa.array(sizes, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(run))],
+            names=["doc_id", "row", "n_bytes", "kept", "removed"],
         )
 
-    return (
+    done = (
         parted.groupBy("part")
         .cogroup(found.groupBy("part"))
-        .applyInArrow(finish, "doc_id long, n_bytes long, kept binary, removed array<struct<start: long, end: long>>")
+        .applyInArrow(
+            finish, "doc_id long, row long, n_bytes long, kept binary, removed array<struct<start: long, end: long>>"
+        )
     )
+    return for_every_row(alike, done, "doc_id")
 
 
+@result_only
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents"))
     return done.select(
