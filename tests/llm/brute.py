@@ -1,7 +1,10 @@
 """Plain versions of what the contracts ask, for small inputs."""
 
 import hashlib
+import itertools
+import math
 import re
+import statistics
 import zlib
 from collections import Counter, defaultdict
 
@@ -264,3 +267,134 @@ def manifest(docs):
             proof = sha("".join(d for _, d in whole_path if d is not None))
             out[(i, true, subroot, root, proof, folded, folded == root)] += 1
     return out
+
+
+# --- Rows whose ids may be NULL or repeated ---
+
+
+def repeats_of_rows(rows, size=50):
+    """Multiset of (id, bytes, removed, runs, digest) of (id, text), each row a document."""
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    least = {}
+    for i, t in texts:
+        for p in range(len(t) - size + 1):
+            key = t[p : p + size]
+            rank = float("inf") if i is None else i
+            least[key] = min(least.get(key, float("inf")), rank)
+    out = Counter()
+    for i, t in texts:
+        own = float("inf") if i is None else i
+        gone = bytearray(len(t))
+        for p in range(len(t) - size + 1):
+            if least[t[p : p + size]] < own:
+                gone[p : p + size] = b"\1" * size
+        kept = bytes(b for b, g in zip(t, gone) if not g)
+        runs = sum(1 for k in range(len(t)) if gone[k] and (k == 0 or not gone[k - 1]))
+        out[(i, len(t), len(t) - len(kept), runs, sha(kept))] += 1
+    return out
+
+
+def near_rows(rows):
+    """Multiset of (id, size, component, links to different sets) of (id, text), each row a document."""
+    found, links = near([(k, t) for k, (_, t) in enumerate(rows)])
+    sets = [frozenset(shingles(t)) for _, t in rows]
+    names, partners = defaultdict(list), defaultdict(set)
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            names[found[k][1]].append(i)
+    for a, b in links:
+        if sets[a] != sets[b]:
+            partners[sets[a]].add(sets[b])
+            partners[sets[b]].add(sets[a])
+    return Counter(
+        (i, found[k][0], min(names[found[k][1]], default=None), len(partners[sets[k]])) for k, (i, _) in enumerate(rows)
+    )
+
+
+# --- Randomness of strings ---
+
+
+def joint_p(token, letters):
+    """Chi-squared, runs and lag-one tests over an alphabet, joined by Fisher's method."""
+    values = [letters.index(c) for c in token]
+    n, k = len(values), len(letters)
+
+    def tail(z):
+        return (1 - statistics.NormalDist().cdf(z)) if z < 6 else 0.5 * math.erfc(z / math.sqrt(2))
+
+    chi = sum((values.count(v) - n / k) ** 2 / (n / k) for v in range(k))
+    # Wilson and Hilferty's cube root makes the statistic normal.
+    spread = 2 / (9 * (k - 1))
+    p_letters = tail(((chi / (k - 1)) ** (1 / 3) - (1 - spread)) / math.sqrt(spread))
+    upper = [v >= k / 2 for v in values]
+    a, b = upper.count(True), upper.count(False)
+    p_runs = p_lag = 2.0 ** (1 - n)
+    if a and b:
+        runs = len([1 for _ in itertools.groupby(upper)])
+        mean = 1 + 2 * a * b / n
+        variance = max((mean - 1) * (mean - 2) / (n - 1), 1e-9)
+        p_runs = 2 * tail(abs(runs - mean) / math.sqrt(variance))
+    centre = statistics.fmean(values)
+    power = sum((v - centre) ** 2 for v in values)
+    if power:
+        lag = sum((x - centre) * (y - centre) for x, y in zip(values, values[1:])) / power
+        p_lag = 2 * tail(abs(lag) * math.sqrt(n))
+    x = sum(-math.log(min(1.0, max(p, 1e-300))) for p in (p_letters, p_runs, p_lag))
+    # Survival function of chi-squared with six degrees of freedom at 2x.
+    return math.exp(-x) * (1 + x + x**2 / 2)
+
+
+def bars(counts, prior=40, most_false=0.05):
+    out = {}
+    for key, seen in counts.items():
+        bins = len(seen)
+        random_ones = 2 * (sum(seen[bins // 2 :]) + prior / 2)
+        random_ones = min(random_ones, sum(seen) + prior)
+        fits = [
+            low
+            for low in range(1, bins)
+            if (sum(seen[low:]) + prior * (bins - low) / bins) * (1 - most_false) <= random_ones * (bins - low) / bins + 1e-9
+        ]
+        out[key] = min(fits, default=bins)
+    return out
+
+
+# --- Toxicity: the rules for a clause, read off one word after another ---
+
+
+def clause_score(tokens, weight, insults, threats, targets, negations, reports):
+    """Weights of insults and threats by what came before them in the clause."""
+    total, since_negation, reported, targeted = 0.0, None, False, False
+    insult_count, threat_age, target_seen = 0, None, False
+    for token in tokens:
+        kind = (
+            "I" if weight(token) > 0 else "T" if token in threats else "N" if token in negations
+            else "R" if token in reports else "Y" if token in targets else "."
+        )
+        negated = 0.25 if since_negation is not None and since_negation < 3 else 1.0
+        if kind == "N":
+            negated = 1.0
+        report = 1.0 if kind == "R" else (0.5 if reported else 1.0)
+        target = 1.0 if kind == "Y" else (1.5 if targeted else 1.0)
+        if kind == "I":
+            total += weight(token) * (1.0 + 0.25 * min(insult_count, 2)) * target * negated * report
+            insult_count += 1
+        if kind == "T":
+            # A threat after a target counts at once, else it waits three words for one.
+            if target_seen:
+                total += 3.0 * negated * report
+                threat_age = None
+            else:
+                threat_age = 0
+        elif kind == "Y":
+            if threat_age is not None:
+                total += 3.0 * negated * report
+            threat_age, target_seen = None, True
+        elif threat_age is not None:
+            threat_age += 1
+            if threat_age == 3:
+                threat_age = None
+        since_negation = 0 if kind == "N" else None if since_negation is None else since_negation + 1
+        reported |= kind == "R"
+        targeted |= kind == "Y"
+    return total

@@ -1,8 +1,12 @@
 """Nulls, empty tables, long texts, ties, repeated rows, extra columns, planted cases."""
 
+import base64
 import gzip
+import hashlib
 import io
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -93,6 +97,33 @@ def test_toxicity(spark, docs, none, odd):
     assert weight("he wrote kill you") < weight("kill you")
 
 
+def test_clause_scores_equal_a_plain_version():
+    draw = random.Random(12)
+    lexicon = toxicity.Lexicon({"zorg": 3.0}, {"zukk": 2.5})
+
+    def weight(token):
+        found = [3.0] if token == "zorg" else []
+        found += [2.5] if token.startswith("zukk") else []
+        return max(found + [2.0 if token in toxicity.INSULTS else 0.0])
+
+    words = ["idiot", "scum", "zorg", "zukkab", "kill", "burn", "you", "them", "not", "never", "said", "wrote", "a", "b", "c"]
+    for _ in range(4000):
+        tokens = draw.choices(words, k=draw.randint(0, 12))
+        want = brute.clause_score(
+            tokens, weight, toxicity.INSULTS, toxicity.THREATS, toxicity.TARGETS, toxicity.NEGATIONS, toxicity.REPORTS
+        )
+        assert toxicity.clause_score(tokens, lexicon) == pytest.approx(want), tokens
+
+
+def test_toxicity_learns_from_one_row_of_an_id(spark):
+    """An id with very many rows comes to the driver as one."""
+    rows = [(i % 8, f"zorg {i}" if i % 8 in (1, 5) else f"calm {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in (1, 5))) for i in range(8)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert len(model.beta) == 3 and model.beta != toxicity.PRIOR
+
+
 def test_toxicity_learns_words_and_stems(spark):
     rows = [(i, prose(60, 1000 + i) + (f" zorg zukka{'abcdefghij'[i % 10]}" if i % 5 == 0 else "")) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -139,6 +170,40 @@ def test_secrets_bars_of_small_classes():
     small = ("base62", 10)
     bars = secrets.bars({("base62", 9): words, small: few})
     assert bars[small] == secrets.bars({small: few})[small] <= 5 < bars["base62", 9]
+    assert secrets.bars({small: [0] * secrets.BINS})[small] == secrets.LOWEST_BIN
+    # One rule from one string to very many: the bar moves step by step.
+    steps = [secrets.bars({small: [0] + [n] * 5 + [0] * 44})[small] for n in range(60)]
+    assert steps == sorted(steps) and steps[0] == 1 and steps[-1] == 6
+
+
+@pytest.mark.parametrize("scale", [0, 1, 7, 400])
+def test_secrets_bars_equal_a_plain_version(scale):
+    draw = random.Random(scale)
+    counts = {("base62", k): [draw.randint(0, scale) + (5 * scale if b < k else 0) for b in range(50)] for k in range(12)}
+    assert secrets.bars(counts) == brute.bars(counts)
+
+
+def test_secrets_battery_equals_a_plain_version():
+    draw = random.Random(6)
+    for name, letters in secrets.ALPHABETS:
+        for n in (20, 21, 64, 300):
+            for _ in range(5):
+                token = "".join(draw.choices(letters, k=n))
+                found, p = secrets.battery(token)
+                places = dict(secrets.ALPHABETS)[found]
+                assert p == pytest.approx(brute.joint_p(token, places), rel=1e-9, abs=1e-12)
+    assert secrets.battery("a" * 30)[1] < 1e-6 and brute.joint_p("a" * 30, dict(secrets.ALPHABETS)["hex"]) < 1e-6
+
+
+def test_secrets_in_a_long_text_of_keys():
+    """A time that grows with the text: two megabytes of keys, all held by base spans or none."""
+    draw = random.Random(2)
+    keys = ["".join(draw.choices("ghijklmnopqrstuvwxyzGHIJK0123456789", k=30)) for _ in range(30_000)]
+    text = " ".join(f"token={k}" if i % 2 else k for i, k in enumerate(keys))
+    base = secrets.base_spans(text)
+    begin = time.perf_counter()
+    got = [t for *_, t in secrets.candidates(text, base)]
+    assert got == keys[::2] and time.perf_counter() - begin < 5
 
 
 def test_secrets_base_forms(spark):
@@ -178,6 +243,26 @@ def test_suffix_buckets_compare_across_boundaries(spark, monkeypatch):
     }
 
 
+def unnamed_rows():
+    """Unlike texts under one id and without one, equal rows, and what they share with others."""
+    shared, other = prose(30, 71), prose(25, 72)
+    rows = [(2, prose(60, 73)), (2, shared + " " + prose(40, 74)), (2, prose(40, 75) + " " + other)]
+    rows += [(None, prose(50, 76)), (None, shared), (None, shared), (None, None), (None, other + prose(9, 77))]
+    rows += [(1, prose(20, 78) + other), (3, shared + " " + prose(50, 79)), (7, shared), (7, shared), (7, None), (9, "")]
+    rows += [(5, prose(80, 80))] * 40 + [(None, prose(80, 80))] * 40 + [(6, prose(80, 80) + " tail")]
+    return rows
+
+
+def test_suffix_dedup_of_repeated_and_missing_ids(spark):
+    rows = unnamed_rows()
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = suffix_dedup.remove_repeats(frame).collect()
+    told = Counter(
+        (r["doc_id"], r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["removed"]), brute.sha(bytes(r["kept"]))) for r in got
+    )
+    assert told == brute.repeats_of_rows(rows)
+
+
 def test_suffix_halves_cut_to_nothing_still_ask(monkeypatch):
     anchors, halves = suffix_dedup.S.anchors, []
 
@@ -189,8 +274,9 @@ def test_suffix_halves_cut_to_nothing_still_ask(monkeypatch):
         return found
 
     monkeypatch.setattr(suffix_dedup.S, "anchors", cut_to_nothing)
-    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([prose(200, 77)])], names=["doc_id", "text"])
-    [(_, _, before, after, _, _)] = suffix_dedup._suffixes(iter([batch]))
+    columns = [pa.array([1]), pa.array([prose(200, 77)]), pa.array([0])]
+    batch = pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "row"])
+    [(_, _, before, after, _, _, _)] = suffix_dedup._suffixes(iter([batch]))
     [(had_before, had_after)] = halves
     assert had_before.any() and ((before != 0) == had_before).all() and ((after != 0) == had_after).all()
 
@@ -207,21 +293,90 @@ def test_warc_ranges(spark):
     pages = [(k, f"http://x/{k}\r\nX: y", "".join(random.Random(k % 7).choices("abcé \r\n<", k=50 + 400 * (k % 7)))) for k in range(60)]
     pages += [(60, None, None), (61, "u", ""), (62, "u", ""), (None, "u", "z" * 200)]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
-    files = warc.write_archives(frame, f"{shared_folder(spark)}-test")
+    files = warc.write_archives(frame, shared_folder(spark))
     whole = warc.read_archives(files)
     want = sorted(map(tuple, whole.drop("path").collect()), key=str)
     assert len(want) == len(pages) and all(r["intact"] for r in whole.collect())
     for size in (1, 7, 500, 4096):
         assert sorted(map(tuple, warc.read_archives(files, size).drop("path").collect()), key=str) == want
+    assert warc.lost_bytes(files, whole).count() == 0
     bodies = {r["record_id"]: bytes(r["payload"]) for r in whole.collect() if r["record_type"] == "response"}
     for r in whole.collect():
-        text = next(h for i, _, h in pages if (-1 if i is None else i) == r["record_id"])
+        text = next(h for i, _, h in pages if i == r["page_id"])
         body = bodies[r["refers_to"]] if r["record_type"] == "revisit" else bodies[r["record_id"]]
-        assert body == (text or "").encode()
-    empty = warc.write_archives(frame.limit(0), f"{shared_folder(spark)}-none")
+        assert body == (text or "").encode() and r["date"].endswith("Z")
+    assert len({r["record_id"] for r in whole.collect()}) == len(pages)
+    empty = warc.write_archives(frame.limit(0), shared_folder(spark))
     assert warc.read_archives(empty).count() == 0
 
 
+def test_repeated_pages_and_pages_without_an_id(spark):
+    body, other = "b" * 300, "c" * 300
+    pages = [(5, "u", body), (5, "u", body), (9, "u", body), (None, "u", body), (None, "v", other), (None, "v", other), (-1, "u", other)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns(
+        {"digest": F.lit("x"), "key": F.lit(3), "length": F.lit("y"), "refers_to": F.lit(1)}
+    )
+    files = warc.write_archives(frame.repartition(3), shared_folder(spark))
+    got = Counter((r["page_id"], r["record_type"], r["refers_to_page"]) for r in warc.read_archives(files).collect())
+    assert got == {
+        (5, "response", None): 2,
+        (9, "revisit", 5): 1,
+        (None, "revisit", 5): 1,
+        (None, "revisit", -1): 2,
+        (-1, "response", None): 1,
+    }
+
+
+def foreign_member(kind, fields, content, records=1):
+    head = f"WARC/1.0\r\nwarc-type:{kind}\r\nWARC-Record-ID: <urn:uuid:{kind}>\r\nCONTENT-LENGTH:  {len(content)}\r\n{fields}\r\n"
+    return gzip.compress((head.encode() + content + b"\r\n\r\n") * records)
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    html = b"HTTP/1.1 200 OK\r\n\r\n<p>hi</p>"
+    sha1 = base64.b32encode(hashlib.sha1(html).digest()).decode()
+    members = [
+        foreign_member("warcinfo", "WARC-Date: 2020-01-01T00:00:00Z\r\n", b"software: other"),
+        foreign_member("response", f"WARC-Block-Digest: sha1:{sha1}\r\nContent-Type: application/http;\r\n  msgtype=response\r\nWARC-Payload-Digest: sha1:ABC\r\n", html),
+        foreign_member("metadata", "", b"", records=3),
+        foreign_member("revisit", "WARC-Refers-To: <urn:uuid:response>\r\n", b""),
+        foreign_member("resource", "WARC-Block-Digest: sha1:AAAA\r\n", b"bits"),
+    ]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(members))
+    files = spark.createDataFrame([(str(path), path.stat().st_size)], "path string, length long")
+    want = None
+    for size in (10, 5000):
+        got = sorted(warc.read_archives(files, size).collect(), key=lambda r: (r["offset"], r["place"]))
+        assert [r["record_type"] for r in got] == ["warcinfo", "response", *["metadata"] * 3, "revisit", "resource"]
+        assert [r["intact"] for r in got] == [True] * 6 + [False]
+        assert got[1]["payload_digest"] == hashlib.sha256(html).hexdigest() and bytes(got[1]["payload"]) == html
+        assert got[5]["refers_to"] == "<urn:uuid:response>" and got[5]["payload_bytes"] is None
+        assert all(r["page_id"] is None for r in got) and got[0]["date"] == "2020-01-01T00:00:00Z"
+        want = want or got
+        assert got == want
+
+
+def test_damaged_records_are_told(spark, tmp_path):
+    members = [foreign_member("resource", f"X: {k}\r\n", random.Random(k).randbytes(4000)) for k in range(6)]
+    starts = [sum(map(len, members[:k])) for k in range(7)]
+    data = bytearray(b"".join(members))
+    data[starts[1] + 2000] ^= 0xFF  # inside a content
+    data[starts[3]] ^= 0xFF  # a header
+    data = data[: starts[5] + 3000]  # the last one cut off
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(data)
+    files = spark.createDataFrame([(str(path), len(data))], "path string, length long")
+    for size in (1000, 100_000):
+        records = warc.read_archives(files, size)
+        got = {r["offset"]: r["intact"] for r in records.collect()}
+        assert {k: got[k] for k in starts if k in got} == {
+            starts[0]: True, starts[1]: False, starts[2]: True, starts[4]: True, starts[5]: False
+        }
+        lost = sorted((r["start"], r["end"]) for r in warc.lost_bytes(files, records).collect())
+        assert lost == [(starts[1], starts[2]), (starts[3], starts[4]), (starts[5], len(data))]
+
+
 def test_false_magic_is_not_a_record():
     def member(payload):
         head = f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -229,9 +384,9 @@ def test_false_magic_is_not_a_record():
 
     inner = gzip.compress(b"no archive") + warc.MAGIC * 3
     data = b"".join(member(inner + bytes([k]) * 300) for k in range(20))
-    offsets = [o for o, _, _ in warc.records_in(io.BytesIO(data), 0, len(data))]
+    offsets = [o for o, _, _, broken in warc.records_in(io.BytesIO(data), 0, len(data)) if not broken]
     assert len(offsets) == 20
-    cut = [o for s in range(0, len(data), 97) for o, _, _ in warc.records_in(io.BytesIO(data), s, min(s + 97, len(data)))]
+    cut = [o for s in range(0, len(data), 97) for o, *_ in warc.records_in(io.BytesIO(data), s, min(s + 97, len(data)))]
     assert cut == offsets
 
 
@@ -334,7 +489,71 @@ def test_ngram_join(spark, docs, none, odd):
     want, _ = brute.near([r[:2] for r in ROWS])
     assert {r["doc_id"]: tuple(r)[1:] for r in rows.collect()} == want
     assert ngram_join.near_duplicates(none)[0].count() == 0
-    assert sorted(tuple(r)[1:] for r in ngram_join.near_duplicates(odd)[0].filter("doc_id IS NOT NULL").collect()) == [(46, 1), (56, 2)]
+    assert sorted(tuple(r)[1:] for r in ngram_join.near_duplicates(odd)[0].filter("doc_id IS NOT NULL").collect()) == [(46, 1), (46, 1), (56, 2)]
+
+
+def test_ngram_join_of_repeated_and_missing_ids(spark):
+    rows = unnamed_rows()
+    # A row without an id that alone links two others.
+    words = prose(100, 90).split()
+    rows += [(31, " ".join(words)), (None, " ".join(words[8:])), (30, " ".join(words[16:])), (None, " ".join(words[5:60]))]
+    rows += [(40, "a b"), (40, "A  B"), (None, "a b"), (None, " "), (41, "a b c")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute.near_rows(rows)
+    got, _ = ngram_join.near_duplicates(frame)
+    assert Counter(map(tuple, got.collect())) == Counter([k[:3] for k in want.elements()])
+    every, links = ngram_join.near_duplicates(frame, all_links=True)
+    assert Counter(map(tuple, every.collect())) == want
+    assert links.count() == links.select("a", "b").distinct().count() > 1
+
+
+def family(count, seed, edits=5):
+    """Texts in groups of chained near copies, some with a passage that many share."""
+    rows = []
+    for g in range(count):
+        base = prose(90 + 25 * g, seed + g).split()
+        for k in range(14):
+            words = list(base)
+            draw = random.Random(100 * g + k)
+            for _ in range(draw.randint(0, edits)):
+                words[draw.randrange(len(words))] = draw.choice(VOCABULARY)
+            rows.append((len(rows) * 3 + 1, " ".join(words)))
+    rows += [(2000 + k, PASSAGE + " " + prose(20 + k, 800 + k)) for k in range(60)]
+    random.Random(1).shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("tile, pairs", [(512, 500_000), (4, 50)])
+def test_every_link_is_counted(spark, monkeypatch, tile, pairs):
+    """Also where keys, rows and batches of pairs are cut into very small tiles."""
+    monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "PAIRS", pairs)
+    monkeypatch.setattr(ngram_join, "GRAMS", 20 * pairs)
+    rows = family(8, 300)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute.near_rows(rows)
+    every, links = ngram_join.near_duplicates(frame, all_links=True)
+    assert Counter(map(tuple, every.collect())) == want
+    sets = {i: brute.shingles(t) for i, t in rows}
+    for r in links.collect():
+        assert r["overlap"] == len(sets[r["a"]] & sets[r["b"]])
+    got, _ = ngram_join.near_duplicates(frame)
+    assert Counter(map(tuple, got.collect())) == Counter(k[:3] for k in want.elements())
+
+
+def test_overlaps_add_up_over_blocks_and_hopeless_pairs_go():
+    draw = np.random.default_rng(2)
+    centre = np.sort(draw.integers(0, 2**64, 200, dtype=np.uint64))
+    others = [centre[:190], centre[:150], draw.integers(0, 2**64, 200, dtype=np.uint64), centre[:1]]
+    size = np.array([len(o) for o in others])
+    columns, owner = np.concatenate(others), np.repeat(np.arange(4), size)
+    block = columns >> np.uint64(64 - ngram_join.GRAM_BITS)
+    got = ngram_join.overlaps(columns, block, owner, centre, size, np.full(4, 200))
+    assert got.tolist() == [190, -1, -1, -1]
+    for a in range(0, 60):
+        for b in range(0, 60):
+            least = ngram_join.least_overlap(a, b)
+            assert all((100 * o >= 80 * (a + b - o)) == (o >= least) for o in range(min(a, b) + 1))
 
 
 def test_ngram_join_with_chains_and_crowds(spark, monkeypatch):
@@ -362,13 +581,32 @@ def test_sharding(spark, docs, none, odd):
         assert sorted(slots) == list(range(len(slots)))
     assert all(r["grown_shard"] in (r["shard"], 5) for r in frame.collect())
     assert sharding.add_shards(none, "doc_id").count() == 0
-    assert sharding.add_shards(odd.drop("shard"), "doc_id").count() == 5
+    assert sharding.add_shards(odd, "doc_id").columns.count("shard") == 1
+    assert sharding.add_shards(odd, "doc_id").count() == 5
     keys = np.arange(20_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     assert all(brute.jump(int(k), 11) == s for k, s in zip(keys[:500], sharding.jump(keys[:500], 11)))
     counts = np.bincount(sharding.jump(keys, 11))
     assert counts.min() > 1650 and counts.max() < 1990
 
 
+def test_shards_of_hot_and_missing_keys(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT_ROWS", 50)
+    rows = [(None, k) for k in range(300)] + [(7, k) for k in range(300)] + [(k, 0) for k in range(200)]
+    rows += [(7, 1)] * 5
+    frame = spark.createDataFrame(rows, "doc_id long, size long")
+    first = sharding.add_shards(frame.repartition(3), "doc_id").collect()
+    again = sharding.add_shards(frame.repartition(7), "doc_id").collect()
+    assert Counter(map(tuple, first)) == Counter(map(tuple, again))
+    slots = {}
+    for r in first:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(first) == len(rows)
+    pieces = sharding.in_pieces(frame.withColumn("_hash", sharding.key_hash(F.col("doc_id"))), 3, F.xxhash64("size"))
+    assert pieces.filter("doc_id = 7").select("_piece").distinct().count() > 50
+    got = mixing.mix(frame.withColumns({"text": F.lit("a b c"), "source": F.lit("s")})).collect()
+    assert sum(r["taken"] for r in got) == 3 * len(rows)
+
+
 def test_quality(docs, none, odd):
     got = collected(quality.judge(docs))
     for i, text, *_ in ROWS:
