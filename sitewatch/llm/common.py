@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewatch.session import saved
+from sitewatch.session import saved, set_for_scope
 
 #: A word: a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,14 +52,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """``df``; its session hands Python at most 1,000 rows or 8 MB at a time.
+    """``df``; its session hands Python at most 1,000 rows or 8 MB at a time, until the scope ends.
 
     Spark's own bounds are 10,000 rows and 64 MB, held in the JVM and in Python at
     once by every running task, which texts of many pages fill.
     """
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    set_for_scope(
+        df.sparkSession,
+        {
+            "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+            "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+        },
+    )
     return df
 
 

@@ -6,11 +6,14 @@ into step again after an edit, so their edit distance shows as Hamming distance
 between the characters read. A key samples some of the steps; a stretch with few
 edits gives an equal key with a known chance, and keys are drawn again, with
 other bits, from every word of an item. Walks read short stretches, so they are
-seeds: the item-sized window appears in the verification. How long the walks are
-and how many are drawn depends on the item: of ``RUNGS``, an item takes the first
+seeds: the item-sized window appears in the verification. How long the walks are,
+how many are drawn, and whether two keys must meet at places that agree or one will
+do, depends on the item: of ``RUNGS``, an item takes the first
 on which edited copies of items with as many words, ``MOST_EDITS`` of their
-characters changed at random, meet a key with the chance ``RECALL``. That is tried
+characters changed at random, meet keys enough with the chance ``RECALL``. That is tried
 out when the index is built; the last rung is taken by what meets it on none.
+A walk is first read as far as its ``EARLY``-th sampled step; only where the key so far
+begins a key of some item is it read on, which loses none.
 
 A key that meets fixes an item-sized window: the item's length from where the
 item then begins, and a slack to both sides. The item is cut into parts of up to 64
@@ -24,35 +27,52 @@ The benchmark is indexed in blocks of bounded size, each sent to all tasks; all
 documents are read once per block and never shuffled. Case of A-Z and kinds of
 white space do not count.
 
-Defined cases: a NULL or empty text has no hits; items with a NULL text or fewer
-than ``SHORTEST`` bytes are no evidence and are not searched; equal items are
+Defined cases: a NULL or empty text has no hits; an item with a NULL text, or of blanks
+only, is not searched; an item of fewer than ``SHORTEST`` bytes is too short to be told
+after edits and is searched verbatim, between the edges of words, in a column of its
+own, ``short_hits``: a word or two is no evidence against a document. Equal items are
 reported each; repeated rows are searched alike; empty tables give no hits; other
-columns pass through, one named ``hits`` is replaced.
+columns pass through, those named ``hits`` and ``short_hits`` are replaced. An item
+with a NULL id is reported as NULL.
 """
 
 from __future__ import annotations
 
 import math
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewatch.llm.common import add_columns, table
+from sitewatch.session import at_scope_end, result_only
 
 SHORTEST = 40
 #: Share of an item's characters that may differ.
 MOST_EDITS = 0.2
 #: Least chance that an item with so many edits at random places meets a key.
 RECALL = 0.99
-#: (steps of a walk, steps that a key samples, walks, whether they start at all characters but blanks).
-RUNGS = ((24, 16, 3, False), (16, 12, 3, False), (12, 9, 5, False), (12, 9, 5, True))
+#: (steps of a walk, steps that a key samples, walks, whether they start at all characters but blanks,
+#: keys that must meet).
+RUNGS = (
+    (24, 16, 3, False, 2),
+    (16, 12, 3, False, 2),
+    (24, 16, 3, False, 1),
+    (16, 12, 6, False, 2),
+    (16, 12, 3, False, 1),
+    (16, 12, 6, False, 1),
+    (12, 9, 5, False, 1),
+    (12, 9, 5, True, 1),
+)
 #: Edited copies that a rung is tried on; it may miss half of what ``RECALL`` allows.
 TRIED = 600
 #: From this byte of a word on, walks start at every character.
 LONG_WORD = 24
 STEPS = max(rung[0] for rung in RUNGS)
+#: Sampled steps after which a walk goes on only if an item's key begins alike.
+EARLY = 9
 #: Bytes of items in one index.
 BLOCK_BYTES = 8 << 20
 #: Word starts that are walked at a time.
@@ -80,21 +100,42 @@ class Walk:
         self.sampled = sorted(random.choice(steps, sampled, replace=False).tolist())
         self.weights = random.integers(1, 1 << 63, (steps, 256), dtype=np.uint64)
 
-    def keys(self, data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the walks that begin at ``places``, and their ends; data goes on STEPS characters beyond."""
-        at = places.copy()
-        key = np.zeros(len(places), dtype=np.uint64)
-        for step in range(self.sampled[-1] + 1):
+        self.early = self.sampled[min(EARLY, sampled) - 1] + 1
+
+    def _read(self, data: np.ndarray, at: np.ndarray, key: np.ndarray, steps: range) -> None:
+        """Read on, in place; data goes on STEPS characters beyond all places."""
+        for step in steps:
             read = data[at]
             if step in self.sampled:
                 key += self.weights[step][read]
             at += self.moves[step][read]
+
+    def begun(self, data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the walks from ``places`` are after the early steps, and their keys so far."""
+        at, key = places.copy(), np.zeros(len(places), dtype=np.uint64)
+        self._read(data, at, key, range(self.early))
+        return at, key
+
+    def ended(self, data: np.ndarray, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of walks that were begun, and their ends."""
+        at, key = at.copy(), key.copy()
+        self._read(data, at, key, range(self.early, self.sampled[-1] + 1))
         key ^= key >> np.uint64(33)
         key *= np.uint64(0xFF51AFD7ED558CCD)
         return key ^ (key >> np.uint64(33)), at
 
+    def keys(self, data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the walks that begin at ``places``, and their ends."""
+        return self.ended(data, *self.begun(data, places))
+
+
+
+def _walks() -> list[list[Walk]]:
+    """The walks of each rung; rungs of one length share theirs."""
+    return [[Walk(100 * steps + n, steps, sampled) for n in range(walks)] for steps, sampled, walks, *_ in RUNGS]
 
-WALKS = [[Walk(100 * k + n, steps, sampled) for n in range(walks)] for k, (steps, sampled, walks, _) in enumerate(RUNGS)]
+
+WALKS = _walks()
 
 
 def plain(text: str) -> np.ndarray:
@@ -152,15 +193,23 @@ def padded(datas: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([part for d in datas for part in (d, blanks)]), begins
 
 
-def item_keys(walk: Walk, datas: list[np.ndarray], every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, place of the text, offset) of the walks that stay inside the texts."""
+def _filter(keys: np.ndarray) -> np.ndarray:
+    """A bit for every value of the leading bits, set where a key has it."""
+    out = np.zeros(1 << FILTER_BITS, dtype=bool)
+    out[keys >> np.uint64(64 - FILTER_BITS)] = True
+    return out
+
+
+def item_keys(walk: Walk, datas: list[np.ndarray], every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, place of the text, offset, early key) of the walks that stay inside the texts."""
     data, begins = padded(datas)
     starts = walk_starts(data, every)
     owner = np.searchsorted(begins, starts, side="right") - 1
     sizes = np.array([len(d) for d in datas])
-    key, end = walk.keys(data, starts)
+    at, early = walk.begun(data, starts)
+    key, end = walk.ended(data, at, early)
     inside = end <= begins[owner] + sizes[owner]
-    return key[inside], owner[inside], (starts - begins[owner])[inside]
+    return key[inside], owner[inside], (starts - begins[owner])[inside], early[inside]
 
 
 def edited(text: str, edits: int, random: np.random.Generator) -> str:
@@ -173,20 +222,67 @@ def edited(text: str, edits: int, random: np.random.Generator) -> str:
     return "".join(chars)
 
 
+def slack_of(sizes: np.ndarray) -> np.ndarray:
+    """Characters to both sides of where an item begins, by a key, in which it may begin."""
+    return (sizes * MOST_EDITS).astype(np.int64) + 8
+
+
+def agreeing(group: np.ndarray, place: np.ndarray, step: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(group, place rounded down to ``step``, keys that agree) of matches.
+
+    Matches are of an item with a text (``group``), by one of its keys, which has it begin
+    at ``place``; those less than a step apart agree. Each key counts once a place.
+    """
+    place = place - place % step
+    order = np.lexsort((key, place, group))
+    group, place, step, key = group[order], place[order], step[order], key[order]
+    new = np.ones(len(group), dtype=bool)
+    new[1:] = (group[1:] != group[:-1]) | (place[1:] != place[:-1]) | (key[1:] != key[:-1])
+    group, place, step = group[new], place[new], step[new]
+    first = np.ones(len(group), dtype=bool)
+    first[1:] = (group[1:] != group[:-1]) | (place[1:] != place[:-1])
+    begins = np.flatnonzero(first)
+    counts = np.diff(np.append(begins, len(group)))
+    group, place, step = group[begins], place[begins], step[begins]
+    # Neighbouring places are neighbours here, too.
+    beside = (group[1:] == group[:-1]) & (place[1:] - place[:-1] == step[:-1])
+    total = counts.copy()
+    total[1:][beside] += counts[:-1][beside]
+    total[:-1][beside] += counts[1:][beside]
+    return group, place, total
+
+
 def recall(texts: list[str], rung: int, edits: float, copies: int = TRIED) -> float:
-    """Share of edited copies of ``texts`` that meet a key of their text on a rung."""
+    """Share of edited copies of ``texts`` that meet keys enough of their text on a rung."""
     random = np.random.default_rng(7)
     whose = np.arange(copies) % len(texts)
     tried = [plain(edited(texts[k], int(len(texts[k]) * edits), random)) for k in whose]
     data, begins = padded(tried)
-    starts = walk_starts(data, RUNGS[rung][3])
+    _, _, _, every, needed = RUNGS[rung]
+    starts = walk_starts(data, every)
     owner = np.searchsorted(begins, starts, side="right") - 1
     mixer = np.uint64(0x9E3779B97F4A7C15)
+    datas = [plain(t) for t in texts]
+    slack = slack_of(np.array([len(d) for d in datas], dtype=np.int64))
+    found: list[list[np.ndarray]] = [[], [], []]
+    for number, walk in enumerate(WALKS[rung]):
+        key, item, offset, _ = item_keys(walk, datas, every)
+        key = key ^ item.astype(np.uint64) * mixer
+        order = np.argsort(key, kind="stable")
+        key, offset = key[order], offset[order]
+        own = walk.keys(data, starts)[0] ^ whose[owner].astype(np.uint64) * mixer
+        low = np.searchsorted(key, own, side="left")
+        times = np.searchsorted(key, own, side="right") - low
+        at = offset[runs(low, times)]
+        copy, start = np.repeat(owner, times), np.repeat(starts, times)
+        for column, values in zip(found, (copy, start - begins[copy] - at, at * len(WALKS[rung]) + number)):
+            column.append(values)
+    copy, place, key = (np.concatenate(c) for c in found)
+    # Places may lie before the text; what counts is how far they are apart.
+    far = int(slack.max()) + max(map(len, datas))
+    group, _, total = agreeing(copy, place + far, slack[whose[copy]] // 2 + 1, key)
     met = np.zeros(copies, dtype=bool)
-    for walk in WALKS[rung]:
-        key, item, _ = item_keys(walk, [plain(t) for t in texts], RUNGS[rung][3])
-        same = np.isin(walk.keys(data, starts)[0] ^ whose[owner].astype(np.uint64) * mixer, key ^ item.astype(np.uint64) * mixer)
-        met[owner[same]] = True
+    met[group[total >= needed]] = True
     return float(met.mean())
 
 
@@ -205,48 +301,107 @@ def rungs_of(texts: list[str]) -> np.ndarray:
     return out
 
 
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows of some columns, each once."""
+    order = np.lexsort(columns)
+    columns = tuple(c[order] for c in columns)
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return tuple(c[new] for c in columns)
+
+
+class Verbatim:
+    """Short items, found as they are between the edges of words."""
+
+    def __init__(self, items: list[tuple[int | None, str]]):
+        self.ids: dict[str, list[int | None]] = {}
+        for i, text in items:
+            one = " ".join(_flat(text).split())
+            if one:
+                self.ids.setdefault(one, []).append(i)
+        self.machine = None
+        if self.ids:
+            self.machine = ahocorasick.Automaton()
+            for one in self.ids:
+                self.machine.add_word(one, one)
+            self.machine.make_automaton()
+
+    def found(self, text: str) -> list[int | None]:
+        """The items in a text, in order, each once; white space is one blank."""
+        if self.machine is None or not text:
+            return []
+        flat = " ".join(_flat(text).split())
+        here = set()
+        for last, one in self.machine.iter(flat):
+            first = last + 1 - len(one)
+            before, after = flat[first - 1 : first] if first else "", flat[last + 1 : last + 2]
+            if not (_joins(before) and _joins(one[0])) and not (_joins(after) and _joins(one[-1])):
+                here.add(one)
+        ids = [i for one in here for i in self.ids[one]]
+        return sorted(ids, key=lambda i: (i is None, i or 0))
+
+
+def _flat(text: str) -> str:
+    return _PLAIN[np.frombuffer(text.encode(), dtype=np.uint8)].tobytes().decode()
+
+
+def _joins(character: str) -> bool:
+    return character.isalnum() or character == "_"
+
+
 class Index:
     """Keys of the words of some items."""
 
     def __init__(self, items: list[tuple[int, str]]):
         known = [(i, t) for i, t in items if t is not None and len(t.encode()) >= SHORTEST]
+        self.short = Verbatim([(i, t) for i, t in items if t is not None and len(t.encode()) < SHORTEST])
         self.ids = [i for i, _ in known]
-        self.texts = [_PLAIN[np.frombuffer(t.encode(), dtype=np.uint8)].tobytes().decode() for _, t in known]
+        self.texts = [_flat(t) for _, t in known]
         datas = [plain(t) for t in self.texts]
         self.data, self.begins = padded(datas) if known else (np.zeros(0, np.uint8), np.zeros(0, np.int64))
         self.sizes = np.array([len(d) for d in datas], dtype=np.int64)
         self.most = (self.sizes * MOST_EDITS).astype(np.int64)
-        self.slack = self.most + 8
+        self.slack = slack_of(self.sizes)
         rung_of = rungs_of(self.texts)
+        self.needed = np.array([RUNGS[r][4] for r in rung_of], dtype=np.int64)
         self.tables = []
-        for rung, walks in enumerate(WALKS):
-            members = np.flatnonzero(rung_of == rung)
-            for walk in walks if len(members) else []:
-                key, owner, offset = item_keys(walk, [datas[k] for k in members], RUNGS[rung][3])
+        # A walk is read once for all rungs that share it.
+        sharing: dict[tuple[int, bool, int], list[int]] = {}
+        for rung, (steps, _, walks, every, _) in enumerate(RUNGS):
+            for n in range(walks):
+                sharing.setdefault((steps, every, n), []).append(rung)
+        for (_, every, n), alike in sharing.items():
+            members = np.flatnonzero(np.isin(rung_of, alike))
+            if len(members):
+                walk = WALKS[alike[0]][n]
+                key, owner, offset, early = item_keys(walk, [datas[k] for k in members], every)
                 order = np.argsort(key, kind="stable")
-                near = np.zeros(1 << FILTER_BITS, dtype=bool)
-                near[key >> np.uint64(64 - FILTER_BITS)] = True
-                self.tables.append((walk, RUNGS[rung][3], near, key[order], members[owner[order]], offset[order]))
+                filters = _filter(early), _filter(key)
+                self.tables.append((walk, every, *filters, key[order], members[owner[order]], offset[order]))
 
     def meets(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Rows (document, item, place near an item's first character) that keys of the documents point to.
+        """Rows (document, item, place near an item's first character) that keys enough of the documents point to.
 
         The places are rounded down by at most half the slack, which windows allow for.
         """
         edges = bounds[:-1][np.diff(bounds) > 0]
         places: dict[bool, np.ndarray] = {}
         low_edge = int(self.sizes.max())
-        wide = len(data) + low_edge + 1
-        out = []
-        for walk, every, near, key, item, offset in self.tables:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held = 0
+        shift = np.uint64(64 - FILTER_BITS)
+        for number_of, (walk, every, begins_alike, near, key, item, offset) in enumerate(self.tables):
             if every not in places:
                 places[every] = walk_starts(data, every, edges)
             for begin in range(0, len(places[every]), TILE):
                 at = places[every][begin : begin + TILE]
-                keys, _ = walk.keys(data, at)
-                maybe = np.flatnonzero(near[keys >> np.uint64(64 - FILTER_BITS)])
-                low = np.searchsorted(key, keys[maybe], side="left")
-                number = np.searchsorted(key, keys[maybe], side="right") - low
+                reached, early = walk.begun(data, at)
+                maybe = np.flatnonzero(begins_alike[early >> shift])
+                keys, _ = walk.ended(data, reached[maybe], early[maybe])
+                met = near[keys >> shift]
+                maybe, keys = maybe[met], keys[met]
+                low = np.searchsorted(key, keys, side="left")
+                number = np.searchsorted(key, keys, side="right") - low
                 at, low, number = at[maybe[number > 0]], low[number > 0], number[number > 0]
                 for a, b in pieces(number):
                     rows = runs(low[a:b], number[a:b])
@@ -254,16 +409,30 @@ class Index:
                     first = np.repeat(at[a:b], number[a:b]) - offset[rows] + low_edge
                     which = item[rows]
                     first -= first % (self.slack[which] // 2 + 1)
-                    out.append(np.unique((owner * len(self.ids) + which) * wide + first))
-                    if sum(map(len, out)) > 2 * MOST_ROWS:
-                        out = [np.unique(np.concatenate(out))]
-        code = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
-        whose = code // wide
-        return np.column_stack([whose // len(self.ids), whose % len(self.ids), code % wide - low_edge])
+                    # Where one key will do, keys need not be told apart.
+                    which_key = np.where(self.needed[which] > 1, offset[rows] * len(self.tables) + number_of, 0)
+                    out.append((owner * len(self.ids) + which, first, which_key))
+                    held += len(first)
+                    if held > 2 * MOST_ROWS:
+                        out = [_distinct(*(np.concatenate(c) for c in zip(*out)))]
+                        held = 2 * len(out[0][0])
+        if not out:
+            return np.zeros((0, 3), dtype=np.int64)
+        whose, first, which_key = (np.concatenate(c) for c in zip(*out))
+        step = self.slack[whose % len(self.ids)] // 2 + 1
+        whose, first, total = agreeing(whose, first, step, which_key)
+        ok = total >= self.needed[whose % len(self.ids)]
+        return np.column_stack([whose // len(self.ids), whose % len(self.ids), first - low_edge])[ok]
 
     def near_enough(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Which rows have a window where the parts of the item are near enough in all."""
         out = np.zeros(len(rows), dtype=bool)
+        if not len(rows):
+            return out
+        # Windows reach over both ends of the data.
+        blank = np.zeros(int(self.sizes.max() + 3 * self.slack.max()) + 3, dtype=np.uint8)
+        data = np.concatenate([blank, data, blank])
+        rows = rows + np.array([0, 0, len(blank)])
         order = np.argsort(self.sizes[rows[:, 1]], kind="stable")
         for a in range(0, len(rows), MOST_WINDOWS):
             left = order[a : a + MOST_WINDOWS]
@@ -295,16 +464,20 @@ class Index:
         low = rows[:, 2] + begin - slack
         columns = size + 2 * slack + slack // 2
         top, one = (size - 1).astype(np.uint64), np.uint64(1)
+        at = low.copy()
         up, down = np.full(len(rows), ~np.uint64(0)), np.zeros(len(rows), dtype=np.uint64)
         score = size.copy()
         best = size.copy()
         for column in range(int(columns.max())):
-            eq = equal[base + data[np.clip(low + column, 0, len(data) - 1)]]
+            eq = equal[base + data[at]]
+            # The longest window may end beyond the shorter ones, whose places then stay.
+            at += column + 1 < columns
             across = eq | down
             level = (((eq & up) + up) ^ up) | eq
             plus = down | ~(level | up)
             minus = up & level
-            score += ((plus >> top) & one).astype(np.int64) - ((minus >> top) & one).astype(np.int64)
+            score += ((plus >> top) & one).view(np.int64)
+            score -= ((minus >> top) & one).view(np.int64)
             plus <<= one
             minus <<= one
             up = minus | ~(across | plus)
@@ -382,9 +555,13 @@ def _hits(index: Index, data: np.ndarray, starts: np.ndarray, begin: int, end: i
 def search(docs: DataFrame, items: list[tuple[int, str]], text: str = "text", more: bool = False) -> DataFrame:
     """Add ``hits`` of one block of items; ``more`` appends to those that are there."""
     shared = docs.sparkSession.sparkContext.broadcast(Index(items))
-    added = "_hits" if more else "hits"
+    at_scope_end(shared.destroy)
+    names = ("_hits", "_short_hits") if more else ("hits", "short_hits")
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        short = shared.value.short
+        texts = batch.column(text).to_pylist() if short.machine else [""] * batch.num_rows
+        verbatim = pa.array([short.found(t or "") for t in texts], type=pa.list_(pa.int64()))
         column = batch.column(text).cast(pa.large_binary()).fill_null(b"")
         out: list[list[dict]] = [[] for _ in range(len(column))]
         index = shared.value
@@ -393,10 +570,14 @@ def search(docs: DataFrame, items: list[tuple[int, str]], text: str = "text", mo
             raw = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
             for first, last in _stretches(bounds):
                 _search_stretch(index, raw, bounds[first : last + 1], out, first)
-        return [pa.array(out, type=pa.list_(HIT))]
+        return [pa.array(out, type=pa.list_(HIT)), verbatim]
 
-    found = add_columns(docs, {added: (HITS, pa.list_(HIT))}, run)
-    return found.withColumn("hits", F.concat("hits", "_hits")).drop("_hits") if more else found
+    kinds = ((HITS, pa.list_(HIT)), ("array<long>", pa.list_(pa.int64())))
+    found = add_columns(docs, dict(zip(names, kinds)), run)
+    if not more:
+        return found
+    joined = {name[1:]: F.concat(name[1:], name) for name in names}
+    return found.withColumns(joined).drop(*names)
 
 
 def _stretches(bounds: np.ndarray, size: int = 8 << 20):
@@ -423,7 +604,8 @@ def _search_stretch(index: Index, raw: np.ndarray, bounds: np.ndarray, out: list
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``hits``: array of (item_id, start, end, distance), places in code points."""
+    """Add ``hits``: array of (item_id, start, end, distance), places in code points, and
+    ``short_hits``: the ids of the short items that stand in the text."""
     size = benchmark.agg(F.sum(F.octet_length("text")).cast("long")).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
@@ -434,6 +616,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text") ->
     return found
 
 
+@result_only
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -443,4 +626,5 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"]))).alias("item_ids"),
         F.size("hits").cast("long").alias("n_hits"),
         F.array_min(F.transform("hits", lambda h: h["distance"])).alias("least_distance"),
+        "short_hits",
     )

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewatch.llm.common import add_columns, bounded_batches, rows_to_batches, slices, table
+from sitewatch.session import result_only
 
 #: The three forms, their kinds in order, and the shortest length each.
 ASSIGN = re.compile(
@@ -238,6 +239,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     return add_columns(docs, {"spans": (kind, element)}, find)
 
 
+@result_only
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewatch.llm.common import add_columns, bounded_batches, rows_to_batches, slices, table
+from sitewatch.session import result_only
 
 SAMPLE = 20_000
 #: Learned entries: at least this G-squared, at most so many, stems of these lengths.
@@ -330,6 +331,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return add_columns(docs, added, run)
 
 
+@result_only
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs, table(spark, sf_dir, "labels"))

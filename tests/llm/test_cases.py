@@ -454,6 +454,28 @@ def test_decontamination_of_repeated_words(spark):
     assert _met(spark, items, ["9 " * 200 + t for t in items]) == 1
 
 
+def test_early_filters_leave_out_no_key():
+    items = [(k, prose(12 + 3 * k, 640 + k)) for k in range(20)]
+    index = decontam.Index(items)
+    data = decontam.plain(" ".join(t for _, t in items) + " " * 40)
+    bounds = np.array([0, len(data) - 40])
+    got = {tuple(r) for r in index.meets(data, bounds).tolist()}
+    for table in range(len(index.tables)):
+        walk, every, _, *rest = index.tables[table]
+        index.tables[table] = (walk, every, np.ones(1 << decontam.FILTER_BITS, dtype=bool), *rest)
+    assert got == {tuple(r) for r in index.meets(data, bounds).tolist()} and len(got) >= 20
+
+
+def test_short_items_are_found_verbatim(spark):
+    rows = [(1, "He said: Blue  Moon\trising, twice"), (2, "blue moonrising"), (3, None), (4, ""), (5, "x blue moon rising é")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"hits": F.lit(1), "short_hits": F.lit("x")})
+    items = [(7, "blue moon rising"), (None, "BLUE moon  rising"), (8, "é"), (9, " \t"), (10, None), (11, "said: blue")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = collected(decontam.decontaminate(docs, bench))
+    assert {i: r["short_hits"] for i, r in got.items()} == {1: [7, 11, None], 2: [], 3: [], 4: [], 5: [7, 8, None]}
+    assert all(r["hits"] == [] for r in got.values())
+
+
 def test_parts_of_an_item_leave_out_no_near_window():
     draw = np.random.default_rng(8)
     items = [(k, prose(8 + 7 * k, 600 + k) + "é" * (k % 3)) for k in range(12)]
