@@ -19,7 +19,7 @@ from sitewatch.llm.mixing import mix
 from sitewatch.llm.ngram_join import near_duplicates
 from sitewatch.llm.sharding import add_shards
 from sitewatch.llm.toxicity import learn, score
-from sitewatch.session import saved
+from sitewatch.session import saved, scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -88,6 +88,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir))
+    with scratch() as whole:
+        for _, stage in STAGES:
+            with scratch() as scope:
+                # All that led to the stage's rows goes with the scope.
+                last = stage is STAGES[-1][1]
+                docs = saved(stage(spark, docs, sf_dir), whole.outer if last else scope.outer)
     return docs

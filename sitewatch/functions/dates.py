@@ -14,6 +14,7 @@ WHOLE_DATE = (
     r"([T ]([01]\d|2[0-4]):[0-5]\d(:[0-5]\d(\.\d+)?)?"
     r"( *([Zz]|[+-](0\d|1[0-4]):[0-5]\d) *)?)?$"
 )
+DIGITS_TO_ZERO = ("123456789", "000000000")
 ZONE = r" *([Zz]|[+-]\d\d:\d\d) *$"
 
 
@@ -22,7 +23,7 @@ def julian_day(text: Column) -> Column:
 
     Works on the calendar fields alone, so the session time zone plays no
     part. A time with ``Z`` or an offset is taken to UTC. Partial and impossible
-    dates give NULL.
+    dates give NULL. A date without a time, as most are, meets no regular expression.
     """
     days = F.unix_date(F.substring(text, 1, 10).try_cast("date")).cast("bigint")
 
@@ -38,9 +39,14 @@ def julian_day(text: Column) -> Column:
     minutes = number(F.substring(zone, 2, 2)) * 60.0 + number(F.substring(zone, 5, 2))
     ahead = F.when(zone.startswith("-"), -minutes).otherwise(minutes) * 60_000.0
     clock = part(1, 2) * 3_600_000.0 + part(4, 2) * 60_000.0 + part(7, 16) * 1000.0
-    ms = F.when(F.length(text) > 10, clock.cast("bigint") - ahead.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    total = days * F.lit(MS_PER_DAY) + F.lit(UNIX_EPOCH_JULIAN_MS) + ms
-    return F.when(text.rlike(WHOLE_DATE), total.cast("double") / F.lit(float(MS_PER_DAY)))
+    midnight = days * F.lit(MS_PER_DAY) + F.lit(UNIX_EPOCH_JULIAN_MS)
+    timed = midnight + clock.cast("bigint") - ahead.cast("bigint")
+    is_date = F.translate(text, *DIGITS_TO_ZERO) == "0000-00-00"
+    return (
+        F.when(is_date, midnight.cast("double"))
+        .when((F.length(text) > 10) & text.rlike(WHOLE_DATE), timed.cast("double"))
+        / F.lit(float(MS_PER_DAY))
+    )
 
 
 def study_day(text: Column, reference: Column) -> Column:

@@ -44,12 +44,15 @@ class Scratch:
     def __init__(self, outer: Scratch | None = None):
         self.outer = outer
         self.folders: list[tuple[SparkSession, str]] = []
+        self.undo: list[Callable[[], None]] = []
 
     def own(self, spark: SparkSession, folder: str) -> str:
         self.folders.append((spark, folder))
         return folder
 
     def drop(self) -> None:
+        while self.undo:
+            self.undo.pop()()
         while self.folders:
             remove_folder(*self.folders.pop())
 
@@ -60,6 +63,27 @@ _SCOPE: ContextVar[Scratch] = ContextVar("scratch", default=_PROCESS)
 _LOCAL_BASES: list[str] = []
 
 
+def set_for_scope(spark: SparkSession, settings: dict[str, str]) -> None:
+    """Session settings that the scope takes back at its end; outside any, they stay."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    if all(before[key] == value for key, value in settings.items()):
+        return
+
+    def restore() -> None:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+    at_scope_end(restore)
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+
+
+def at_scope_end(action: Callable[[], None]) -> None:
+    """Do this when the scope ends; outside any, never."""
+    if _SCOPE.get() is not _PROCESS:
+        _SCOPE.get().undo.append(action)
+
+
 def process_scope() -> Scratch:
     """The scope of what must outlast every other."""
     return _PROCESS

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from sitewatch.session import result_only, saved, scratch, shared_folder
+from sitewatch.session import result_only, saved, scratch, set_for_scope, shared_folder
 
 
 def folders(scope):
@@ -20,6 +20,17 @@ def test_a_scope_removes_what_was_written_in_it(spark):
         assert not os.path.exists(folder) and not folders(outer)
 
 
+def test_settings_are_taken_back(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with scratch():
+        set_for_scope(spark, {key: "77"})
+        with scratch():
+            set_for_scope(spark, {key: "78"})
+        assert spark.conf.get(key) == "77"
+    assert spark.conf.get(key) == before
+
+
 def test_a_failed_job_leaves_nothing(spark):
     with pytest.raises(ValueError), scratch() as scope:
         saved(spark.range(5))
