@@ -29,6 +29,15 @@ def spark():
     return session
 
 
+@pytest.fixture(autouse=True, scope="module")
+def leave_no_folders():
+    """What the tests of a module write goes with them."""
+    from sitewatch.session import scratch
+
+    with scratch():
+        yield
+
+
 @pytest.fixture(scope="session")
 def small():
     return "/root/testdata/sf0.001"
