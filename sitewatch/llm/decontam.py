@@ -552,11 +552,18 @@ def _hits(index: Index, data: np.ndarray, starts: np.ndarray, begin: int, end: i
     return found
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """A name that no column has."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def search(docs: DataFrame, items: list[tuple[int, str]], text: str = "text", more: bool = False) -> DataFrame:
     """Add ``hits`` of one block of items; ``more`` appends to those that are there."""
     shared = docs.sparkSession.sparkContext.broadcast(Index(items))
     at_scope_end(shared.destroy)
-    names = ("_hits", "_short_hits") if more else ("hits", "short_hits")
+    names = (_free("hits", docs), _free("short_hits", docs)) if more else ("hits", "short_hits")
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         short = shared.value.short
@@ -576,7 +583,7 @@ def search(docs: DataFrame, items: list[tuple[int, str]], text: str = "text", mo
     found = add_columns(docs, dict(zip(names, kinds)), run)
     if not more:
         return found
-    joined = {name[1:]: F.concat(name[1:], name) for name in names}
+    joined = {kept: F.concat(kept, added) for kept, added in zip(("hits", "short_hits"), names)}
     return found.withColumns(joined).drop(*names)
 
 

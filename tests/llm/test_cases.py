@@ -466,6 +466,17 @@ def test_early_filters_leave_out_no_key():
     assert got == {tuple(r) for r in index.meets(data, bounds).tolist()} and len(got) >= 20
 
 
+def test_items_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 300)
+    items = [(k, prose(30, 7100 + k)) for k in range(6)] + [(None, prose(30, 7106)), (9, "tiny item")]
+    docs = spark.createDataFrame(
+        [(k, prose(20, 7200 + k) + " " + items[k][1] + " tiny item") for k in range(7)], "doc_id long, text string"
+    ).withColumns({"_hits": F.lit(5), "_short_hits": F.lit(6), "key": F.lit("x")})
+    got = collected(decontam.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")))
+    assert {k: [h["item_id"] for h in r["hits"]] for k, r in got.items()} == {k: [items[k][0]] for k in range(7)}
+    assert all(r["_hits"] == 5 and r["_short_hits"] == 6 and r["short_hits"] == [9] for r in got.values())
+
+
 def test_short_items_are_found_verbatim(spark):
     rows = [(1, "He said: Blue  Moon\trising, twice"), (2, "blue moonrising"), (3, None), (4, ""), (5, "x blue moon rising é")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"hits": F.lit(1), "short_hits": F.lit("x")})
@@ -678,6 +689,22 @@ def test_chat_round_trip(spark):
     assert {r["tree"]: [(t["role"], t["text"]) for t in r["turns"]] for r in back} == want
 
 
+def test_chat_of_odd_conversations(spark):
+    """No conversation id, equal turns, no turn number, a very long text, clashing columns."""
+    rows = [(None, 2, "user", "b"), (None, 1, "user", "a"), (3, 1, "assistant", "same"), (3, 1, "assistant", "same"), (3, 1, "a", "z")]
+    rows += [(4, None, None, None), (4, 0, "assistant", LONG), (5, 7, "user", "")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    for name in ("tree", "id", "parent", "score", "depth", "formatted", "rank"):
+        turns = turns.withColumn(name, F.lit("x"))
+    back = chat.read_back(chat.format_paths(chat.best_paths(chat.reply_chain(turns)))).collect()
+    assert {r["tree"]: [(t["role"], t["text"]) for t in r["turns"]] for r in back} == {
+        None: [("user", "a"), ("user", "b")],
+        3: [("a", "z"), ("assistant", "same"), ("assistant", "same")],
+        4: [("", ""), ("assistant", LONG)],
+        5: [("user", "")],
+    }
+
+
 # --- The pipeline ---
 
 
