@@ -14,14 +14,14 @@ It is computed where the sizes leave a link possible, and nowhere else:
    block. Overlaps add up over the blocks, and a pair goes as soon as its overlap so far
    and all that it still has cannot reach 0.8.
 
-Equal sets are one row from the start (two 64-bit sums). The product is taken twice:
-first of each key's documents with its first one, whose links are contracted into
-components; then, in rounds, of those that share a key across components, of which each
-row is multiplied with the few that are likeliest to link first. Their links are
-contracted before the next round takes more, until a round takes all that are left. So a
-large group of near copies is not multiplied pair by pair, and no component is missed:
-two rows that link share a key, and in that key they are of one component or meet.
-The links given are those that span the components; with ``all_links`` every pair that shares a
+Equal sets are one row from the start (two 64-bit sums). The product is taken three
+times, each time after the links of the last were contracted into components: of each
+key's documents with its first one; of those in keys that still hold several components
+with the one that is in most of these keys, as the text is that others were copied
+from; and of all that share a key across components still. So a large group of near
+copies is not multiplied pair by pair, and no component is missed: two rows that
+link share a key, and in that key they are of one component or meet. The links
+given are those that span the components; with ``all_links`` every pair that shares a
 key is multiplied, every link is given with its overlap, and links are counted.
 
 No key, row or tile gathers without bound: members of a key that crowd a task meet the
@@ -69,8 +69,6 @@ KEYS, FACTS, MEMBERS = 0, 1, 2
 TILE, PAIRS, MAP_BYTES = 512, 500_000, 1 << 22
 #: Blocks of columns in the product, as leading bits of a gram; grams multiplied at a time.
 GRAM_BITS, GRAMS = 3, 500_000
-#: Partners across components that a row takes in the first round, and by how many times more in each later one.
-FIRST_PARTNERS, MORE_PARTNERS = 2, 8
 #: Members of keys, and bytes of rows, for each group of a task.
 BUCKET_MEMBERS, BUCKET_BYTES = 60_000, 12 << 20
 
@@ -305,8 +303,8 @@ class _Maps:
             self.place[mine] = np.arange(len(mine))
             self.stacks[length] = np.frombuffer(b"".join([maps[k] for k in mine]), np.uint8).reshape(len(mine), length)
 
-    def room(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-        """By how many grams more two sets may differ and link, as far as maps tell; below 0, they cannot."""
+    def allow(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+        """Whether sizes within five quarters, and maps, leave a link possible."""
         ok = (np.minimum(n_a, n_b) > 0) & (5 * np.minimum(n_a, n_b) >= 4 * np.maximum(n_a, n_b))
         most = G.most_different(n_a, n_b)
         low, high = np.minimum(self.length[a], self.length[b]), np.maximum(self.length[a], self.length[b])
@@ -320,27 +318,15 @@ class _Maps:
                     x, y = np.where(first, a[mine], b[mine]), np.where(first, b[mine], a[mine])
                     one = self.stacks[short][self.place[x]]
                     two = G.folded(self.stacks[long][self.place[y]], short)
-                    most[mine] -= np.bitwise_count((one ^ two).view(np.uint64)).sum(axis=1).astype(np.int64)
-        return np.where(ok, most, -1)
+                    ok[mine] = np.bitwise_count((one ^ two).view(np.uint64)).sum(axis=1) <= most[mine]
+        return ok
 
 
-def _likeliest(a: np.ndarray, b: np.ndarray, room: np.ndarray, partners: int) -> np.ndarray:
-    """Which pairs are among the ``partners`` of either row with the most room, ties to the smaller."""
-    rows, others = np.concatenate([a, b]), np.concatenate([b, a])
-    order = np.lexsort((others, -np.concatenate([room, room]), rows))
-    first = np.flatnonzero(_starts(rows[order]))
-    nth = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-    out = np.zeros(len(a), dtype=bool)
-    out[order[nth < partners] % len(a)] = True
-    return out
-
-
-def candidates(members: DataFrame, across: bool = True, partners: int | None = None) -> DataFrame:
+def candidates(members: DataFrame, across: bool = True) -> DataFrame:
     """Pairs (a, b), a < b, that share a key and that sizes and maps allow.
 
     ``members``: (key, doc, component, n, map). With ``across`` only pairs of different
-    components; with ``partners`` only the likeliest of each row, by bucket, and a row of
-    NULLs if any was left out. A task takes many keys at once.
+    components. A task takes many keys at once.
     """
 
     def run(group: pa.Table) -> pa.Table:
@@ -349,23 +335,16 @@ def candidates(members: DataFrame, across: bool = True, partners: int | None = N
         key, doc, part, n, tile, other = (c[order] for c in columns)
         names, first, of_row = np.unique(doc, return_index=True, return_inverse=True)
         maps = _Maps(group["map"].take(pa.array(order[first])).to_pylist())
-        size, count = n[first], max(1, len(names))
-        # Pairs as one number, and their room.
-        held, rooms, left_out = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        size = n[first]
+        found = []
         for i, j in _pairs_in(key, doc, part, n, tile, other, across):
             a, b = np.minimum(of_row[i], of_row[j]), np.maximum(of_row[i], of_row[j])
-            one = np.setdiff1d(a * count + b, held)
-            a, b = one // count, one % count
-            room = maps.room(a, b, size[a], size[b])
-            held, rooms = np.concatenate([held, one[room >= 0]]), np.concatenate([rooms, room[room >= 0]])
-            if partners is not None and len(held):
-                chosen = _likeliest(held // count, held % count, rooms, partners)
-                left_out |= not chosen.all()
-                held, rooms = held[chosen], rooms[chosen]
-        a, b = (pa.array(names[ends]) for ends in (held // count, held % count))
-        if left_out:
-            a, b = (pa.concat_arrays([ends, pa.nulls(1, pa.int64())]) for ends in (a, b))
-        return pa.table([a, b], names=["a", "b"])
+            one = np.unique(a * len(names) + b)
+            a, b = one // len(names), one % len(names)
+            found.append(one[maps.allow(a, b, size[a], size[b])])
+        one = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        count = max(1, len(names))
+        return pa.table([pa.array(names[one // count]), pa.array(names[one % count])], names=["a", "b"])
 
     buckets = max(LEAST_BUCKETS, members.count() // BUCKET_MEMBERS + 1)
     return _dealt_keys(members, buckets).groupBy("bucket").applyInArrow(lean(run), "a long, b long").distinct()
@@ -420,7 +399,7 @@ def possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
         b = np.arange(len(a)) + len(place)
         n = np.concatenate([centre_rows["n"].to_numpy(), other_rows["n"].to_numpy()])
         maps = _Maps(centre_rows["map"].to_pylist() + other_rows["map"].to_pylist())
-        ok = maps.room(a, b, n[a], n[b]) >= 0
+        ok = maps.allow(a, b, n[a], n[b])
         centre, doc = (other_rows[c].to_numpy()[ok] for c in ("centre", "doc"))
         return pa.table([pa.array(np.minimum(centre, doc)), pa.array(np.maximum(centre, doc))], names=["a", "b"])
 
@@ -536,8 +515,8 @@ def near_duplicates(
         return saved(for_every_row(alike, told.select(*columns), "doc_id"), scope.outer), links
 
 
-def _open_members(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members (key, doc, component, n, map) of the keys that hold several components."""
+def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (key, doc, component) of the keys that hold several components."""
     known = labels.select(F.col("u").alias("doc"), F.col("v").alias("_label"))
     placed = saved(
         members.join(known, "doc", "left").select("key", "doc", F.coalesce("_label", "doc").alias("component"))
@@ -548,7 +527,19 @@ def _open_members(members: DataFrame, labels: DataFrame, sets: DataFrame) -> Dat
         .filter(F.col("_low") < F.col("_high"))
         .select("key")
     )
-    return saved(placed.join(saved(open_), "key", "left_semi").join(sets, "doc"))
+    return saved(placed.join(saved(open_), "key", "left_semi"))
+
+
+def _second_stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each key's documents with the one that is in most of the keys."""
+    degree = members.groupBy("doc").agg(F.count(F.lit(1)).alias("_keys"))
+    best = F.struct("_keys", (-F.col("doc")).alias("_first"), "component")
+    centres = saved(members.join(degree, "doc").groupBy("key").agg(F.max(best).alias("_best")))
+    # A key may be in very many documents.
+    met = salted_left_join(members, centres, ["key"], F.col("doc"))
+    centre = -F.col("_best._first")
+    pairs = met.filter((F.col("_best.component") != F.col("component")) & (centre != F.col("doc")))
+    return pairs.select(F.least(centre, "doc").alias("a"), F.greatest(centre, "doc").alias("b")).distinct()
 
 
 def _joined(docs: DataFrame, all_links: bool) -> tuple[DataFrame, DataFrame]:
@@ -584,6 +575,10 @@ def _joined(docs: DataFrame, all_links: bool) -> tuple[DataFrame, DataFrame]:
     def labels_of(edges: DataFrame) -> DataFrame:
         return components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
+    def joined_up(labels: DataFrame, links: DataFrame) -> DataFrame:
+        known = labels.select(F.col("u").alias("a"), F.col("v").alias("b"))
+        return labels_of(known.union(links.select("a", "b")))
+
     in_blocks = blocks.filter(F.col("facts").isNull()).select("key", "doc", "centre")
     members = saved(named(in_blocks.select("key", "doc"), "doc").distinct())
     if all_links:
@@ -598,17 +593,18 @@ def _joined(docs: DataFrame, all_links: bool) -> tuple[DataFrame, DataFrame]:
         tried = saved(possible(saved(stars), sets))
         links = multiplied(tried)
         labels = labels_of(links)
-        partners, left_out = FIRST_PARTNERS, True
-        while left_out:
-            found = saved(candidates(_open_members(members, labels, sets), partners=partners))
-            left_out = not found.filter(F.col("a").isNull()).isEmpty()
-            untried = saved(found.filter(F.col("a").isNotNull()).join(tried, ["a", "b"], "left_anti"))
-            if not untried.isEmpty():
-                more = multiplied(untried)
-                tried, links = tried.union(untried), links.union(more)
-                known = labels.select(F.col("u").alias("a"), F.col("v").alias("b"))
-                labels = labels_of(known.union(more.select("a", "b")))
-            partners *= MORE_PARTNERS
+        members = _open_members(members, labels)
+        met = saved(_second_stars(members).join(tried, ["a", "b"], "left_anti"))
+        again = saved(possible(met, sets))
+        second = multiplied(again)
+        labels = joined_up(labels, second)
+        members = _open_members(members.select("key", "doc"), labels)
+        rest = saved(members.join(sets, "doc"))
+        # What was met twice and found impossible is no candidate either.
+        untried = candidates(rest).join(tried.union(again), ["a", "b"], "left_anti")
+        third = multiplied(saved(untried))
+        links = links.union(second).union(third)
+        labels = joined_up(labels, third)
 
     nodes = facts.join(labels.select(F.col("u").alias("first"), F.col("v").alias("_label")), "first", "left")
     columns = ["doc", F.col("n").alias("n_shingles"), F.coalesce("_label", "first").alias("label")]
