@@ -77,7 +77,8 @@ EARLY = 9
 BLOCK_BYTES = 8 << 20
 #: Word starts that are walked at a time.
 TILE = 1 << 17
-FILTER_BITS = 22
+#: Places in a filter for each of its keys, and the most leading bits that tell them apart.
+FILTER_SHARE, FILTER_BITS = 32, 22
 #: Rows that are expanded at a time, and windows that are compared at a time.
 MOST_ROWS, MOST_WINDOWS = 1 << 20, 1 << 12
 #: Characters of a part of an item, one bit each.
@@ -104,11 +105,12 @@ class Walk:
 
     def _read(self, data: np.ndarray, at: np.ndarray, key: np.ndarray, steps: range) -> None:
         """Read on, in place; data goes on STEPS characters beyond all places."""
+        # No place is outside; clipping spares the check.
         for step in steps:
-            read = data[at]
+            read = data.take(at, mode="clip")
             if step in self.sampled:
-                key += self.weights[step][read]
-            at += self.moves[step][read]
+                key += self.weights[step].take(read, mode="clip")
+            at += self.moves[step].take(read, mode="clip")
 
     def begun(self, data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the walks from ``places`` are after the early steps, and their keys so far."""
@@ -194,12 +196,24 @@ def padded(datas: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _filter(keys: np.ndarray) -> np.ndarray:
-    """A bit for every value of the leading bits, set where a key has it."""
-    out = np.zeros(1 << FILTER_BITS, dtype=bool)
-    out[keys >> np.uint64(64 - FILTER_BITS)] = True
+    """A bit for every value of the leading bits, set where a key has it; as many as the keys ask for."""
+    bits = min(FILTER_BITS, (FILTER_SHARE * len(keys)).bit_length())
+    out = np.zeros(1 << bits, dtype=bool)
+    out[_leading(keys, out)] = True
     return out
 
 
+def _leading(keys: np.ndarray, filter_: np.ndarray) -> np.ndarray:
+    """The places of keys in a filter."""
+    # By way of 63 bits, as a filter of one place leaves none.
+    return ((keys >> np.uint64(1)) >> np.uint64(64 - len(filter_).bit_length())).view(np.int64)
+
+
+def _may_have(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter leaves each key possible."""
+    return filter_.take(_leading(keys, filter_), mode="clip")
+
+
 def item_keys(walk: Walk, datas: list[np.ndarray], every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, place of the text, offset, early key) of the walks that stay inside the texts."""
     data, begins = padded(datas)
@@ -389,16 +403,15 @@ class Index:
         low_edge = int(self.sizes.max())
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         held = 0
-        shift = np.uint64(64 - FILTER_BITS)
         for number_of, (walk, every, begins_alike, near, key, item, offset) in enumerate(self.tables):
             if every not in places:
                 places[every] = walk_starts(data, every, edges)
             for begin in range(0, len(places[every]), TILE):
                 at = places[every][begin : begin + TILE]
                 reached, early = walk.begun(data, at)
-                maybe = np.flatnonzero(begins_alike[early >> shift])
+                maybe = np.flatnonzero(_may_have(begins_alike, early))
                 keys, _ = walk.ended(data, reached[maybe], early[maybe])
-                met = near[keys >> shift]
+                met = _may_have(near, keys)
                 maybe, keys = maybe[met], keys[met]
                 low = np.searchsorted(key, keys, side="left")
                 number = np.searchsorted(key, keys, side="right") - low
@@ -469,7 +482,8 @@ class Index:
         score = size.copy()
         best = size.copy()
         for column in range(int(columns.max())):
-            eq = equal[base + data[at]]
+            # Windows end inside the data.
+            eq = equal.take(base + data.take(at, mode="clip"), mode="clip")
             # The longest window may end beyond the shorter ones, whose places then stay.
             at += column + 1 < columns
             across = eq | down

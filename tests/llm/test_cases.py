@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import io
+import pickle
 import random
 import time
 from collections import Counter
@@ -466,6 +467,16 @@ def test_early_filters_leave_out_no_key():
     assert got == {tuple(r) for r in index.meets(data, bounds).tolist()} and len(got) >= 20
 
 
+def test_filters_grow_with_the_keys():
+    few = decontam.Index([(k, prose(30, 660 + k)) for k in range(5)])
+    assert len(pickle.dumps(few)) < 1 << 20
+    for keys in (0, 1, 300, 5_000):
+        drawn = np.random.default_rng(keys).integers(0, 1 << 63, keys, dtype=np.uint64) * np.uint64(2)
+        held = decontam._filter(drawn)
+        assert held.sum() <= keys and len(held) <= max(1, 64 * keys)
+        assert decontam._may_have(held, drawn).all()
+
+
 def test_items_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 300)
     items = [(k, prose(30, 7100 + k)) for k in range(6)] + [(None, prose(30, 7106)), (9, "tiny item")]
