@@ -245,24 +245,21 @@ def _dealt_keys(members: DataFrame, buckets: int) -> DataFrame:
     Small keys share a bucket. A key of more than ``TILE`` documents is cut into tiles by
     a hash of the document, and every two tiles are a group of their own.
     """
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > TILE)
+    # A written table of few keys joins without a shuffle of the members and their maps.
+    sizes = saved(members.groupBy("key").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > TILE))
     joined = salted_left_join(members, sizes, ["key"], F.col("doc"))
-    columns = ("key", "tile", "other", "doc", "component", "n", "map")
-    small = (
-        joined.filter(F.col("_size").isNull())
-        .withColumns({"tile": F.lit(0), "other": F.lit(0)})
-        .select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), *columns)
-    )
-    tiles = F.ceil(F.col("_size") / F.lit(TILE // 2)).cast("int")
+    small = F.col("_size").isNull()
+    tiles = F.when(small, F.lit(1)).otherwise(F.ceil(F.col("_size") / F.lit(TILE // 2))).cast("int")
     # Beyond all buckets of small keys: a group for every two tiles.
     two = F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other"))
-    large = (
-        joined.filter(F.col("_size").isNotNull())
-        .withColumn("tile", F.pmod(F.xxhash64("doc"), tiles).cast("int"))
+    bucket = F.when(small, F.pmod(F.xxhash64("key"), F.lit(buckets))).otherwise(
+        F.lit(buckets) + F.pmod(two, F.lit(1 << 61))
+    )
+    return (
+        joined.withColumn("tile", F.pmod(F.xxhash64("doc"), tiles).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-        .select((F.lit(buckets) + F.pmod(two, F.lit(1 << 61))).alias("bucket"), *columns)
+        .select(bucket.alias("bucket"), "key", "tile", "other", "doc", "component", "n", "map")
     )
-    return small.unionByName(large)
 
 
 def _pairs_in(
@@ -516,15 +513,18 @@ def near_duplicates(
 
 
 def _open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, doc, component) of the keys that hold several components."""
+    """Members (key, doc, component) of the keys that hold several components and more than two members.
+
+    The first stars connect a key's members, so where there are two these have met.
+    """
     known = labels.select(F.col("u").alias("doc"), F.col("v").alias("_label"))
     placed = saved(
         members.join(known, "doc", "left").select("key", "doc", F.coalesce("_label", "doc").alias("component"))
     )
     open_ = (
         placed.groupBy("key")
-        .agg(F.min("component").alias("_low"), F.max("component").alias("_high"))
-        .filter(F.col("_low") < F.col("_high"))
+        .agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count(F.lit(1)).alias("_size"))
+        .filter((F.col("_low") < F.col("_high")) & (F.col("_size") > 2))
         .select("key")
     )
     return saved(placed.join(saved(open_), "key", "left_semi"))

@@ -467,6 +467,33 @@ def test_early_filters_leave_out_no_key():
     assert got == {tuple(r) for r in index.meets(data, bounds).tolist()} and len(got) >= 20
 
 
+def test_keys_of_two_members_are_settled_by_the_first_stars(spark):
+    rows = [(1, 1), (1, 2), (2, 3), (2, 4), (2, 5), (3, 3), (3, 4), (3, 6), (4, 6), (4, 6 + 1)]
+    members = spark.createDataFrame(rows, "key long, doc long")
+    labels = spark.createDataFrame([(4, 3), (6, 3)], "u long, v long")
+    got = {(r["key"], r["doc"], r["component"]) for r in ngram_join._open_members(members, labels).collect()}
+    assert got == {(2, 3, 3), (2, 4, 3), (2, 5, 5)}
+
+
+def test_members_are_dealt_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 4)
+    rows = [(1, d, d, 10, b"") for d in range(9)] + [(2, d, d, 10, b"") for d in range(3)]
+    members = spark.createDataFrame(rows, "key long, doc long, component long, n long, map binary")
+    dealt = ngram_join._dealt_keys(members, 5)
+    assert "Exchange hashpartitioning" not in dealt._jdf.queryExecution().executedPlan().toString()
+    groups = {}
+    for r in dealt.collect():
+        groups.setdefault((r["bucket"], r["key"]), []).append(r)
+    met = Counter()
+    for (bucket, key), inside in groups.items():
+        assert (bucket < 5) == (key == 2)
+        for a in inside:
+            for b in inside:
+                if a["doc"] < b["doc"] and (a["tile"] != b["tile"] or a["tile"] == a["other"]):
+                    met[key, a["doc"], b["doc"]] += 1
+    assert met == Counter([(1, a, b) for a in range(9) for b in range(a + 1, 9)] + [(2, a, b) for a in range(3) for b in range(a + 1, 3)])
+
+
 def test_filters_grow_with_the_keys():
     few = decontam.Index([(k, prose(30, 660 + k)) for k in range(5)])
     assert len(pickle.dumps(few)) < 1 << 20
