@@ -175,7 +175,7 @@ def add_columns(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in kept]
         + [f"`{name}` {kind}" for name, (kind, _) in added.items()]
     )
-    return bounded_batches(df).select(*[F.col(f"`{name}`") for name in kept]).mapInArrow(run, ddl)
+    return bounded_batches(df).select(*[F.col(f"`{name}`") for name in kept]).mapInArrow(lean(run), ddl)
 
 
 def salted_left_join(

@@ -18,7 +18,8 @@ Equal sets are one row from the start (two 64-bit sums). The product is taken th
 times, each time after the links of the last were contracted into components: of each
 key's documents with its first one; of those in keys that still hold several components
 with the one that is in most of these keys, as the text is that others were copied
-from; and of all that share a key across components still. So a large group of near
+from; and of all that share a key across components still. A key of two documents is
+settled by the first. So a large group of near
 copies is not multiplied pair by pair, and no component is missed: two rows that
 link share a key, and in that key they are of one component or meet. The links
 given are those that span the components; with ``all_links`` every pair that shares a
