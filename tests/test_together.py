@@ -71,7 +71,7 @@ def test_trees_equal_brute_force(n, n_values, min_leaf, depth):
     got = forest.grow(bins, y, weights, by, range(7))
     want = np.zeros(n)
     for tree in range(7):
-        times = np.bincount(np.random.default_rng([42, tree]).integers(0, n, n, dtype=np.int32), minlength=n)
+        times = forest.times_drawn(n, 42, tree)
         drawn = times > 0
         nested = brute_tree(bins[drawn], y[drawn], times[drawn], weights, min_leaf, depth)
         want += [brute_risk(nested, row) for row in bins]
@@ -94,6 +94,18 @@ def test_trees_do_not_depend_on_their_company(monkeypatch):
     assert len(set(roots)) > 2
 
 
+def test_rows_are_drawn_a_poisson_number_of_times():
+    times = np.concatenate([forest.times_drawn(10_000, 42, tree) for tree in range(20)])
+    shares = np.bincount(times, minlength=4)[:4] / len(times)
+    np.testing.assert_allclose(shares, np.exp(-1) / np.array([1, 1, 2, 6]), atol=0.005)
+    assert abs(times.mean() - 1) < 0.01 and abs(times.var() - 1) < 0.02
+    # Of two rows a tree may draw none.
+    tiny = forest.grow(np.array([[0], [1]], np.uint8), np.array([0, 1]), (1.0, 1.0), forest.Grower(200, 1, 30, 64, 42), range(200))
+    assert tiny.n == 200 and ((tiny.share >= 0) & (tiny.share <= 1)).all() and (tiny.share[:200] == 0.5).sum() > 20
+    none = forest.grow(np.zeros((1, 1), np.uint8), np.array([1]), (1.0, 1.0), forest.Grower(1, 1, 30, 64, 42), range(1, 2))
+    assert none.votes(np.zeros((3, 1), np.uint8)).shape == (3,)
+
+
 @pytest.fixture(scope="module")
 def people(spark):
     df = subjects(spark, 300, seed=8, effect=1.5).persist()
